@@ -9,6 +9,13 @@ from pyspark.sql import types as T
 from foliospark.schemas import RESPONSE
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a scan of fewer splits than cores (one small file); a scan of many splits
+    is left alone, so no large table is shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def uploads(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Files below ``path``: path, file_name, length, modified, content. Leave ``content`` out of
     the query and the bytes are never read."""
