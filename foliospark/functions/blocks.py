@@ -50,7 +50,7 @@ def first_per_box(blocks: Column) -> Column:
 
 def dedupe(blocks: Column) -> Column:
     """The text cap, then the box rule on its survivors."""
-    return first_per_box(cap_repeats(blocks))
+    return let(cap_repeats(blocks), first_per_box)
 
 
 def without_header_footer(blocks: Column) -> Column:

@@ -29,7 +29,7 @@ def _dots_clean(content: Column) -> Column:
 
 
 REGISTRY: dict[str, Dialect] = {
-    "dots": Dialect(_dots_clean, dots.parse, K.dots_markdown, lambda c: dots.cleaned(c)["ok"]),
+    "dots": Dialect(_dots_clean, dots.parse, K.dots_markdown, dots.parses),
     "chandra": Dialect(chandra.cleaned, chandra.parse, K.chandra_page_markdown),
     "deepseekocr": Dialect(deepseek.cleaned, deepseek.parse, K.plain_markdown),
 }
@@ -75,5 +75,8 @@ def page_markdown(pages: DataFrame, model_id: str | None = None) -> DataFrame:
 
 def block_rows(pages: DataFrame, *keys: str) -> DataFrame:
     """One row per block: the keys, ``block_no`` in page order, ``bbox``, ``category``, ``text``."""
-    return pages.select(*keys, F.posexplode("blocks").alias("block_no", "b")).select(
-        *keys, "block_no", "b.bbox", "b.category", "b.text")
+    # The outer form keeps the optimizer from pushing a size test on the blocks, and with it a
+    # second parse of every response, below the parsing projection.
+    return (pages.select(*keys, F.posexplode_outer("blocks").alias("block_no", "b"))
+            .filter(F.col("block_no").isNotNull())
+            .select(*keys, "block_no", "b.bbox", "b.category", "b.text"))

@@ -67,10 +67,9 @@ def _recover(segment: Column, mode: str) -> Column:
                     text.alias("text"))
 
 
-def recovered_blocks(content: Column, mode: str = "reference") -> Column:
-    """All recovered blocks of a response, before sanitising; empty when no marker is present."""
-    segments = F.filter(F.split(unfenced(content), rf"(?={_MARKER})"),
-                        lambda s: s.rlike(rf"\A{_MARKER}"))
+def recovered_blocks(body: Column, mode: str = "reference") -> Column:
+    """All blocks of an unfenced response, before sanitising; empty when no marker is present."""
+    segments = F.filter(F.split(body, rf"(?={_MARKER})"), lambda s: s.rlike(rf"\A{_MARKER}"))
     return F.transform(segments, lambda s: _recover(trimmed(s), mode)).cast(_BLOCK_TYPE)
 
 
@@ -81,62 +80,79 @@ def sanitised(blocks: Column) -> Column:
         b["text"].alias("text")))
 
 
+def _typed(element: Column, path: str, allowed: str) -> Column:
+    kind = F.schema_of_variant(F.try_variant_get(element, path, "variant"))
+    return F.coalesce(kind.rlike(allowed), F.lit(True))
+
+
+def _valid(element: Column) -> Column:
+    """An object whose known fields have the right type; unknown fields do not matter."""
+    box = F.try_variant_get(element, "$.bbox", "array<float>")
+    category = F.lower(F.try_variant_get(element, "$.category", "string"))
+    return (F.schema_of_variant(element).startswith("OBJECT")
+            & _typed(element, "$.bbox", r"^(VOID|ARRAY<(VOID|BIGINT|DOUBLE|FLOAT|DECIMAL.*)>)$")
+            & _typed(element, "$.category", "^(VOID|STRING)$")
+            & _typed(element, "$.text", "^(VOID|STRING)$")
+            & F.coalesce(F.forall(box, lambda v: v.isNotNull()), F.lit(True))
+            & F.coalesce(category.isin(*[c.lower() for c in CATEGORIES]), F.lit(True)))
+
+
+def _read(element: Column) -> Column:
+    category = F.lower(F.try_variant_get(element, "$.category", "string"))
+    has_text = F.try_variant_get(element, "$.text", "variant").isNotNull()
+    return F.struct(
+        F.try_variant_get(element, "$.bbox", "array<float>").alias("bbox"),
+        F.when(category.isNotNull(), literal_lookup(
+            category, {c.lower(): c for c in CATEGORIES}, "Text")).alias("category"),
+        F.when(has_text, F.try_variant_get(element, "$.text", "string"))
+        .otherwise(F.lit("")).alias("text"))
+
+
+def _elements(content: Column) -> Column:
+    """The elements of a strict JSON array, null for anything else."""
+    return F.when(content.rlike(r"(?sU)\A\s*\[.*\]\s*\z"),
+                  F.try_variant_get(F.try_parse_json(content), "$", "array<variant>"))
+
+
+def _all_valid(elements: Column) -> Column:
+    return elements.isNotNull() & F.coalesce(F.forall(elements, _valid), F.lit(False))
+
+
+def _result(ok: Column, blocks: Column) -> Column:
+    return F.struct(ok.alias("ok"), blocks.cast(_BLOCK_TYPE).alias("blocks"))
+
+
 def strict_json(content: Column) -> Column:
     """struct(ok, blocks): a strict JSON array of block objects, or ok = false.
 
     A bare object, prose, an unknown category or a wrongly typed field is an error. Types are read
     from the parsed variant, since a cast would quietly turn them into null.
     """
-    def typed(element: Column, path: str, allowed: str) -> Column:
-        kind = F.schema_of_variant(F.try_variant_get(element, path, "variant"))
-        return F.coalesce(kind.rlike(allowed), F.lit(True))
-
-    def valid(element: Column) -> Column:
-        box = F.try_variant_get(element, "$.bbox", "array<float>")
-        category = F.lower(F.try_variant_get(element, "$.category", "string"))
-        return (F.schema_of_variant(element).startswith("OBJECT")
-                & typed(element, "$.bbox", r"^(VOID|ARRAY<(VOID|BIGINT|DOUBLE|FLOAT|DECIMAL.*)>)$")
-                & typed(element, "$.category", "^(VOID|STRING)$")
-                & typed(element, "$.text", "^(VOID|STRING)$")
-                & F.coalesce(F.forall(box, lambda v: v.isNotNull()), F.lit(True))
-                & F.coalesce(category.isin(*[c.lower() for c in CATEGORIES]), F.lit(True)))
-
-    def block(element: Column) -> Column:
-        category = F.lower(F.try_variant_get(element, "$.category", "string"))
-        has_text = F.try_variant_get(element, "$.text", "variant").isNotNull()
-        return F.struct(
-            F.try_variant_get(element, "$.bbox", "array<float>").alias("bbox"),
-            F.when(category.isNotNull(), literal_lookup(
-                category, {c.lower(): c for c in CATEGORIES}, "Text")).alias("category"),
-            F.when(has_text, F.try_variant_get(element, "$.text", "string"))
-            .otherwise(F.lit("")).alias("text"))
-
-    none = F.array().cast(_BLOCK_TYPE)
-
-    def checked(elements: Column) -> Column:
-        ok = elements.isNotNull() & F.coalesce(F.forall(elements, valid), F.lit(False))
-        return F.struct(ok.alias("ok"), F.when(ok, F.transform(elements, block).cast(_BLOCK_TYPE))
-                        .otherwise(none).alias("blocks"))
-
-    elements = F.when(content.rlike(r"(?sU)\A\s*\[.*\]\s*\z"),
-                      F.try_variant_get(F.try_parse_json(content), "$", "array<variant>"))
-    return let(elements, checked)
+    return let(_elements(content), lambda elements: let(_all_valid(elements), lambda ok: _result(
+        ok, F.when(ok, F.transform(elements, _read)).otherwise(F.array().cast(_BLOCK_TYPE)))))
+
+
+def _bracketed(body: Column) -> Column:
+    return F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
 
 
 def cleaned(content: Column, mode: str = "reference") -> Column:
     """struct(ok, blocks) of a response: blank gives no block, marked text is recovered, capped
     and de-duplicated, unmarked text (bracketed if need be) has to be strict JSON."""
-    body = unfenced(content)
-    none = F.array().cast(_BLOCK_TYPE)
+    def choose(body: Column) -> Column:
+        return (F.when(body == "", _result(F.lit(True), F.array()))
+                .when(body.rlike(_MARKER), _result(
+                    F.lit(True), dedupe(sanitised(recovered_blocks(body, mode)))))
+                .otherwise(strict_json(_bracketed(body))))
+
+    return let(unfenced(F.coalesce(content, F.lit(""))), choose)
 
-    def result(ok, blocks: Column) -> Column:
-        return F.struct(F.lit(ok).alias("ok"), blocks.alias("blocks"))
 
-    return (F.when(is_blank(content), result(True, none))
-            .when(body.rlike(_MARKER),
-                  result(True, dedupe(sanitised(recovered_blocks(content, mode)))))
-            .otherwise(let(body, lambda b: strict_json(
-                F.when(b.startswith("["), b).otherwise(F.concat(F.lit("["), b, F.lit("]")))))))
+def parses(content: Column) -> Column:
+    """The ok flag alone, without building blocks."""
+    return let(unfenced(F.coalesce(content, F.lit(""))), lambda body: (
+        F.when((body == "") | body.rlike(_MARKER), F.lit(True))
+        .otherwise(let(_elements(_bracketed(body)), _all_valid))))
 
 
 def parse(content: Column, width: Column | None = None, height: Column | None = None,
