@@ -13,7 +13,7 @@ from foliospark.schemas import HEADER_FOOTER, PICTURES, TEXT_REPEAT_CAP
 
 def _take(blocks: Column, kept: Column) -> Column:
     """The blocks at the positions held in field ``i`` of ``kept``, in page order."""
-    return F.transform(F.array_sort(F.transform(kept, lambda k: k["i"])),
+    return F.transform(F.sort_array(F.transform(kept, lambda k: k["i"])),
                        lambda i: F.get(blocks, i))
 
 
@@ -23,9 +23,10 @@ def cap_repeats(blocks: Column, cap: int = TEXT_REPEAT_CAP) -> Column:
     The keys are sorted with their position; an entry is beyond the cap iff the entry ``cap``
     places before it has the same key. That is n log n, without counting maps.
     """
-    keys = F.array_sort(F.transform(blocks, lambda b, i: F.struct(
-        F.coalesce(b["category"], F.lit("")).alias("c"),
-        F.coalesce(b["text"], F.lit("")).alias("t"), i.alias("i"))))
+    def keys(all_blocks: Column) -> Column:
+        return F.sort_array(F.transform(all_blocks, lambda b, i: F.struct(
+            F.coalesce(b["category"], F.lit("")).alias("c"),
+            F.coalesce(b["text"], F.lit("")).alias("t"), i.alias("i"))))
 
     def survivors(seq: Column) -> Column:
         def fresh(x: Column, j: Column) -> Column:
@@ -33,19 +34,22 @@ def cap_repeats(blocks: Column, cap: int = TEXT_REPEAT_CAP) -> Column:
             return (j < cap) | (earlier["t"] != x["t"]) | (earlier["c"] != x["c"])
         return F.filter(seq, fresh)
 
-    return let(blocks, lambda all_blocks: _take(all_blocks, let(keys, survivors)))
+    return let(blocks, lambda all_blocks: _take(
+        all_blocks, let(keys(all_blocks), survivors)))
 
 
 def first_per_box(blocks: Column) -> Column:
     """Keep the first block of each box; blocks without a box are exempt."""
-    keys = F.transform(blocks, lambda b, i: F.struct(b["bbox"].alias("b"), i.alias("i")))
+    def keys(all_blocks: Column) -> Column:
+        return F.transform(all_blocks, lambda b, i: F.struct(b["bbox"].alias("b"), i.alias("i")))
 
     def survivors(seq: Column) -> Column:
-        boxed = let(F.array_sort(F.filter(seq, lambda x: x["b"].isNotNull())), lambda s: F.filter(
+        boxed = let(F.sort_array(F.filter(seq, lambda x: x["b"].isNotNull())), lambda s: F.filter(
             s, lambda x, j: (j < 1) | (F.get(s, j - 1)["b"] != x["b"])))
         return F.concat(boxed, F.filter(seq, lambda x: x["b"].isNull()))
 
-    return let(blocks, lambda all_blocks: _take(all_blocks, let(keys, survivors)))
+    return let(blocks, lambda all_blocks: _take(
+        all_blocks, let(keys(all_blocks), survivors)))
 
 
 def dedupe(blocks: Column) -> Column:

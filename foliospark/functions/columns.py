@@ -11,20 +11,13 @@ from pyspark.sql import functions as F
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once and use it many times in ``body`` (expressions inside lambdas are
     re-evaluated per element otherwise)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
 
 
 def literal_lookup(key: Column, table: dict[str, str], default: str) -> Column:
-    """Map a key through a small fixed table; plain ``when`` chain, so it is code-generated."""
-    by_target: dict[str, list[str]] = {}
-    for source, target in table.items():
-        if target != default:
-            by_target.setdefault(target, []).append(source)
-    chain = None
-    for target, keys in by_target.items():
-        hit = key.isin(*keys)
-        chain = F.when(hit, target) if chain is None else chain.when(hit, target)
-    return F.lit(default) if chain is None else chain.otherwise(F.lit(default))
+    """Map a key through a small fixed table (one constant map, folded at planning time)."""
+    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, key), F.lit(default))
 
 
 def trimmed(c: Column) -> Column:

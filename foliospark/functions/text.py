@@ -21,19 +21,40 @@ def collapse_chars(c: Column) -> Column:
     return F.regexp_replace(c, r"(?d)(.)\1{9,}", "$1$1$1")
 
 
+def _repeated_grams(line: Column, g: int) -> Column:
+    """How many of the overlapping ``g``-character pieces of a line are copies of an earlier one."""
+    grams = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{g}}}))"), F.lit(1))
+    return let(grams, lambda a: F.size(a) - F.size(F.array_distinct(a)))
+
+
+def _collapse_line(line: Column) -> Column:
+    n = F.length(line)
+    # Five copies fit into the line, so the unit is at most a fifth of it. Rounded up to a power of
+    # two, the bound gives few distinct patterns and the same matches as an unbounded unit.
+    bound = F.pow(F.lit(2.0), F.greatest(F.lit(1), F.ceil(F.log2((n / 5).cast("double")))))
+    pattern = F.concat(F.lit("(?d)(.{2,"), bound.cast("int").cast("string"), F.lit(r"})\1{4,}"))
+
+    def decide(copies: Column) -> Column:
+        suspect = (line.rlike(r"(?d)(.{2,7})\1{4}")
+                   | ((copies >= 25) & (line.rlike(r"(?d)(.{8,63})\1{4}")
+                                        | ((n >= 320) & (_repeated_grams(line, 64) >= 193)))))
+        return F.when((copies > 0) & suspect, F.regexp_replace(
+            line, pattern, F.lit("$1$1$1"))).otherwise(line)
+
+    return F.when(n < 10, line).otherwise(let(_repeated_grams(line, 8), decide))
+
+
 def collapse_sequences(c: Column) -> Column:
     """A sequence of two or more characters repeated five or more times becomes three.
 
-    ``.`` stops at a line end, so five copies must fit into one line: no unit is longer than a
-    fifth of the longest line. Bounding the unit by that length gives the same matches as the
-    unbounded pattern and saves most of the back-tracking. The bound is rounded up to a power of
-    two, so that few distinct patterns are compiled.
+    The pattern back-tracks over all unit lengths at every position, so lines that cannot match are
+    left out first. Five copies of a unit of L characters are 5L characters of period L: of their
+    g-character pieces, at least 4L - g + 1 repeat an earlier one. No repeated 8-piece means no
+    match at all, L >= 8 needs 25 of them, L >= 64 needs 193 repeated 64-pieces; units of 2 to 7 and
+    8 to 63 characters are then looked for with their own bounds. Only lines that pass are
+    rewritten, and the result is the one of the plain pattern.
     """
-    longest = F.array_max(F.transform(F.split(c, "\n"), lambda line: F.length(line)))
-    bound = F.greatest(F.lit(1), F.ceil(F.log2((longest / 5).cast("double")))).cast("int")
-    pattern = F.concat(F.lit("(?d)(.{2,"), F.pow(F.lit(2.0), bound).cast("int").cast("string"),
-                       F.lit(r"})\1{4,}"))
-    return F.when(longest < 10, c).otherwise(F.regexp_replace(c, pattern, F.lit("$1$1$1")))
+    return F.array_join(F.transform(F.split(c, "\n"), _collapse_line), "\n")
 
 
 def collapse_runs(c: Column) -> Column:
@@ -69,7 +90,7 @@ def line_dedupe(c: Column) -> Column:
         kept = let(counted, lambda seq: F.filter(
             seq, lambda x, j: (j == 0) | (x["norm"] != F.get(seq, j - 1)["norm"])))
         blank = F.filter(all_lines, lambda x: x["blank"])
-        ordered = F.array_sort(F.concat(blank, kept))
+        ordered = F.sort_array(F.concat(blank, kept))
         return F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
 
     return let(lines, dedupe)

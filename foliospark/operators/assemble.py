@@ -18,7 +18,7 @@ def document_parts(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> Da
     page = F.concat(F.coalesce("markdown", F.lit("")), F.lit("\n\nPage "),
                     (F.col("page_index") + 1).cast("string"), F.lit("\n\n---\n"))
     part = F.floor(F.col("page_index") / pages_per_part).cast("int")
-    ordered = F.array_sort(F.collect_list(F.struct("page_index", page.alias("md"))))
+    ordered = F.sort_array(F.collect_list(F.struct("page_index", page.alias("md"))))
     return (pages.groupBy("task_id", part.alias("part_no"))
             .agg(ordered.alias("p"))
             .select("task_id", "part_no", F.size("p").alias("pages"), F.array_join(

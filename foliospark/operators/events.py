@@ -139,7 +139,7 @@ def save_log(events: DataFrame, success_only: bool = False,
         {"_n": logging.cast("int"), "_t": ends.cast("int")}, {"_ends": "_t"})
     entries = (numbered.filter(logging & (F.col("_ends") > 0))
                .withColumn("part_no", F.floor((F.col("_n") - 1) / entries_per_part).cast("int")))
-    log = F.transform(F.array_sort(F.collect_list(F.struct("_n", log_entry().alias("entry")))),
+    log = F.transform(F.sort_array(F.collect_list(F.struct("_n", log_entry().alias("entry")))),
                       lambda x: x["entry"])
     return (entries.groupBy("task_id", "part_no").agg(log.alias("log"))
             .select("task_id", "part_no", F.size("log").alias("entries"),
