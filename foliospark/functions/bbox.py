@@ -17,7 +17,7 @@ def four_or_null(bbox: Column) -> Column:
 
 def corner(bbox: Column, i: int) -> Column:
     """Integer corner ``i``, truncated towards zero, 0 when absent."""
-    return F.coalesce(F.get(bbox, F.lit(i)).cast("int"), F.lit(0))
+    return F.coalesce(F.get(bbox, F.lit(i)).try_cast("int"), F.lit(0))
 
 
 def union(boxes: Column) -> Column:
@@ -57,5 +57,5 @@ def scale_999(bbox: Column, width: Column, height: Column) -> Column:
 
 def scale_by(bbox: Column, sx: Column, sy: Column) -> Column:
     """Multiply integer coordinates by (sx, sy) and truncate; other lengths pass unchanged."""
-    scaled = F.transform(bbox, lambda v, i: (v * F.when(i % 2 == 0, sx).otherwise(sy)).cast("int"))
+    scaled = F.transform(bbox, lambda v, i: (v * F.when(i % 2 == 0, sx).otherwise(sy)).try_cast("int"))
     return F.when(F.size(bbox) == 4, scaled).otherwise(bbox)

@@ -20,7 +20,7 @@ PATCH = 28
 def target_size(width: Column, height: Column, min_side: int = MIN_SIDE) -> Column:
     """struct(width, height) after the minimum-side rule and rounding to the patch multiple."""
     small = F.least(width, height)
-    factor = as_float(F.lit(float(min_side)) / as_float(small))
+    factor = as_float(F.try_divide(F.lit(float(min_side)), as_float(small)))
 
     def side(v: Column) -> Column:
         grown = F.when(small < min_side, as_float(as_float(v) * factor).cast("int")).otherwise(v)
@@ -43,7 +43,7 @@ def crop_rect(bbox: Column, width: Column, height: Column) -> Column:
 
     The extent is the one of the unclamped corners, limited by the page.
     """
-    x1, y1, x2, y2 = (F.get(bbox, F.lit(i)).cast("int") for i in range(4))
+    x1, y1, x2, y2 = (F.get(bbox, F.lit(i)).try_cast("int") for i in range(4))
     x, y = F.greatest(F.lit(0), x1), F.greatest(F.lit(0), y1)
     w, h = F.least(width - x, x2 - x1), F.least(height - y, y2 - y1)
     rect = F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
@@ -52,7 +52,8 @@ def crop_rect(bbox: Column, width: Column, height: Column) -> Column:
 
 def letterbox(width: Column, height: Column) -> Column:
     """struct(width, height, x, y): size and offset of the page inside the square global view."""
-    scale = F.least(as_float(F.lit(float(GLOBAL)) / width), as_float(F.lit(float(GLOBAL)) / height))
+    scale = F.least(as_float(F.try_divide(F.lit(float(GLOBAL)), width)),
+                    as_float(F.try_divide(F.lit(float(GLOBAL)), height)))
     size = F.struct(as_float(as_float(width) * scale).cast("int").alias("w"),
                     as_float(as_float(height) * scale).cast("int").alias("h"))
     return let(size, lambda s: F.struct(
@@ -67,7 +68,7 @@ def best_grid(width: Column, height: Column) -> Column:
     Candidates are tried in order; one that ties with the best so far wins only if it has more
     tiles and the page covers more than half of its pixels.
     """
-    ratio = as_float(as_float(width) / as_float(height))
+    ratio = as_float(F.try_divide(as_float(width), as_float(height)))
     area = as_float(as_float(width) * as_float(height))
     grids = F.array(*[F.struct(F.lit(c).alias("cols"), F.lit(r).alias("rows"),
                                as_float(as_float(F.lit(c)) / F.lit(r)).alias("ratio"),

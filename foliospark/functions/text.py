@@ -117,5 +117,7 @@ def format_block(category: Column, text: Column, mode: str = "reference") -> Col
 
 
 def data_uri(image_bytes: Column) -> Column:
-    """PNG bytes as a Markdown image with an inline data URI."""
-    return F.concat(F.lit("![image](data:image/png;base64,"), F.base64(image_bytes), F.lit(")"))
+    """PNG bytes as a Markdown image with an inline data URI (one line: some settings make
+    ``base64`` break its output into lines)."""
+    encoded = F.translate(F.base64(image_bytes), "\r\n", "")
+    return F.concat(F.lit("![image](data:image/png;base64,"), encoded, F.lit(")"))

@@ -99,7 +99,7 @@ def parse_progress(message: Column) -> Column:
     pattern = r"\ADone (\d+)/(\d+) \(Page (\d+)\) in ([0-9.]+)s\z"
 
     def part(k: int, kind: str) -> Column:
-        return F.regexp_extract(message, pattern, k).cast(kind)
+        return F.regexp_extract(message, pattern, k).try_cast(kind)
 
     return F.when(message.rlike(pattern), F.struct(
         part(1, "int").alias("done"), part(2, "int").alias("total"),

@@ -87,7 +87,7 @@ WHERE total_pages > 0"""
 
 
 def conflict_anti_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Uploads whose name no stored file ends with; stored files come from the page hosts."""
+    """Uploads whose name no stored file ends with."""
     up = _uploads(spark, sf).select("doc_id", "file_name")
     stored = X.view(spark, sf, "documents", (
         "CASE WHEN doc_id % 97 < 60 THEN concat('host-', doc_id, '_', source, '_', lang, "

@@ -409,7 +409,6 @@ QUERIES = {
     "bbox_union": (bbox_union, BBOX_UNION_SQL),
     "page_markdown_dots": (page_markdown_dots, PAGE_MARKDOWN_DOTS_SQL),
     "page_markdown_deepseek": (page_markdown_deepseek, PAGE_MARKDOWN_DEEPSEEK_SQL),
-    "page_markdown_chandra": (page_markdown_chandra, None),
     "document_markdown": (document_markdown, DOCUMENT_MARKDOWN_SQL),
     "document_status": (document_status, DOCUMENT_STATUS_SQL),
 }
