@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.bbox import as_float
@@ -62,38 +62,32 @@ def letterbox(width: Column, height: Column) -> Column:
         F.floor((F.lit(GLOBAL) - s["h"]) / 2).cast("int").alias("y")))
 
 
-def best_grid(width: Column, height: Column) -> Column:
-    """struct(cols, rows): the candidate grid nearest in aspect ratio.
+def with_best_grid(df: DataFrame, width: str, height: str) -> DataFrame:
+    """Add ``grid`` = struct(cols, rows): the candidate grid nearest in aspect ratio.
 
     Candidates are tried in order; one that ties with the best so far wins only if it has more
-    tiles and the page covers more than half of its pixels.
+    tiles and the page covers more than half of its pixels. Each trial is one projection, so the
+    whole fold is generated code.
     """
-    ratio = as_float(F.try_divide(as_float(width), as_float(height)))
-    area = as_float(as_float(width) * as_float(height))
-    grids = F.array(*[F.struct(F.lit(c).alias("cols"), F.lit(r).alias("rows"),
-                               as_float(as_float(F.lit(c)) / F.lit(r)).alias("ratio"),
-                               as_float(F.lit(0.5 * c * r * TILE * TILE)).alias("half"))
-                      for c, r in GRIDS])
-    candidates = let(F.struct(ratio.alias("ratio"), area.alias("area")), lambda page: F.transform(
-        grids, lambda g: F.struct(
-            g["cols"].alias("cols"), g["rows"].alias("rows"),
-            F.abs(as_float(page["ratio"] - g["ratio"])).alias("error"),
-            (page["area"] > g["half"]).alias("covers"))))
-    start = F.struct(F.lit(1).alias("cols"), F.lit(1).alias("rows"),
-                     as_float(F.lit(3.4028234663852886e38)).alias("error"),
-                     F.lit(False).alias("covers"))
-
-    def step(best: Column, g: Column) -> Column:
-        tie = F.abs(as_float(g["error"] - best["error"])) < as_float(F.lit(0.0001))
-        larger = g["cols"] * g["rows"] > best["cols"] * best["rows"]
-        return (F.when(g["error"] < best["error"], g)
-                .when(tie & larger & g["covers"], F.struct(
-                    g["cols"].alias("cols"), g["rows"].alias("rows"),
-                    best["error"].alias("error"), g["covers"].alias("covers")))
-                .otherwise(best))
-
-    return F.aggregate(candidates, start, step,
-                       lambda best: F.struct(best["cols"].alias("cols"), best["rows"].alias("rows")))
+    w, h = as_float(F.col(width)), as_float(F.col(height))
+    state = df.select(
+        "*", as_float(F.try_divide(w, h)).alias("_ratio"), as_float(w * h).alias("_area"),
+        F.lit(1).alias("_cols"), F.lit(1).alias("_rows"),
+        as_float(F.lit(3.4028234663852886e38)).alias("_error"))
+    for cols, rows in GRIDS:
+        error = F.abs(as_float(F.col("_ratio") - as_float(as_float(F.lit(cols)) / F.lit(rows))))
+        nearer = error < F.col("_error")
+        tie = F.abs(as_float(error - F.col("_error"))) < as_float(F.lit(0.0001))
+        larger = F.col("_cols") * F.col("_rows") < cols * rows
+        covers = F.col("_area") > as_float(F.lit(0.5 * cols * rows * TILE * TILE))
+        wins = nearer | (tie & larger & covers)
+        state = state.select(
+            *df.columns, "_ratio", "_area",
+            F.when(wins, cols).otherwise(F.col("_cols")).alias("_cols"),
+            F.when(wins, rows).otherwise(F.col("_rows")).alias("_rows"),
+            F.when(nearer, error).otherwise(F.col("_error")).alias("_error"))
+    return state.select(*df.columns, F.struct(
+        F.col("_cols").alias("cols"), F.col("_rows").alias("rows")).alias("grid"))
 
 
 def combined_size(grid: Column) -> Column:

@@ -27,21 +27,19 @@ def with_outcome(responses: DataFrame) -> DataFrame:
 def select_attempt(classified: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """The deciding attempt of each page and its ``page_status`` (OK, BLANK, FAILED).
 
-    The first OK or PARSE_ERROR attempt decides, otherwise the last allowed one. Both picks are
-    min_by / max_by aggregates, so each task sends one row per page and a hot page stays cheap.
+    The first OK or PARSE_ERROR attempt decides, otherwise the last allowed one. Both rules are one
+    rank, so a single min_by aggregate sends one row per page and task, however hot the page.
     """
     rest = [c for c in classified.columns if c not in keys]
-    row = F.struct(*rest)
-    accepted = F.col("outcome").isin(*FINAL)
-    picked = (classified.filter(F.col("attempt") <= MAX_ATTEMPTS).groupBy(*keys).agg(
-        F.min_by(F.when(accepted, row), F.when(accepted, F.col("attempt"))).alias("first"),
-        F.max_by(row, "attempt").alias("last")))
+    rank = F.when(F.col("outcome").isin(*FINAL), F.col("attempt")).otherwise(
+        2 * MAX_ATTEMPTS - F.col("attempt") + 1)
+    picked = (classified.filter(F.col("attempt") <= MAX_ATTEMPTS).groupBy(*keys)
+              .agg(F.min_by(F.struct(*rest), rank).alias("r")))
     status = (F.when(F.col("outcome") == "OK", "OK")
               .when((F.col("outcome") == "EMPTY") & (F.col("attempt") == MAX_ATTEMPTS), "BLANK")
               .when(F.col("outcome").isin(*FINAL) | (F.col("attempt") == MAX_ATTEMPTS), "FAILED")
               .otherwise("PENDING"))
-    return (picked.select(*keys, F.coalesce("first", "last").alias("r"))
-            .select(*keys, *[F.col(f"r.{c}") for c in rest])
+    return (picked.select(*keys, *[F.col(f"r.{c}") for c in rest])
             .withColumn("page_status", status))
 
 

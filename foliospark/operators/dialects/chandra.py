@@ -12,6 +12,7 @@ from foliospark.schemas import CHANDRA_LABELS
 _DIV = r"(?i)<div\b[^>]*>|</div\s*>"
 # A division opened before the previous one was closed.
 _NESTED = r"(?is)<div\b(?:(?!</?div\b).)*+<div\b"
+_BOXED = r"(?is)\A<div\b[^>]*?\sdata-bbox(?=[\s=>/])"
 _BLOCK_TYPE = "array<struct<bbox:array<float>,category:string,text:string>>"
 
 
@@ -44,7 +45,7 @@ def _flat(html: Column) -> Column:
 
 
 def _nested(html: Column) -> Column:
-    """struct(tag, inner) of every division, outer and inner, by the depth after each tag."""
+    """struct(tag, inner) of every boxed division, outer and inner, by the depth after each tag."""
     tags = F.regexp_extract_all(html, F.lit(_DIV), F.lit(0))
     gaps = F.split(html, _DIV)
     depths = F.aggregate(
@@ -58,7 +59,7 @@ def _nested(html: Column) -> Column:
         tags_, gaps_, depths_ = page["tags"], page["gaps"], page["depths"]
         count = F.size(tags_)
 
-        def one(tag: Column, i: Column) -> Column:
+        def one(i: Column) -> Column:
             # The first later tag that returns to the depth outside this division closes it.
             later = F.slice(depths_, i + 2, count)
             at = F.array_position(later, F.get(depths_, i) - 1).cast("int")
@@ -68,10 +69,12 @@ def _nested(html: Column) -> Column:
             inner = F.array_join(F.zip_with(
                 texts, marks, lambda t, m: F.concat(t, m)), "")
             closing = F.coalesce(F.get(marks, length - 1), F.lit(""))
-            return F.struct(tag.alias("tag"), F.substr(
+            return F.struct(F.get(tags_, i).alias("tag"), F.substr(
                 inner, F.lit(1), F.length(inner) - F.length(closing)).alias("inner"))
 
-        return F.filter(F.transform(tags_, one), lambda s: ~s["tag"].startswith("</"))
+        wanted = F.filter(F.transform(tags_, lambda tag, i: F.when(tag.rlike(_BOXED), i)),
+                          lambda i: i.isNotNull())
+        return F.transform(wanted, one)
 
     return let(F.struct(tags.alias("tags"), gaps.alias("gaps"), depths.alias("depths")), spans)
 
@@ -90,7 +93,7 @@ def parse(content: Column, width: Column, height: Column, mode: str = "reference
 
     def build(html: Column) -> Column:
         spans = F.when(html.rlike(_NESTED), _nested(html)).otherwise(_flat(html))
-        boxed = F.filter(spans, lambda s: s["tag"].rlike(r"(?i)\sdata-bbox(?=[\s=>/])"))
+        boxed = F.filter(spans, lambda s: s["tag"].rlike(_BOXED))
         return F.transform(boxed, block).cast(_BLOCK_TYPE)
 
     return let(cleaned(content), build)

@@ -18,7 +18,7 @@ _MARKER = r'(?U)"bbox"\s*:\s*\['
 _LETTER = r"a-zA-ZÀ-ỹ"
 _BLOCK_TYPE = "array<struct<bbox:array<float>,category:string,text:string>>"
 # Characters stripped from both ends of recovered text (fixed set).
-_EDGE = r'[ ,{}\r\n\t":\[\])(，]+'
+_EDGE = ' ,{}\r\n\t":[])(，'
 
 
 def unfenced(content: Column) -> Column:
@@ -42,7 +42,10 @@ def category_of(name: Column, mode: str = "reference") -> Column:
 
 def _recover(segment: Column, mode: str) -> Column:
     """One segment to struct(bbox, category, text)."""
-    tail = F.substr(segment, F.instr(segment, "["))
+    return let(F.substr(segment, F.instr(segment, "[")), lambda tail: _fields(segment, tail, mode))
+
+
+def _fields(segment: Column, tail: Column, mode: str) -> Column:
     lead = F.regexp_extract(tail, rf"\A[^{_LETTER}]*+", 0)
     numbers = F.slice(F.regexp_extract_all(lead, F.lit(r"([0-9]+)"), F.lit(1)), 1, 4)
     bbox = F.when(F.size(numbers) > 0, numbers.cast("array<float>"))
@@ -58,7 +61,7 @@ def _recover(segment: Column, mode: str) -> Column:
     for fragment in (r'(?iU)"category"\s*:\s*"[^"]*"?,?', r'(?iU)"text"\s*:\s*"?,?',
                      r'(?iU)"bbox"\s*:\s*\[?,?'):
         rest = F.regexp_replace(rest, fragment, "")
-    rest = F.regexp_replace(rest, rf"\A{_EDGE}|{_EDGE}\z", "")
+    rest = F.btrim(rest, F.lit(_EDGE))
 
     text = let(F.when(~is_blank(quoted), quoted).otherwise(rest), lambda t: F.replace(
         F.when(t.endswith('"'), F.substr(t, F.lit(1), F.length(t) - 1)).otherwise(t),

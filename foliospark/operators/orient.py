@@ -16,9 +16,10 @@ PAGES_PER_BUCKET = 1024
 
 def predictions(batches: DataFrame) -> DataFrame:
     """Batch JSON (``task_id``, ``batch_json``) to (task_id, pos, rotation, confidence)."""
+    # The outer form keeps the optimizer from repeating the JSON parse in a size test.
     parsed = F.from_json("batch_json", ORIENTATION_BATCH)
-    rows = batches.select("task_id", F.posexplode(parsed["predictions"]).alias("pos", "p"))
-    return rows.select("task_id", "pos",
+    rows = batches.select("task_id", F.posexplode_outer(parsed["predictions"]).alias("pos", "p"))
+    return rows.filter(F.col("pos").isNotNull()).select("task_id", "pos",
                        F.coalesce(F.expr("try_cast(p.orientation AS int)"), F.lit(0)).alias("rotation"),
                        F.col("p.confidence").alias("confidence"))
 

@@ -90,7 +90,7 @@ grid AS (SELECT width, height, cols, rws FROM play WHERE k = {len(G.GRIDS)})"""
 
 
 def best_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return _with(spark, sf, G.best_grid(F.col("width"), F.col("height")), "cols", "rows")
+    return G.with_best_grid(_dims(spark, sf), "width", "height").select(*KEYS, "grid.cols", "grid.rows")
 
 
 BEST_GRID_SQL = f"""WITH RECURSIVE {_GRID} SELECT {_KEYS}, cols, rws AS "rows" FROM d JOIN grid USING (width, height)"""
@@ -99,7 +99,7 @@ BEST_GRID_SQL = f"""WITH RECURSIVE {_GRID} SELECT {_KEYS}, cols, rws AS "rows" F
 def tile_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Tiles of each distinct page size with their place on the combined canvas."""
     sizes = _dims(spark, sf).select("width", "height").distinct()
-    grid = sizes.withColumn("g", G.best_grid(F.col("width"), F.col("height")))
+    grid = G.with_best_grid(sizes, "width", "height").withColumnRenamed("grid", "g")
     canvas = grid.withColumn("c", G.combined_size(F.col("g")))
     tiles = canvas.select("width", "height", F.col("c.width").alias("canvas_width"),
                           F.col("c.height").alias("canvas_height"),
