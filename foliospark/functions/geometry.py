@@ -47,7 +47,8 @@ def crop_rect(bbox: Column, width: Column, height: Column) -> Column:
     x, y = F.greatest(F.lit(0), x1), F.greatest(F.lit(0), y1)
     w, h = F.least(width - x, x2 - x1), F.least(height - y, y2 - y1)
     rect = F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
-    return F.when((w > 0) & (h > 0), rect)
+    readable = (F.size(bbox) == 4) & x1.isNotNull() & y1.isNotNull() & x2.isNotNull() & y2.isNotNull()
+    return F.when(readable & (w > 0) & (h > 0), rect)
 
 
 def letterbox(width: Column, height: Column) -> Column:

@@ -45,21 +45,19 @@ def fair_share(demands: DataFrame, limits: DataFrame) -> DataFrame:
                    F.col("c"), F.col("spare") - F.col("taken")))).otherwise(0))
                .select("model_id", F.col("d").alias("demand"), "c", "base", "extra"))
 
-    joined = demands.join(classes, ["model_id", "demand"])
-    settled = joined.filter((F.col("extra") == 0) | (F.col("extra") == F.col("c"))).withColumn(
-        "allow", F.col("base") + (F.col("extra") > 0).cast("int"))
-    split = (joined.filter((F.col("extra") > 0) & (F.col("extra") < F.col("c")))
-             .withColumn("_hash", F.md5(F.col("worker_id"))).withColumn("_lead", F.left("_hash", F.lit(3))))
-    inner = W.partitionBy("model_id", "_lead").orderBy("_hash")
-    leads = split.groupBy("model_id", "_lead").agg(F.count("*").alias("_k")).select(
-        "model_id", "_lead", F.coalesce(F.sum("_k").over(
-            W.partitionBy("model_id").orderBy("_lead").rowsBetween(W.unboundedPreceding, -1)),
-            F.lit(0)).alias("_before"))
-    rank = F.col("_before") + F.col("_n")
-    ranked = (split.withColumn("_n", F.row_number().over(inner)).join(leads, ["model_id", "_lead"])
-              .withColumn("allow", F.col("base") + (rank <= F.col("extra")).cast("int")))
-    keep = ["model_id", "worker_id", "demand", "allow"]
-    return settled.select(*keep).unionByName(ranked.select(*keep))
+    tie = (F.col("extra") > 0) & (F.col("extra") < F.col("c"))
+    marked = (demands.join(classes, ["model_id", "demand"]).withColumn("_tie", tie)
+              .withColumn("_hash", F.md5("worker_id")).withColumn("_lead", F.left("_hash", F.lit(3))))
+    part = ["model_id", "_tie", "_lead"]
+    before = W.partitionBy("model_id").orderBy("_lead").rowsBetween(W.unboundedPreceding, -1)
+    offsets = marked.filter("_tie").groupBy(*part).agg(F.count("*").alias("_k")).select(
+        *part, F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"))
+    ranked = marked.withColumn("_n", F.row_number().over(W.partitionBy(*part).orderBy("_hash")))
+    place = F.when(F.col("_tie"), F.col("_before") + F.col("_n")).otherwise(F.lit(0))
+    return ranked.join(offsets, part, "left").select(
+        "model_id", "worker_id", "demand",
+        (F.col("base") + (place <= F.col("extra")).cast("int") * (F.col("extra") > 0).cast("int"))
+        .alias("allow"))
 
 
 def capacity_usage(demands: DataFrame, limits: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 def uploads(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Files below ``path``: path, file_name, length, modified, content. Leave ``content`` out of
-    the query and the bytes are never read."""
+    the query and the bytes are never read. Spark's file sources skip files of zero bytes: an
+    expected upload that does not show up is missing or empty."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

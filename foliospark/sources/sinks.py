@@ -23,12 +23,13 @@ def with_file_name(parts: DataFrame, written_at) -> DataFrame:
 def export_markdown(parts: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Markdown text files, one folder per output file; the parts of a document stay in order.
 
-    Range partitioning splits one very large document over several files of its folder instead of
+    The writer ends each part with a line end, so the part's own last one is left out. Range
+    partitioning splits one very large document over several files of its folder instead of
     collecting it.
     """
     (parts.repartitionByRange("file_name", "part_no").sortWithinPartitions("file_name", "part_no")
-     .select("file_name", F.col("markdown").alias("value"))
-     .write.mode(mode).partitionBy("file_name").option("lineSep", "").text(path))
+     .select("file_name", F.regexp_replace("markdown", r"\n\z", "").alias("value"))
+     .write.mode(mode).partitionBy("file_name").text(path))
 
 
 def write_quarantine(bad: DataFrame, path: str, mode: str = "append") -> None:
