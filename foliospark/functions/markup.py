@@ -36,10 +36,11 @@ _INLINE = (
     (r'(?i)<input(?=[^>]*type="?(?:checkbox|radio))(?=[^>]*\bchecked)[^>]*>', "[x] "),
     (r'(?i)<input(?=[^>]*type="?(?:checkbox|radio))[^>]*>', "[ ] "),
 )
-_BLOCK = tuple(
+_HEADING = tuple(
     (rf"(?is)<h{n}(?:\s[^>]*)?>\s*(.*?)\s*</h{n}\s*>", "\n\n" + "#" * n + " $1\n\n")
     for n in range(1, 7)
-) + (
+)
+_BLOCK = (
     (r"(?i)<br\s*/?>", "\n"),
     (r"(?i)<hr(?:\s[^>]*)?/?>", "\n\n* * *\n\n"),
     (r"(?i)<li(?:\s[^>]*)?>\s*", "\n- "),
@@ -50,10 +51,21 @@ _ENTITY = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbs
            ("&amp;", "&"))
 
 
-def _replace_all(c: Column, rules) -> Column:
-    for pattern, repl in rules:
-        c = F.regexp_replace(c, pattern, repl)
-    return c
+# One look for any tag of a group saves the group's replacements on text without them.
+_ANY_DROP = r"(?i)<(?:!|script|style|/?(?:html|head|body|span|small|big)\b)"
+_ANY_INLINE = r"(?i)<(?:b|strong|i|em|del|s|strike|sup|pre|code|/?a|input)\b"
+_ANY_HEADING = r"(?i)<h[1-6]\b"
+_ANY_BLOCK = r"(?i)</?(?:br|hr|li|p|div|ul|ol)\b"
+
+
+def _replace_all(c: Column, rules, guard: str) -> Column:
+    def apply(t: Column) -> Column:
+        out = t
+        for pattern, repl in rules:
+            out = F.regexp_replace(out, pattern, repl)
+        return F.when(t.rlike(guard), out).otherwise(t)
+
+    return let(c, apply)
 
 
 def _image(c: Column) -> Column:
@@ -114,18 +126,24 @@ def _tables(c: Column) -> Column:
 
 def html_to_markdown(html: Column) -> Column:
     """Convert one HTML fragment."""
-    c = _replace_all(html, _DROP)
+    c = _replace_all(html, _DROP, _ANY_DROP)
     c = let(c, lambda x: F.when(x.rlike(r"(?i)<pre[\s>]"), x).otherwise(
         F.regexp_replace(x, r"\s*\n\s*", " ")))
-    c = _replace_all(c, _INLINE)
+    c = _replace_all(c, _INLINE, _ANY_INLINE)
     for special in (_image, _tables, _ordered_lists):
         c = let(c, special)
-    c = _replace_all(c, _BLOCK)
-    c = F.regexp_replace(c, r"[ \t]*\n[ \t]*", "\n")
+    c = _replace_all(_replace_all(c, _HEADING, _ANY_HEADING), _BLOCK, _ANY_BLOCK)
+    # Spaces around line ends go, and no more than one empty line stays.
+    c = F.regexp_replace(trimmed(c), r"[ \t]*\n[ \t]*", "\n")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
+    return trimmed(let(c, _entities))
+
+
+def _entities(c: Column) -> Column:
+    out = c
     for entity, plain in _ENTITY:
-        c = F.replace(c, F.lit(entity), F.lit(plain))
-    return trimmed(c)
+        out = F.replace(out, F.lit(entity), F.lit(plain))
+    return F.when(c.contains("&"), out).otherwise(c)
 
 
 def clean_markdown(c: Column) -> Column:

@@ -11,9 +11,13 @@ from foliospark.schemas import PICTURES
 
 def collapse_punct(c: Column) -> Column:
     """Five or more dots, underscores or dashes become three."""
-    for mark, repl in ((r"\.", "..."), ("_", "___"), ("-", "---")):
-        c = F.regexp_replace(c, mark + "{5,}", repl)
-    return c
+    def collapse(t: Column) -> Column:
+        out = t
+        for mark, repl in ((r"\.", "..."), ("_", "___"), ("-", "---")):
+            out = F.regexp_replace(out, mark + "{5,}", repl)
+        return F.when(t.rlike(r"\.{5}|_{5}|-{5}"), out).otherwise(t)
+
+    return let(c, collapse)
 
 
 def collapse_chars(c: Column) -> Column:
@@ -21,10 +25,11 @@ def collapse_chars(c: Column) -> Column:
     return F.regexp_replace(c, r"(?d)(.)\1{9,}", "$1$1$1")
 
 
-def _repeated_grams(line: Column, g: int) -> Column:
-    """How many of the overlapping ``g``-character pieces of a line are copies of an earlier one."""
-    grams = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{g}}}))"), F.lit(1))
-    return let(grams, lambda a: F.size(a) - F.size(F.array_distinct(a)))
+def _repeated_pieces(line: Column, size: int, step: int) -> Column:
+    """Among the ``size``-character pieces that start at every ``step``-th character of a line, the
+    number that are copies of an earlier one."""
+    pieces = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}})).{{{step}}}"), F.lit(1))
+    return let(pieces, lambda a: F.size(a) - F.size(F.array_distinct(a)))
 
 
 def _collapse_line(line: Column) -> Column:
@@ -33,26 +38,23 @@ def _collapse_line(line: Column) -> Column:
     # two, the bound gives few distinct patterns and the same matches as an unbounded unit.
     bound = F.pow(F.lit(2.0), F.greatest(F.lit(1), F.ceil(F.log2((n / 5).cast("double")))))
     pattern = F.concat(F.lit("(?d)(.{2,"), bound.cast("int").cast("string"), F.lit(r"})\1{4,}"))
-
-    def decide(copies: Column) -> Column:
-        suspect = (line.rlike(r"(?d)(.{2,7})\1{4}")
-                   | ((copies >= 25) & (line.rlike(r"(?d)(.{8,63})\1{4}")
-                                        | ((n >= 320) & (_repeated_grams(line, 64) >= 193)))))
-        return F.when((copies > 0) & suspect, F.regexp_replace(
-            line, pattern, F.lit("$1$1$1"))).otherwise(line)
-
-    return F.when(n < 10, line).otherwise(let(_repeated_grams(line, 8), decide))
+    long_unit = (n >= 55) & let(_repeated_pieces(line, 8, 4), lambda copies: (copies >= 1) & (
+        line.rlike(r"(?d)(.{11,63})\1{4}")
+        | ((n >= 320) & (copies >= 14) & (_repeated_pieces(line, 64, 1) >= 193))))
+    suspect = (n >= 10) & (line.rlike(r"(?d)(.{2,10})\1{4}") | long_unit)
+    return F.when(suspect, F.regexp_replace(line, pattern, F.lit("$1$1$1"))).otherwise(line)
 
 
 def collapse_sequences(c: Column) -> Column:
     """A sequence of two or more characters repeated five or more times becomes three.
 
     The pattern back-tracks over all unit lengths at every position, so lines that cannot match are
-    left out first. Five copies of a unit of L characters are 5L characters of period L: of their
-    g-character pieces, at least 4L - g + 1 repeat an earlier one. No repeated 8-piece means no
-    match at all, L >= 8 needs 25 of them, L >= 64 needs 193 repeated 64-pieces; units of 2 to 7 and
-    8 to 63 characters are then looked for with their own bounds. Only lines that pass are
-    rewritten, and the result is the one of the plain pattern.
+    left out first. Five copies of a unit of L characters are 5L characters of period L. Units of
+    up to 10 characters are looked for directly. For longer ones, the 8-character pieces at every
+    fourth position come back after at most 4L characters, which leaves (L - 7) / 4 of them that
+    repeat an earlier one: at least 1 from L = 11 and 14 from L = 64. Units of 11 to 63 are then
+    looked for with their own bound; for L >= 64, 4L - 63 >= 193 of all 64-character pieces repeat
+    an earlier one. Lines that pass are rewritten, and the result is the one of the plain pattern.
     """
     return F.array_join(F.transform(F.split(c, "\n"), _collapse_line), "\n")
 
@@ -64,14 +66,19 @@ def collapse_runs(c: Column) -> Column:
 
 def collapse_tags(c: Column) -> Column:
     """A broken tag prefix repeated three or more times is kept once."""
-    return F.regexp_replace(c, r"(<[^>]+?)\1{2,}", "$1")
+    return let(c, lambda t: F.when(t.contains("<"), F.regexp_replace(
+        t, r"(<[^>]+?)\1{2,}", "$1")).otherwise(t))
 
 
 def math_to_latex(c: Column) -> Column:
     """Block math tags become ``$$`` blocks, then the other math tags become inline ``$..$``."""
-    c = F.regexp_replace(c, r'(?sU)<math[^>]*display="block"[^>]*>\s*(.*?)\s*</math>',
-                         "\n\\$\\$\n$1\n\\$\\$\n")
-    return F.regexp_replace(c, r"(?sU)<math[^>]*>\s*(.*?)\s*</math>", " \\$$1\\$ ")
+    def convert(t: Column) -> Column:
+        out = F.regexp_replace(t, r'(?sU)<math[^>]*display="block"[^>]*>\s*(.*?)\s*</math>',
+                               "\n\\$\\$\n$1\n\\$\\$\n")
+        out = F.regexp_replace(out, r"(?sU)<math[^>]*>\s*(.*?)\s*</math>", " \\$$1\\$ ")
+        return F.when(t.contains("<math"), out).otherwise(t)
+
+    return let(c, convert)
 
 
 def line_dedupe(c: Column) -> Column:
@@ -81,9 +88,10 @@ def line_dedupe(c: Column) -> Column:
     line array, so it needs no shuffle: among the lines that count, a line stays iff its normal
     form differs from the one just before it.
     """
-    lines = F.transform(F.split(c, r"\r\n|\n"), lambda line, i: F.struct(
-        i.alias("i"), line.alias("line"), F.lower(F.replace(line, F.lit(" "))).alias("norm"),
-        is_blank(line).alias("blank")))
+    def numbered(t: Column) -> Column:
+        return F.transform(F.split(t, r"\r\n|\n"), lambda line, i: F.struct(
+            i.alias("i"), line.alias("line"), F.lower(F.replace(line, F.lit(" "))).alias("norm"),
+            is_blank(line).alias("blank")))
 
     def dedupe(all_lines: Column) -> Column:
         counted = F.filter(all_lines, lambda x: ~x["blank"] & (x["norm"] != "&-"))
@@ -93,7 +101,8 @@ def line_dedupe(c: Column) -> Column:
         ordered = F.sort_array(F.concat(blank, kept))
         return F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
 
-    return let(lines, dedupe)
+    single = lambda t: F.when(F.replace(t, F.lit(" ")) == "&-", F.lit("")).otherwise(t)
+    return let(c, lambda t: F.when(t.contains("\n"), let(numbered(t), dedupe)).otherwise(single(t)))
 
 
 def wrap_formula(c: Column) -> Column:

@@ -38,9 +38,9 @@ def event_encode(spark: SparkSession, sf: str) -> DataFrame:
     """Encoded events, compared by their fields."""
     typed = _events(spark, sf).withColumn("data_json", F.lit(None).cast("string"))
     fields = ("taskId", "status", "message", "filename", "timestamp", "eventType")
-    return E.encode(typed).select("event_id", *[
-        F.get_json_object("value", f"$.{f}").alias(f) for f in fields],
-        F.contains("value", F.lit('"dataJson":null')).alias("null_kept"))
+    return E.encode(typed).select(
+        "event_id", F.contains("value", F.lit('"dataJson":null')).alias("null_kept"),
+        F.json_tuple("value", *fields).alias(*fields))
 
 
 _CODE = "CASE status " + " ".join(f"WHEN '{s}' THEN '{k}'" for k, s in enumerate(EVENT_STATUS)) + " END"

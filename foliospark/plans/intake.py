@@ -11,6 +11,7 @@ from foliospark.operators import orient
 from foliospark.plans import fixtures as X
 from foliospark.schemas import MODELS
 from foliospark.sources import readers
+from foliospark.sources.readers import spread
 
 UPLOADS = X.cte("u", "documents", X.UPLOAD_COLS)
 _MODEL = ("CASE lower(model_id) " + " ".join(f"WHEN '{m[0]}' THEN {{{k}}}" for k, m in enumerate(MODELS))
@@ -141,7 +142,7 @@ _TASKS = ("o_orderkey AS task_id", "CAST(o_orderkey % 7 + 1 AS INT) AS total_pag
 
 def orientation_apply(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as tasks: some pages have no image, some batches are too short, some values bad."""
-    tasks = X.view(spark, sf, "orders", _TASKS)
+    tasks = spread(X.table(spark, sf, "orders").select("o_orderkey")).selectExpr(*_TASKS)
     fan = intake.page_fanout(tasks.select("task_id", "total_pages"))
     pages_ = fan.select("task_id", "page_index",
                         ((F.col("task_id") + F.col("page_index")) % 4 != 0).alias("has_image"))

@@ -14,6 +14,7 @@ from foliospark.operators.dialects import (REGISTRY, block_rows, chandra, deepse
 from foliospark.plans import fixtures as X
 from foliospark.plans.collapse_sql import collapse_ctes
 from foliospark.schemas import CATEGORIES, HEADER_FOOTER, PICTURES
+from foliospark.sources.readers import spread
 
 # ---------------------------------------------------------------------------
 # Checking SQL shared by several queries
@@ -247,7 +248,7 @@ WHERE category NOT IN ('Page-header', 'Page-footer')"""
 
 
 def block_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    kept = dedupe_rows(X.block_table(spark, sf).select(
+    kept = dedupe_rows(spread(X.block_table(spark, sf)).select(
         "task_id", "page_index", "block_no", "category", "text", "bbox"))
     return _box_text(kept)
 

@@ -144,7 +144,8 @@ def html_sql(expr: str) -> str:
     """The conversion contract for the tags the pages hold (no tables, images, numbered lists)."""
     e = _rules_sql(expr, markup._DROP)
     e = f"regexp_replace({e}, '\\s*\\n\\s*', ' ', 'g')"
-    e = _rules_sql(_rules_sql(e, markup._INLINE), markup._BLOCK)
+    for rules in (markup._INLINE, markup._HEADING, markup._BLOCK):
+        e = _rules_sql(e, rules)
     e = f"regexp_replace(regexp_replace({e}, '[ \\t]*\\n[ \\t]*', chr(10), 'g'), '\\n{{3,}}', concat(chr(10), chr(10)), 'g')"
     for entity, plain in markup._ENTITY:
         e = "replace({}, '{}', '{}')".format(e, entity, plain.replace("'", "''"))
