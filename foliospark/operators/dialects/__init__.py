@@ -19,7 +19,7 @@ class Dialect:
 
     clean: Callable[[Column], Column]
     parse: Callable[..., Column]
-    markdown: Callable[[Column], Column]
+    markdown: Callable[..., Column]  # (blocks, keep_header_footer, mode)
     strict: Callable[[Column], Column] | None = None  # ok flag where a parse can fail
 
 
@@ -30,8 +30,10 @@ def _dots_clean(content: Column) -> Column:
 
 REGISTRY: dict[str, Dialect] = {
     "dots": Dialect(_dots_clean, dots.parse, K.dots_markdown, dots.parses),
-    "chandra": Dialect(chandra.cleaned, chandra.parse, K.chandra_page_markdown),
-    "deepseekocr": Dialect(deepseek.cleaned, deepseek.parse, K.plain_markdown),
+    "chandra": Dialect(chandra.cleaned, chandra.parse,
+                       lambda b, keep, mode: K.chandra_page_markdown(b, keep)),
+    "deepseekocr": Dialect(deepseek.cleaned, deepseek.parse,
+                           lambda b, keep, mode: K.plain_markdown(b)),
 }
 
 
@@ -66,10 +68,14 @@ def parse_responses(responses: DataFrame, model_id: str | None = None,
     return responses.withColumn("blocks", value).drop("content")
 
 
-def page_markdown(pages: DataFrame, model_id: str | None = None) -> DataFrame:
-    """Pages with a ``blocks`` array to pages with ``markdown``."""
-    value = (REGISTRY[model_id].markdown(F.col("blocks")) if model_id else by_model(
-        lambda d: d.markdown(F.col("blocks")), F.col("model_id"), F.lit(None)))
+def page_markdown(pages: DataFrame, model_id: str | None = None, keep_header_footer: bool = False,
+                  mode: str = "reference") -> DataFrame:
+    """Pages with a ``blocks`` array to pages with ``markdown``; row-local like the parse."""
+    def shown(d: Dialect) -> Column:
+        return d.markdown(F.col("blocks"), keep_header_footer, mode)
+
+    value = shown(REGISTRY[model_id]) if model_id else by_model(
+        shown, F.col("model_id"), F.lit(None))
     return pages.withColumn("markdown", value).drop("blocks")
 
 

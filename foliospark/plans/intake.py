@@ -67,9 +67,9 @@ def output_name(spark: SparkSession, sf: str) -> DataFrame:
     stem = F.regexp_replace("file_name", r"\.pdf$", "")
     stored = F.when(F.col("doc_id") % 3 == 0, F.concat(task, F.lit("_"), stem)).when(
         F.col("doc_id") % 3 == 1, F.concat(task, F.lit("___"), stem)).otherwise(stem)
-    when = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id"))
+    when = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, doc_id)")
     return up.select("doc_id", intake.output_name(stored, task).alias("clean_name"),
-                     intake.output_file(stored, task, when.cast("timestamp_ntz")).alias("output_file"))
+                     intake.output_file(stored, task, when).alias("output_file"))
 
 
 OUTPUT_NAME_SQL = f"""WITH {UPLOADS}, n AS (SELECT doc_id, replace(file_name, '.pdf', '') AS clean_name FROM u)

@@ -136,7 +136,7 @@ def test_nested_and_flat_agree(evaluate):
 
 def test_mixed_table_and_plugged_dialect(spark):
     register("Upper".lower(), Dialect(
-        clean=lambda c: c, markdown=lambda b: F.concat_ws("|", F.transform(b, lambda x: x["text"])),
+        clean=lambda c: c, markdown=lambda b, keep, mode: F.concat_ws("|", F.transform(b, lambda x: x["text"])),
         parse=lambda c, w, h, m="reference": F.array(F.struct(
             F.lit(None).cast("array<float>").alias("bbox"), F.lit("Text").alias("category"),
             F.upper(c).alias("text")))))
