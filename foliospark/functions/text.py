@@ -8,13 +8,26 @@ from pyspark.sql import functions as F
 from foliospark.functions.columns import is_blank, let, trimmed
 from foliospark.schemas import PICTURES
 
+# The clean-up patterns and their replacements.
+_PUNCT = ((r"\.{5,}", "..."), ("_{5,}", "___"), ("-{5,}", "---"))
+_CHAR_RUN = r"(?d)(.)\1{9,}"
+_TAG_RUN = r"(<[^>]+?)\1{2,}"
+_BLOCK_MATH = r'(?sU)<math[^>]*display="block"[^>]*>\s*(.*?)\s*</math>'
+_INLINE_MATH = r"(?sU)<math[^>]*>\s*(.*?)\s*</math>"
+_LINE_END = r"\r\n|\n"
+_JUNK_LINE = "&-"
+
+# Our own tests for lines that can hold a repeated sequence.
+_SHORT_UNIT = r"(?d)(.{2,10})\1{4}"
+_MID_UNIT = r"(?d)(.{11,63})\1{4}"
+
 
 def collapse_punct(c: Column) -> Column:
     """Five or more dots, underscores or dashes become three."""
     def collapse(t: Column) -> Column:
         out = t
-        for mark, repl in ((r"\.", "..."), ("_", "___"), ("-", "---")):
-            out = F.regexp_replace(out, mark + "{5,}", repl)
+        for pattern, repl in _PUNCT:
+            out = F.regexp_replace(out, pattern, repl)
         return F.when(t.rlike(r"\.{5}|_{5}|-{5}"), out).otherwise(t)
 
     return let(c, collapse)
@@ -22,7 +35,7 @@ def collapse_punct(c: Column) -> Column:
 
 def collapse_chars(c: Column) -> Column:
     """One character repeated ten or more times becomes three."""
-    return F.regexp_replace(c, r"(?d)(.)\1{9,}", "$1$1$1")
+    return F.regexp_replace(c, _CHAR_RUN, "$1$1$1")
 
 
 def _repeated_pieces(line: Column, size: int, step: int) -> Column:
@@ -34,27 +47,37 @@ def _repeated_pieces(line: Column, size: int, step: int) -> Column:
 
 def _collapse_line(line: Column) -> Column:
     n = F.length(line)
-    # Five copies fit into the line, so the unit is at most a fifth of it. Rounded up to a power of
-    # two, the bound gives few distinct patterns and the same matches as an unbounded unit.
-    bound = F.pow(F.lit(2.0), F.greatest(F.lit(1), F.ceil(F.log2((n / 5).cast("double")))))
-    pattern = F.concat(F.lit("(?d)(.{2,"), bound.cast("int").cast("string"), F.lit(r"})\1{4,}"))
-    long_unit = (n >= 55) & let(_repeated_pieces(line, 8, 4), lambda copies: (copies >= 1) & (
-        line.rlike(r"(?d)(.{11,63})\1{4}")
-        | ((n >= 320) & (copies >= 14) & (_repeated_pieces(line, 64, 1) >= 193))))
-    suspect = (n >= 10) & (line.rlike(r"(?d)(.{2,10})\1{4}") | long_unit)
-    return F.when(suspect, F.regexp_replace(line, pattern, F.lit("$1$1$1"))).otherwise(line)
+
+    def longest_unit(copies: Column) -> Column:
+        # Upper bound of the unit length in this line, null when nothing can match.
+        some = (n >= 320) & (copies >= 14)
+        pieces = F.when(some, _repeated_pieces(line, 64, 1)).otherwise(F.lit(0))
+        return let(pieces, lambda repeated: (
+            F.when(repeated >= 193, F.least(F.floor(n / 5), F.floor((repeated + 63) / 4)))
+            .when((copies >= 1) & line.rlike(_MID_UNIT), F.lit(63).cast("long"))
+            .when(line.rlike(_SHORT_UNIT), F.lit(10).cast("long"))))
+
+    def rewrite(bound: Column) -> Column:
+        # Rounded up to a power of two: few distinct patterns, the same matches.
+        top = F.pow(F.lit(2.0), F.ceil(F.log2(bound.cast("double")))).cast("int").cast("string")
+        return F.when(bound.isNull(), line).otherwise(F.regexp_replace(
+            line, F.concat(F.lit("(?d)(.{2,"), top, F.lit(r"})\1{4,}")), F.lit("$1$1$1")))
+
+    copies = F.when(n >= 55, _repeated_pieces(line, 8, 4)).otherwise(F.lit(0))
+    return F.when(n < 10, line).otherwise(let(let(copies, longest_unit), rewrite))
 
 
 def collapse_sequences(c: Column) -> Column:
     """A sequence of two or more characters repeated five or more times becomes three.
 
-    The pattern back-tracks over all unit lengths at every position, so lines that cannot match are
-    left out first. Five copies of a unit of L characters are 5L characters of period L. Units of
-    up to 10 characters are looked for directly. For longer ones, the 8-character pieces at every
-    fourth position come back after at most 4L characters, which leaves (L - 7) / 4 of them that
-    repeat an earlier one: at least 1 from L = 11 and 14 from L = 64. Units of 11 to 63 are then
-    looked for with their own bound; for L >= 64, 4L - 63 >= 193 of all 64-character pieces repeat
-    an earlier one. Lines that pass are rewritten, and the result is the one of the plain pattern.
+    The pattern back-tracks over all unit lengths at every position, so each line first gets an
+    upper bound for the unit, or none when it cannot match. Five copies of a unit of L characters
+    are 5L characters of period L, and lie in one line. Units of up to 10 characters are looked for
+    directly. For longer ones, the 8-character pieces at every fourth position come back after at
+    most 4L characters, which leaves (L - 7) / 4 of them that repeat an earlier one: at least 1 from
+    L = 11 and 14 from L = 64. Units of 11 to 63 are then looked for with their own bound. For
+    L >= 64, 4L - 63 >= 193 of all 64-character pieces repeat an earlier one, so their number also
+    bounds L. A bound that no possible unit exceeds gives the result of the plain pattern.
     """
     return F.array_join(F.transform(F.split(c, "\n"), _collapse_line), "\n")
 
@@ -67,15 +90,14 @@ def collapse_runs(c: Column) -> Column:
 def collapse_tags(c: Column) -> Column:
     """A broken tag prefix repeated three or more times is kept once."""
     return let(c, lambda t: F.when(t.contains("<"), F.regexp_replace(
-        t, r"(<[^>]+?)\1{2,}", "$1")).otherwise(t))
+        t, _TAG_RUN, "$1")).otherwise(t))
 
 
 def math_to_latex(c: Column) -> Column:
     """Block math tags become ``$$`` blocks, then the other math tags become inline ``$..$``."""
     def convert(t: Column) -> Column:
-        out = F.regexp_replace(t, r'(?sU)<math[^>]*display="block"[^>]*>\s*(.*?)\s*</math>',
-                               "\n\\$\\$\n$1\n\\$\\$\n")
-        out = F.regexp_replace(out, r"(?sU)<math[^>]*>\s*(.*?)\s*</math>", " \\$$1\\$ ")
+        out = F.regexp_replace(t, _BLOCK_MATH, "\n\\$\\$\n$1\n\\$\\$\n")
+        out = F.regexp_replace(out, _INLINE_MATH, " \\$$1\\$ ")
         return F.when(t.contains("<math"), out).otherwise(t)
 
     return let(c, convert)
@@ -89,19 +111,19 @@ def line_dedupe(c: Column) -> Column:
     form differs from the one just before it.
     """
     def numbered(t: Column) -> Column:
-        return F.transform(F.split(t, r"\r\n|\n"), lambda line, i: F.struct(
+        return F.transform(F.split(t, _LINE_END), lambda line, i: F.struct(
             i.alias("i"), line.alias("line"), F.lower(F.replace(line, F.lit(" "))).alias("norm"),
             is_blank(line).alias("blank")))
 
     def dedupe(all_lines: Column) -> Column:
-        counted = F.filter(all_lines, lambda x: ~x["blank"] & (x["norm"] != "&-"))
+        counted = F.filter(all_lines, lambda x: ~x["blank"] & (x["norm"] != _JUNK_LINE))
         kept = let(counted, lambda seq: F.filter(
             seq, lambda x, j: (j == 0) | (x["norm"] != F.get(seq, j - 1)["norm"])))
         blank = F.filter(all_lines, lambda x: x["blank"])
         ordered = F.sort_array(F.concat(blank, kept))
         return F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
 
-    single = lambda t: F.when(F.replace(t, F.lit(" ")) == "&-", F.lit("")).otherwise(t)
+    single = lambda t: F.when(F.replace(t, F.lit(" ")) == _JUNK_LINE, F.lit("")).otherwise(t)
     return let(c, lambda t: F.when(t.contains("\n"), let(numbered(t), dedupe)).otherwise(single(t)))
 
 

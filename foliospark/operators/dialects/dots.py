@@ -14,18 +14,24 @@ from foliospark.functions.blocks import dedupe
 from foliospark.functions.columns import is_blank, let, literal_lookup, trimmed
 from foliospark.schemas import CATEGORIES
 
+_BLOCK_TYPE = "array<struct<bbox:array<float>,category:string,text:string>>"
+
+# The patterns of the response format and the characters stripped from both ends of
+# recovered text. The quoted text uses possessive quantifiers, which match the same without
+# recursion.
+_FENCE = r"(?sU)```json\s*(.*?)\s*```"
 _MARKER = r'(?U)"bbox"\s*:\s*\['
 _LETTER = r"a-zA-ZÀ-ỹ"
-_BLOCK_TYPE = "array<struct<bbox:array<float>,category:string,text:string>>"
-# Characters stripped from both ends of recovered text (fixed set).
+_CATEGORY = r'(?U)"category"\s*:\s*"([^"]+)"'
+_TEXT = r'(?U)"text"\s*:\s*"([^"\\]*+(?:\\[^\n][^"\\]*+)*+)"?'
+_FRAGMENTS = (r'(?iU)"category"\s*:\s*"[^"]*"?,?', r'(?iU)"text"\s*:\s*"?,?', r'(?iU)"bbox"\s*:\s*\[?,?')
 _EDGE = ' ,{}\r\n\t":[])(，'
 
 
 def unfenced(content: Column) -> Column:
     """The body of the first ```json fence, or the trimmed text when there is none."""
-    fence = r"(?sU)```json\s*(.*?)\s*```"
     return let(trimmed(content), lambda t: F.when(
-        t.contains("```json") & t.rlike(fence), F.regexp_extract(t, fence, 1)).otherwise(t))
+        t.contains("```json") & t.rlike(_FENCE), F.regexp_extract(t, _FENCE, 1)).otherwise(t))
 
 
 def category_of(name: Column, mode: str = "reference") -> Column:
@@ -51,15 +57,12 @@ def _fields(segment: Column, tail: Column, mode: str) -> Column:
     bbox = F.when(F.size(numbers) > 0, numbers.cast("array<float>"))
     box_text = F.regexp_extract(tail, rf"\A(?:[^0-9{_LETTER}]*+[0-9]++){{1,4}}", 0)
 
-    name = F.regexp_extract(segment, r'(?U)"category"\s*:\s*"([^"]+)"', 1)
-    # Possessive quantifiers: the same matches as the plain alternation, without recursion.
-    quoted = F.regexp_extract(
-        segment, r'(?U)"text"\s*:\s*"([^"\\]*+(?:\\[^\n][^"\\]*+)*+)"?', 1)
+    name = F.regexp_extract(segment, _CATEGORY, 1)
+    quoted = F.regexp_extract(segment, _TEXT, 1)
 
     rest = F.when(F.length(box_text) > 0,
                   F.substr(tail, F.length(box_text) + 1)).otherwise(segment)
-    for fragment in (r'(?iU)"category"\s*:\s*"[^"]*"?,?', r'(?iU)"text"\s*:\s*"?,?',
-                     r'(?iU)"bbox"\s*:\s*\[?,?'):
+    for fragment in _FRAGMENTS:
         rest = F.regexp_replace(rest, fragment, "")
     rest = F.btrim(rest, F.lit(_EDGE))
 
