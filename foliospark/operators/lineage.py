@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -10,19 +11,23 @@ from pyspark.sql import DataFrame
 def checkpoint_dir(df: DataFrame) -> str:
     """The shared folder the session names; only where none is set (tests on one machine) a
     temporary one is chosen."""
-    context = df.sparkSession.sparkContext
-    folder = (df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    session = df.sparkSession
+    context = session.sparkContext
+    folder = (session.conf.get("spark.checkpoint.dir", None)
               or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir())
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="foliospark-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
+    if folder:
+        return folder.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return tempfile.mkdtemp(prefix="foliospark-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the checkpoint folder and continue from there."""
-    checkpoint_dir(df)
-    return df.checkpoint()
+    """Store ``df`` as a table in the checkpoint folder and continue from the table.
+
+    A table is written in one pass, while ``checkpoint()`` computes its input once to count it and
+    once more to save it, which would repeat costly calls in the input.
+    """
+    path = f"{checkpoint_dir(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -87,3 +87,20 @@ def test_attempt_rounds(spark):
     assert [o for o, _ in got["mix"]] == ["LENGTH", "EMPTY", "OK"]
     assert got["mix"][2][1].split()[0] == "6096" and got["mix"][2][1].split()[1] in ("nan", "None")
     assert [o for o, _ in got["error"]] == ["API_ERROR"] * 3
+
+
+def test_engine_is_called_once_per_attempt(spark, tmp_path):
+    """Storing a round must not run the model again."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def engine(batch):
+        import uuid
+        for t, a in zip(batch["task_id"], batch["attempt"]):
+            (calls / f"{t}_{a}_{uuid.uuid4().hex}").write_text("")
+        return batch.assign(model_id="chandra", content="x", finish_reason="length", token_count=1, error=None)
+
+    requests = spark.createDataFrame([(f"t{k}", 0) for k in range(20)], "task_id string, page_index int")
+    answers = attempts.attempt_rounds(requests, engine)
+    assert answers.count() == 60 and answers.filter("outcome = 'LENGTH'").count() == 60
+    assert len(list(calls.iterdir())) == 60
