@@ -28,8 +28,8 @@ from foliospark.operators.lineage import cut
 from .common import remainder, slices, word_hashes
 
 DEPTH = 5
-LEAST = 1e-4
-DIVERGENCE = 0.01      # nats
+LEAST = 2e-5
+DIVERGENCE = 0.003     # nats
 FREQUENT = 1e-6
 HELD = 10
 END_KEY = 0x656E64
@@ -116,10 +116,11 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
 
 
 class Automaton:
-    """States by number; ``step[state * 256 + byte]`` and ``logp`` likewise (log10)."""
+    """States by number. ``column`` maps a byte to its column; bytes never seen share the last one.
+    ``step[state * columns + column]`` is the next state and ``logp`` likewise its log10 chance."""
 
-    def __init__(self, step: np.ndarray, logp: np.ndarray, depth: int):
-        self.step, self.logp, self.depth = step, logp, depth
+    def __init__(self, step: np.ndarray, logp: np.ndarray, column: np.ndarray, depth: int):
+        self.step, self.logp, self.column, self.depth = step, logp, column, depth
 
     def log10(self, texts: list[str | None], width: int = 512) -> np.ndarray:
         """log10 probability of each text. The bytes of all texts are cut into rows of ``width``
@@ -127,13 +128,14 @@ class Automaton:
         data, owner, place = byte_stream(texts)
         n, warm = len(data), self.depth
         rows = -(-n // width)
-        padded = np.full(warm + rows * width, 10, np.int32)
-        padded[warm:warm + n] = data
+        padded = np.full(warm + rows * width, self.column[10], np.int32)
+        padded[warm:warm + n] = self.column[data]
+        columns = int(self.column.max()) + 1
         at = np.arange(rows) * width
         state = np.zeros(rows, np.int32)
         out = np.empty((width, rows), np.float32)
         for t in range(warm + width):
-            slot = state * 256 + padded[at + t]
+            slot = state * columns + padded[at + t]
             if t >= warm:
                 out[t - warm] = self.logp[slot]
             state = self.step[slot]
@@ -206,7 +208,14 @@ def build_automaton(table: pd.DataFrame, kept: set[tuple[int, int]], depth: int)
             at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
             hit = (values[at] == wanted) & (lengths[:, None] + 1 >= d)
             step[hit] = own[at][hit]
-    return Automaton(step.reshape(-1), np.log10(p).astype(np.float32).reshape(-1), depth)
+    seen = np.flatnonzero(counts[0])
+    column = np.full(256, len(seen), np.int32)
+    column[seen] = np.arange(len(seen))
+    # a byte never seen has the same small chance as any other one and leads to the empty context
+    one = np.setdiff1d(np.arange(256), seen)[:1]
+    p = np.hstack([p[:, seen], p[:, one] if len(one) else np.ones((len(states), 1))])
+    step = np.hstack([step[:, seen], np.zeros((len(states), 1), np.int32)])
+    return Automaton(step.reshape(-1), np.log10(p).astype(np.float32).reshape(-1), column, depth)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
