@@ -32,6 +32,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no name of a table can clash with a working column."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
 def remainder(doc_id: Column, base: int) -> Column:
     """crc32 of the id as text, modulo ``base``; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % base

@@ -133,7 +133,7 @@ def license_hits(docs: DataFrame, base: tuple[Notice, ...] = BASE, fuzzy: tuple[
             rows.append((n, [dict(zip(("label", "first", "words", "edits", "base"), h)) for h in hits]))
         return pd.DataFrame(rows, columns=["n_words", "hits"])
 
-    other = [c for c in docs.columns if c.lower() != "scan"]
+    other = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "scan"]
     return docs.select(*other, scan(F.coalesce(F.col(text), F.lit(""))).alias("scan"))
 
 

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foliospark.operators.lineage import checkpoint_dir, cut
 
+from .common import whole_row
+
 LEAST = 5
 PERCENT = 80
 RARE = 256
@@ -181,7 +183,7 @@ def without_repeated_lines(docs: DataFrame, column: str = "text") -> DataFrame:
     rows stay, texts without any line too. Columns unchanged."""
     gone = removed_lines(docs).groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("_gone")).withColumnsRenamed(
         {"doc_id": "_id", "th": "_th"})
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", F.col("text").alias("_text"), F.xxhash64("text").alias("th"))
+    rows = docs.select(whole_row(docs), "doc_id", F.col("text").alias("_text"), F.xxhash64("text").alias("th"))
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     left = F.filter(F.split("_text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import remainder, slices
+from .common import remainder, slices, whole_row
 
 PASSAGE = 400          # bytes
 SAMPLE = 3000          # labelled documents the model is fitted on, chosen by a hash of the id
@@ -215,6 +215,6 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, columns unchanged."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    rows = docs.select(whole_row(docs), "text")
     out = scored(rows, train(docs, labels))
     return out.filter(F.col("quality_score") >= REJECT_BELOW).select("_row.*")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from foliospark.operators.lineage import cut
 
-from .common import components, mix, slices, word_hashes
+from .common import components, mix, slices, whole_row, word_hashes
 
 SLOTS = 128
 BANDS = 32   # of four slots: of pairs with a similarity of 0.8, one in 10**7 shares no band
@@ -207,7 +207,7 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))).alias("best"))
         .select(F.col("best.doc_id").alias("_id"), F.col("best.node").alias("_node")))
     bare = groups.filter("n_shingles = 0").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    rows = docs.select(whole_row(docs), "doc_id", "text")
     empty = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "")) == ""
     stay = rows.filter(~empty).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     # repeats of a kept id: one row

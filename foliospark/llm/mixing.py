@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from foliospark.operators.lineage import cut
 
-from .common import mix_int, n_words
+from .common import mix_int, n_words, whole_row
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -147,10 +147,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by a hash of id, source and text; equal rows share their copies in order.
     """
-    columns = docs.columns
     key = F.xxhash64("doc_id", "source", "text")
     turn = F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0)))
-    rows = docs.select(F.struct(*columns).alias("_row"), key.alias("_key"), "source",
+    rows = docs.select(whole_row(docs), key.alias("_key"), "source",
                        n_words(F.col("text")).alias("size"))
     copies = mixed_copies(rows.select(F.col("_key").alias("key"), "source", "size"))
     copies = copies.select(F.col("key").alias("_key"), "copies", F.row_number().over(

@@ -130,6 +130,6 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = 204
 
     body = F.coalesce(F.col(text), F.lit(""))
     mine = {"n_bytes", "n_tokens", "over_limit"}
-    other = [c for c in docs.columns if c.lower() not in mine]
+    other = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in mine]
     return (docs.select(*other, F.octet_length(body).cast("long").alias("n_bytes"), count(body).alias("n_tokens"))
             .withColumn("over_limit", F.col("n_tokens") > limit))
