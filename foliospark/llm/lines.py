@@ -4,7 +4,7 @@ A line is the set of its distinct lower-cased words; lines of fewer than ``LEAST
 alone. Each word becomes a key whose first byte is a rarity class, so that the order of keys is an
 order by rarity. Two sets with a Jaccard similarity of t or more share their two rarest common words
 in the first ``|x| - ceil(t |x|) + 2`` words of either (prefix filter). Where one of the two is rare
-(fewer than ``RARE`` lines hold it) the lines meet under this word; otherwise under the pair, so no
+(few lines hold it, ``rarity_classes``) the lines meet under this word; otherwise under the pair, so no
 meeting place grows with the frequency of a common word. Lines that meet are held against each
 other by length, by place (words before and after the common one bound the overlap) and by a
 parity bitmap (as many bits differ as words differ, at most); what is left is verified on the full sets.
@@ -29,32 +29,39 @@ LEAST = 5
 PERCENT = 80
 RARE = 256
 SKETCH = 1 << 20
-_SPLIT = r"[ \t\x0b\f\r]+"
 
 
-def words_of(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), _SPLIT)), "")
+def word_hashes_of(line: Column) -> Column:
+    """Hashes of the distinct words; blanks other than the space have been made spaces before."""
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
 
 
 def text_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), line_no from 0, words; null texts have no lines."""
-    return docs.select("doc_id", F.xxhash64("text").alias("th"),
-                       F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(
-        "doc_id", "th", "line_no", words_of(F.col("line")).alias("words"))
+    """doc_id, th (hash of the text), line_no from 0, words (hashes); null texts have no lines and
+    lines of few words are left out."""
+    plain = F.lower("text")
+    for blank in "\t\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
+    return (docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(plain, "\n")).alias("line_no", "line"))
+            .select("doc_id", "th", "line_no", word_hashes_of(F.col("line")).alias("words"))
+            .filter(F.size("words") >= LEAST))
 
 
 def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(SKETCH))
+    return F.pmod(word, F.lit(SKETCH))
 
 
-def rarity_classes(lines: DataFrame) -> bytes:
-    """A class per bucket of words from the number of lines that hold a word of the bucket: steps of
-    a quarter of a power of two. ``SKETCH`` bytes, whatever the number of words."""
+def rarity_classes(lines: DataFrame) -> tuple[bytes, int]:
+    """A class per bucket of words from the number of lines that hold a word of the bucket, in steps of
+    a quarter of a power of two: ``SKETCH`` bytes, whatever the number of words. And the class from
+    which on words are frequent: ``RARE`` lines or, in a large corpus, four times the mean bucket."""
     counts = lines.select(F.explode("words").alias("w")).groupBy(_bucket(F.col("w")).cast("int").alias("b")).count()
     table = np.zeros(SKETCH, np.int64)
     got = counts.toPandas()
     table[got["b"].to_numpy(np.int64)] = got["count"].to_numpy(np.int64)
-    return rarity_class(table).tobytes()
+    limit = max(RARE, 4 * int(table.mean()))
+    return rarity_class(table).tobytes(), int(rarity_class(np.array([limit]))[0]) + 1
 
 
 def rarity_class(count: np.ndarray) -> np.ndarray:
@@ -66,11 +73,10 @@ def keyed(lines: DataFrame, classes: bytes) -> DataFrame:
     table = F.lit(bytearray(b + 1 for b in classes))
     rank = lambda h: F.ascii(F.substring(table, F.pmod(h, F.lit(SKETCH)).cast("int") + 1, F.lit(1)).cast("string"))
     key = lambda h: F.shiftleft(rank(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    hashes = F.transform("words", lambda w: F.xxhash64(w))
-    keys = F.sort_array(F.transform(hashes, key))
+    keys = F.sort_array(F.transform("words", key))
     sig = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
-    return (lines.filter(F.size("words") >= LEAST).select("doc_id", "th", "line_no", keys.alias("keys"))
+    return (lines.select("doc_id", "th", "line_no", keys.alias("keys"))
             .select("*", F.size("keys").alias("n"), F.xxhash64("keys").alias("id"), sig.alias("sig")))
 
 
@@ -81,10 +87,9 @@ def _store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _meeting_places(reps: DataFrame, percent: int) -> DataFrame:
-    """key, who (place of the line), sig, n, pos: where each distinct set may meet others."""
-    common = int(rarity_class(np.array([RARE]))[0]) + 1
-    frequent = lambda k: F.shiftright(k, 56) >= common
+def _meeting_places(reps: DataFrame, common: int) -> DataFrame:
+    """key, doc_id, line_no, sig, n, pos: where each distinct set may meet others."""
+    frequent = lambda k: F.shiftright(k, 56) > common
     own = F.filter("prefix", lambda k: ~frequent(k))
     rest = F.filter("prefix", frequent)
     at = F.size(own)
@@ -92,7 +97,7 @@ def _meeting_places(reps: DataFrame, percent: int) -> DataFrame:
     pairs = F.flatten(F.transform(rest, lambda k, i: F.transform(
         F.slice(rest, i + 2, F.size(rest)), lambda j: F.struct(F.xxhash64(k, j).alias("key"), (at + i).alias("pos")))))
     return reps.select("doc_id", "line_no", "sig", "n", F.explode(F.concat(single, pairs)).alias("m")).select(
-        F.col("m.key").alias("key"), F.struct("doc_id", "line_no").alias("who"), "sig", "n", F.col("m.pos").alias("pos"))
+        F.col("m.key").alias("key"), "doc_id", "line_no", "sig", "n", F.col("m.pos").alias("pos"))
 
 
 def _may_match(x: dict, y: dict, percent: int) -> Column:
@@ -103,14 +108,50 @@ def _may_match(x: dict, y: dict, percent: int) -> Column:
     return length & (overlap >= need) & (F.bit_count(x["sig"].bitwiseXOR(y["sig"])) <= x["n"] + y["n"] - 2 * need)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(who, sig) of the later lines of the pairs that are similar on their full sets."""
-    x = sets.select(F.col("who").alias("x"), F.col("sig").alias("xs"), F.col("keys").alias("xk"))
-    y = sets.select(F.col("who").alias("y"), F.col("sig").alias("ys"), F.col("keys").alias("yk"))
-    both = F.size(F.array_intersect("xk", "yk"))
-    union = F.size("xk") + F.size("yk") - both
-    return (pairs.join(x, ["x", "xs"]).join(y, ["y", "ys"]).filter(100 * both >= percent * union)
-            .select(F.col("x").alias("who"), F.col("xs").alias("sig")).distinct())
+_X, _Y = ["x_sig", "x_doc", "x_line"], ["y_sig", "y_doc", "y_line"]
+_NAMES = ["sig", "doc_id", "line_no"]
+
+
+def _place(prefix: str, names: list[str]) -> list[Column]:
+    return [F.col(f"{prefix}{c}").alias(to) for c, to in zip(_NAMES, names)]
+
+
+def _full_sets(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """sig, doc_id, line_no, keys of the lines in the pairs, and no others.
+
+    Spark puts a bloom filter of the pairs in front of the exchange of the sets: its own run-time
+    filter, here for tables of any size. (A comparison is needed for Spark to see a selective side.)
+    """
+    conf = table.sparkSession.conf
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = conf.get(name)
+    ends = pairs.select(*_place_of(_X)).union(pairs.select(*_place_of(_Y))).distinct()
+    ends = cut(ends).filter(F.col("line_no") >= 0)
+    conf.set(name, "1")
+    try:
+        sets = table.join(ends, [table[c].eqNullSafe(ends[c]) if c == "doc_id" else table[c] == ends[c] for c in _NAMES], "left_semi")
+        return cut(sets.dropDuplicates(_NAMES).select(*_NAMES, "keys"))
+    finally:
+        conf.set(name, before)
+
+
+def _place_of(names: list[str]) -> list[Column]:
+    return [F.col(a).alias(b) for a, b in zip(names, _NAMES)]
+
+
+def _same(names: list[str], other: list[str]) -> list[Column]:
+    return [F.col(a).eqNullSafe(F.col(b)) if "doc" in a else F.col(a) == F.col(b) for a, b in zip(names, other)]
+
+
+def _verified(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """The later lines (sig, doc_id, line_no) of the pairs that are similar on their full sets."""
+    sets = _full_sets(pairs, table)
+    a = sets.select(*[F.col(c).alias(f"a_{c}") for c in _NAMES], F.col("keys").alias("a_keys"))
+    b = sets.select(*[F.col(c).alias(f"b_{c}") for c in _NAMES], F.col("keys").alias("b_keys"))
+    both = F.size(F.array_intersect("a_keys", "b_keys"))
+    union = F.size("a_keys") + F.size("b_keys") - both
+    return (pairs.join(a, _same(_X, [f"a_{c}" for c in _NAMES])).join(b, _same(_Y, [f"b_{c}" for c in _NAMES]))
+            .filter(100 * both >= percent * union).select(*_place_of(_X)).distinct())
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -119,46 +160,40 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Lines with the same set are one set at its first place; the others go with it as repeats. A null
     doc_id stands before all others, as in the order of the rows.
     """
-    lines = text_lines(docs)
-    table = _store(keyed(lines, rarity_classes(lines.filter(F.size("words") >= LEAST))))
+    lines = _store(text_lines(docs))
+    classes, common = rarity_classes(lines)
+    table = keyed(lines, classes)
     n = F.col("n")
     prefix = F.slice("keys", 1, (n - F.ceil(n * percent / 100) + 2).cast("int"))
     first = F.struct("doc_id", "line_no", "th", "sig", "n", prefix.alias("prefix"))
     reps = cut(table.groupBy("id").agg(F.min(first).alias("f")).select("id", "f.*"))
-    places = _meeting_places(reps, percent)
-    order = W.partitionBy("key").orderBy("who")
-    met = places.select("*", F.row_number().over(order).alias("turn"),
-                        F.first(F.struct("who", "sig", "n", "pos")).over(order).alias("head"),
-                        F.lag(F.struct("who", "sig", "n", "pos")).over(order).alias("prev"))
+    line = F.struct("doc_id", "line_no", "sig", "n", "pos")
+    order = W.partitionBy("key").orderBy("doc_id", "line_no")
+    met = _meeting_places(reps, common).select(
+        "*", F.row_number().over(order).alias("turn"), F.first(line).over(order).alias("head"), F.lag(line).over(order).alias("prev"))
     met = met.filter("turn > 1")
-    me = {c: F.col(c) for c in ("n", "pos", "sig")}
-    other = F.explode(F.array("head", "prev")).alias("o")
-    pairs = (met.select("who", "sig", "n", "pos", other)
-             .filter(_may_match(me, {c: F.col(f"o.{c}") for c in me}, percent) & (F.col("who") != F.col("o.who")))
-             .select(F.col("who").alias("x"), F.col("sig").alias("xs"), F.col("o.who").alias("y"), F.col("o.sig").alias("ys"))
-             .distinct())
-    pairs = cut(pairs)
-    sets = table.select(F.struct("doc_id", "line_no").alias("who"), "sig", "keys")
-
-    def full_sets(wanted: DataFrame) -> DataFrame:
-        ends = wanted.select(F.col("x").alias("who"), F.col("xs").alias("sig")).union(wanted.select("y", "ys")).distinct()
-        return cut(sets.join(ends, ["who", "sig"], "left_semi").dropDuplicates(["who", "sig"]))
-
-    gone = cut(_verified(pairs, full_sets(pairs), percent))
-    still = places.join(gone, ["who", "sig"], "left_anti")
-    a = still.select("key", *[F.col(c).alias(f"x_{c}") for c in ("who", "sig", "n", "pos")])
-    b = places.select("key", *[F.col(c).alias(f"y_{c}") for c in ("who", "sig", "n", "pos")])
-    rest = (a.join(b, "key").filter((F.col("y_who") < F.col("x_who")) & _may_match(
-        {c: F.col(f"x_{c}") for c in me}, {c: F.col(f"y_{c}") for c in me}, percent))
-        .select(F.col("x_who").alias("x"), F.col("x_sig").alias("xs"), F.col("y_who").alias("y"), F.col("y_sig").alias("ys"))
-        .distinct().join(pairs, ["x", "xs", "y", "ys"], "left_anti"))
-    rest = cut(rest)
-    late = _verified(rest, full_sets(rest), percent)
-    gone = cut(gone.union(late).distinct()).withColumn("gone", F.lit(True))
-    heads = reps.select("id", F.struct("doc_id", "line_no").alias("who"), "sig", F.col("th").alias("first_th")).join(
-        gone, ["who", "sig"], "left")
-    own = F.struct("doc_id", "line_no").eqNullSafe(F.col("who")) & (F.col("th") == F.col("first_th"))
-    return (table.select("doc_id", "th", "line_no", "id").join(heads.drop("sig"), "id")
+    mine = ("n", "pos", "sig")
+    few = F.filter(F.array("head", "prev"), lambda o: _may_match(
+        {c: F.col(c) for c in mine}, {c: o[c] for c in mine}, percent))
+    met = cut(met.withColumn("few", few).drop("head", "prev"))
+    pairs = cut(met.filter(F.size("few") > 0).select(*_NAMES, F.explode("few").alias("o"))
+                .select(*_place("", _X), *_place("o.", _Y)).distinct())
+    gone = cut(_verified(pairs, table, percent))
+    on = lambda left, right: [left[c].eqNullSafe(right[c]) if c == "doc_id" else left[c] == right[c] for c in _NAMES]
+    places = met.select("key", "turn", *_NAMES, "n", "pos")
+    late = places.filter("turn > 3")
+    late = late.join(gone, on(late, gone), "left_anti")
+    a = late.select("key", "turn", *[F.col(c).alias(f"x_{c}") for c in (*_NAMES, "n", "pos")])
+    b = places.select(F.col("key").alias("k"), F.col("turn").alias("t"), F.struct(*_NAMES, "n", "pos").alias("o"))
+    rest = a.join(b, (F.col("key") == F.col("k")) & (F.col("t") < F.col("turn") - 1) & _may_match(
+        {c: F.col(f"x_{c}") for c in mine}, {c: F.col(f"o.{c}") for c in mine}, percent))
+    rest = cut(rest.select(*_place("x_", _X), *_place("o.", _Y)).distinct())
+    gone = cut(gone.union(_verified(rest, table, percent)).distinct())
+    gone = gone.withColumn("gone", F.lit(True))
+    heads = reps.join(gone, on(reps, gone), "left").select(
+        "id", reps["doc_id"].alias("_doc"), reps["line_no"].alias("_line"), F.col("th").alias("_th"), "gone")
+    own = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("line_no") == F.col("_line")) & (F.col("th") == F.col("_th"))
+    return (table.select("doc_id", "th", "line_no", "id").join(heads, "id")
             .filter(~own | F.col("gone")).select("doc_id", "th", "line_no"))
 
 
