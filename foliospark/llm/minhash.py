@@ -6,13 +6,12 @@ are without repetition, so its values are correlated and the estimate varies les
 independent hashes. Values of rank j are at least j: a document stops as soon as all its slots hold
 values below the next rank, long documents after one or two ranks.
 
-Documents with the same shingle set are one node. Nodes that share a band meet the least and the
-greatest node of that bucket; confirmed links form groups, and only nodes of a bucket that are still
-in different groups are compared with each other. A link between two nodes of one group changes no
-group, so no component is lost. Before all of these meet, nodes of a bucket meet a few neighbours in
-an order that is drawn anew each round: in a cloud of copies most groups grow together in a few
-rounds of comparisons in proportion to its size. Pairs are verified only where one bit of each slot
-agrees often enough; this loses a pair of similarity 0.8 about as rarely as the bands do.
+Documents with the same shingle set are one node. Nodes that share a band meet the first node of that
+bucket and a few neighbours, in an order that each bucket draws anew; confirmed links form groups, and
+only nodes of a bucket that are still in different groups are compared with each other. A link
+between two nodes of one group changes no group, so no component is lost, and a cloud of copies grows
+together by comparisons in proportion to its size. Pairs are verified only where one bit of each
+slot agrees often enough; this loses a pair of similarity 0.8 about as rarely as the bands do.
 """
 
 from __future__ import annotations
@@ -33,8 +32,7 @@ SHINGLE, CONTRACT_SHINGLE = 5, 4
 PERCENT = 80
 BATCH = 2_000_000
 DIFFER = 32        # of 128 slot bits; at a similarity of 0.8 13 differ on average, at 0.2 51
-NEIGHBOURS = 4
-SLACK = 4          # pairs still to compare per member below which they all meet at once
+NEIGHBOURS = 3
 
 
 def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,14 +156,6 @@ def _alike(x: dict, y: dict, percent: int) -> Column:
     return (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent) & (differ <= DIFFER)
 
 
-def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of rows (node, n, s0, s1) with a struct ``o`` of the same."""
-    names = ("n", "s0", "s1")
-    return (rows.filter((F.col("node") != F.col("o.node")) & _alike(
-        {c: F.col(c) for c in names}, {c: F.col(f"o.{c}") for c in names}, percent))
-        .select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct())
-
-
 def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, node, n_shingles, component_id.
 
@@ -178,13 +168,18 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     reps = cut(signed.filter("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "bands", "s0", "s1")]))
     members = reps.select(F.explode("bands").alias("bucket"), "node", "n", "s0", "s1")
+    order = W.partitionBy("bucket").orderBy(F.xxhash64("node", "bucket"), "node")
     me = F.struct("node", "n", "s0", "s1")
-    buckets = members.groupBy("bucket").agg(F.min(me).alias("lo"), F.max(me).alias("hi"), F.count("*").alias("size"))
-    met = cut(members.join(buckets.filter("size > 1"), "bucket"))
-    ends = F.explode(F.array("lo", "hi")).alias("o")
-    pairs = cut(_candidates(met.select("node", "n", "s0", "s1", ends), percent))
-    # in buckets of two and three the ends have met all; larger ones may hold more pairs
-    larger = met.filter("size > 3").select("bucket", "node", "n", "s0", "s1")
+    others = F.array(F.first(me).over(order), *[F.lag(me, j).over(order) for j in range(1, NEIGHBOURS + 1)])
+    met = members.select("*", F.count("*").over(W.partitionBy("bucket")).alias("size"), others.alias("others"))
+    names = ("n", "s0", "s1")
+    some = F.filter("others", lambda o: (o["node"] != F.col("node")) & _alike(
+        {c: F.col(c) for c in names}, {c: o[c] for c in names}, percent))
+    met = cut(met.filter("size > 1").select("bucket", "node", *names, "size", F.transform(some, lambda o: o["node"]).alias("some")))
+    pairs = cut(met.select("node", F.explode("some").alias("o")).select(
+        F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct())
+    # in small buckets all have met; larger ones may hold more pairs
+    larger = met.filter(F.col("size") > NEIGHBOURS + 1).select("bucket", "node", *names)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(
         larger.select("node")).distinct()
     ids = reps.join(wanted, "node", "left_semi").select(F.col("rep").alias("doc_id"))
@@ -192,28 +187,9 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     sets = cut(_sets(texts, k).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     links = cut(_confirm(pairs, sets, percent))
     groups = components(links)
-
-    open_pairs, turn = None, 0
-    while True:
-        known = larger.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        by_root = known.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-        split = by_root.groupBy("bucket").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("own"))
-        split = cut(split.filter("size * size > own"))
-        cost = split.agg(F.sum("size").alias("members"), F.sum((F.col("size") * F.col("size") - F.col("own")) / 2).alias("pairs")).first()
-        known = known.join(split.select("bucket"), "bucket", "left_semi")
-        left = cost.pairs or 0
-        # rounds go on while they pay; what they leave is compared in full
-        if left <= SLACK * (cost.members or 0) or (open_pairs is not None and left > 0.7 * open_pairs):
-            break
-        open_pairs, turn = left, turn + 1
-        order = W.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(turn)))
-        near_by = F.array(*[F.lag(F.struct("node", "n", "s0", "s1", "root"), j).over(order)
-                            for j in range(1, NEIGHBOURS + 1)])
-        fresh = known.select("node", "n", "s0", "s1", "root", near_by.alias("near_by"))
-        fresh = fresh.withColumn("o", F.explode("near_by")).filter("root <> o.root")
-        found = _confirm(_candidates(fresh, percent), sets, percent)
-        links = cut(links.union(found))
-        groups = components(links)
+    known = larger.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = known.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
+    known = known.join(split.select("bucket"), "bucket", "left_semi")
     x = known.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "s0", "s1", "root")])
     y = known.select("bucket", F.struct("node", "n", "s0", "s1", "root").alias("o"))
     rest = x.join(y, (x.bucket == y.bucket) & (F.col("x_node") < F.col("o.node")) & (F.col("x_root") != F.col("o.root"))
