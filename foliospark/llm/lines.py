@@ -28,7 +28,7 @@ from .common import whole_row
 LEAST = 5
 PERCENT = 80
 RARE = 256
-SKETCH = 1 << 20
+SKETCH = 1 << 17
 
 
 def word_hashes_of(line: Column) -> Column:
