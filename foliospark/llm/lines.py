@@ -170,17 +170,18 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     line = F.struct("doc_id", "line_no", "sig", "n", "pos")
     order = W.partitionBy("key").orderBy("doc_id", "line_no")
     met = _meeting_places(reps, common).select(
-        "*", F.row_number().over(order).alias("turn"), F.first(line).over(order).alias("head"), F.lag(line).over(order).alias("prev"))
-    met = met.filter("turn > 1")
+        "*", F.count("*").over(W.partitionBy("key")).alias("size"), F.row_number().over(order).alias("turn"), F.first(line).over(order).alias("head"), F.lag(line).over(order).alias("prev"))
+    met = met.filter("size > 1")
     mine = ("n", "pos", "sig")
     few = F.filter(F.array("head", "prev"), lambda o: _may_match(
-        {c: F.col(c) for c in mine}, {c: o[c] for c in mine}, percent))
-    met = cut(met.withColumn("few", few).drop("head", "prev"))
+        {c: F.col(c) for c in mine}, {c: o[c] for c in mine}, percent) & (F.col("turn") > 1))
+    met = cut(met.withColumn("few", few).drop("head", "prev").filter((F.size("few") > 0) | (F.col("size") > 3)))
     pairs = cut(met.filter(F.size("few") > 0).select(*_NAMES, F.explode("few").alias("o"))
                 .select(*_place("", _X), *_place("o.", _Y)).distinct())
     gone = cut(_verified(pairs, table, percent))
     on = lambda left, right: [left[c].eqNullSafe(right[c]) if c == "doc_id" else left[c] == right[c] for c in _NAMES]
-    places = met.select("key", "turn", *_NAMES, "n", "pos")
+    # from the fourth line of a place on there are more lines to meet than the first and the previous
+    places = met.filter("size > 3").select("key", "turn", *_NAMES, "n", "pos")
     late = places.filter("turn > 3")
     late = late.join(gone, on(late, gone), "left_anti")
     a = late.select("key", "turn", *[F.col(c).alias(f"x_{c}") for c in (*_NAMES, "n", "pos")])
