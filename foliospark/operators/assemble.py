@@ -5,23 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAGES_PER_PART = 500
 
-
-def document_parts(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame:
-    """Document Markdown from page Markdown, in parts of at most ``pages_per_part`` pages.
-
-    Each page gives its Markdown, an empty line, ``Page n``, an empty line and a rule; blank pages
-    are included. A document of up to that many pages is exactly one part; a longer one is the
-    concatenation of its parts in order, so no document is gathered whole in one task.
-    """
+def document_markdown(pages: DataFrame) -> DataFrame:
+    """One row per document: its pages in order, each with its Markdown, an empty line, ``Page n``, an
+    empty line and a rule; blank pages are included."""
     page = F.concat(F.coalesce("markdown", F.lit("")), F.lit("\n\nPage "),
                     (F.col("page_index") + 1).cast("string"), F.lit("\n\n---\n"))
-    part = F.floor(F.col("page_index") / pages_per_part).cast("int")
     ordered = F.sort_array(F.collect_list(F.struct("page_index", page.alias("md"))))
-    return (pages.groupBy("task_id", part.alias("part_no"))
-            .agg(ordered.alias("p"))
-            .select("task_id", "part_no", F.size("p").alias("pages"), F.array_join(
+    return (pages.groupBy("task_id").agg(ordered.alias("p"))
+            .select("task_id", F.size("p").alias("pages"), F.array_join(
                 F.transform("p", lambda x: x["md"]), "").alias("markdown")))
 
 

@@ -14,7 +14,6 @@ from foliospark.operators.running import previous_value, running_sums
 from foliospark.schemas import EVENT, EVENT_STATUS, EVENT_TYPE, TERMINAL_STATUS
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
-ENTRIES_PER_PART = 1000
 ORDER = ["event_time", "event_id"]
 
 
@@ -125,24 +124,15 @@ def log_entry() -> Column:
                     F.col("message"), F.col("status"))
 
 
-def save_log(events: DataFrame, success_only: bool = False,
-             entries_per_part: int = ENTRIES_PER_PART) -> DataFrame:
-    """Execution log of each finished task as JSON arrays of at most ``entries_per_part`` entries.
-
-    A log of up to that many entries is one part. Entries are numbered by bucketed running counts,
-    so a task with very many events is never sorted or gathered in one task.
-    """
+def save_log(events: DataFrame, success_only: bool = False) -> DataFrame:
+    """Execution log of each finished task as one JSON array, entries in order of time and id; events
+    without a readable time come first."""
     ends = (F.col("status") == "Successed") if success_only else is_terminal(F.col("status"))
-    logging = F.col("event_type") == "Logging"
-    numbered = running_sums(
-        events, ["task_id"], hour_of(F.col("event_time")), ORDER,
-        {"_n": logging.cast("int"), "_t": ends.cast("int")}, {"_ends": "_t"})
-    entries = (numbered.filter(logging & (F.col("_ends") > 0))
-               .withColumn("part_no", F.floor((F.col("_n") - 1) / entries_per_part).cast("int")))
-    log = F.transform(F.sort_array(F.collect_list(F.struct("_n", log_entry().alias("entry")))),
-                      lambda x: x["entry"])
-    return (entries.groupBy("task_id", "part_no").agg(log.alias("log"))
-            .select("task_id", "part_no", F.size("log").alias("entries"),
+    entry = F.when(F.col("event_type") == "Logging", F.struct(*ORDER, log_entry().alias("entry")))
+    log = F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["entry"])
+    return (events.groupBy("task_id").agg(log.alias("log"), F.bool_or(F.coalesce(ends, F.lit(False))).alias("_ends"))
+            .filter(F.col("_ends") & (F.size("log") > 0))
+            .select("task_id", F.size("log").alias("entries"),
                     F.to_json("log", {"ignoreNullFields": "false"}).alias("log_json")))
 
 

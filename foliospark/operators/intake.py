@@ -27,9 +27,9 @@ def reject_reason() -> Column:
     return (F.when(F.col("length").isNull() | (F.col("length") == 0), "NO_FILE")
             .when(~F.col("supported"), "UNSUPPORTED_MODEL")
             .when(F.col("concurrency").isNull(), "NO_MODEL_CONFIG")
-            .when(~F.col("file_exists"), "FILE_NOT_FOUND")
-            .when(F.col("stored_length") == 0, "EMPTY_FILE")
-            .when(~F.col("readable"), "UNREADABLE")
+            .when(~F.coalesce("file_exists", F.lit(False)), "FILE_NOT_FOUND")
+            .when(F.coalesce("stored_length", F.lit(0)) == 0, "EMPTY_FILE")
+            .when(~F.coalesce("readable", F.lit(False)), "UNREADABLE")
             .when(F.coalesce("total_pages", F.lit(0)) <= 0, "NO_PAGES"))
 
 

@@ -11,7 +11,8 @@ from foliospark.schemas import models, prompts
 def request_params(requests: DataFrame, mode: str = "default") -> DataFrame:
     """Sampling parameters, prompt and message of each page request.
 
-    A request is a retry when it carries a penalty. Both dimensions are fixed local relations, so
+    Model ids match in any case. A request whose model is unknown or has no prompt for the mode stays,
+    with a ``reason`` and without parameters. A request is a retry when it carries a penalty. Both dimensions are fixed local relations, so
     the joins are map-side.
     """
     spark = requests.sparkSession
@@ -20,7 +21,9 @@ def request_params(requests: DataFrame, mode: str = "default") -> DataFrame:
     retry = F.col("frequency_penalty").isNotNull()
     part = F.struct(F.lit("text").alias("type"), F.col("prompt_text").alias("text"))
     image = F.struct(F.lit("image").alias("type"), F.lit("").alias("text"))
-    return (requests.join(settings, "model_id")
+    settings = settings.withColumnRenamed("model_id", "_model")
+    return (requests.join(settings, F.lower("model_id") == F.col("_model"), "left")
+            .withColumn("reason", F.when(F.col("_model").isNull(), "NO_MODEL_OR_PROMPT")).drop("_model")
             .withColumn("is_retry", retry)
             .withColumn("request_temperature",
                         F.when(retry, F.col("retry_temperature")).otherwise(F.col("temperature")))

@@ -14,6 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _null_safe(rows: DataFrame, buckets: DataFrame, part: list[str]) -> DataFrame:
+    """Join on the bucket; rows without one (a null order value) are the first bucket of their key."""
+    named = buckets.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(part)})
+    on = [rows[c].eqNullSafe(named[f"_k{i}"]) for i, c in enumerate(part)]
+    return rows.join(named, on)
+
+
 def running_sums(df: DataFrame, keys: list[str], bucket: Column, order: list,
                  sums: dict[str, Column], totals: dict[str, str] | None = None) -> DataFrame:
     """Add inclusive running sums over ``keys`` in (bucket, order) order.
@@ -33,7 +40,7 @@ def running_sums(df: DataFrame, keys: list[str], bucket: Column, order: list,
     offsets = per_bucket.select(
         *part, *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
         *[F.sum(f"_s_{n}").over(whole).alias(new) for new, n in (totals or {}).items()])
-    return local.join(offsets, part).select(
+    return _null_safe(local, offsets, part).select(
         *df.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums],
         *(totals or {}))
 
@@ -47,5 +54,5 @@ def previous_value(df: DataFrame, keys: list[str], bucket: Column, order: list[s
     lasts = base.groupBy(*part).agg(F.max_by(value, F.struct(*order)).alias("_last"))
     carried = lasts.select(*part, F.lag("_last").over(
         W.partitionBy(*keys).orderBy("_bucket")).alias("_carry"))
-    return local.join(carried, part).select(
+    return _null_safe(local, carried, part).select(
         *df.columns, F.coalesce("_prev", "_carry").alias(name))

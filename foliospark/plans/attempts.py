@@ -78,7 +78,7 @@ WHERE outcome IN ('LENGTH', 'REPETITION', 'RUNAWAY')"""
 
 def request_params(spark: SparkSession, sf: str) -> DataFrame:
     rows = X.view(spark, sf, "conversations", X.ATTEMPT_COLS).select(
-        "conv_id", "turn", F.lower("model_id").alias("model_id"),
+        "conv_id", "turn", "model_id",
         F.when(F.col("turn") % 3 > 0, F.round(F.col("turn") % 3 * 0.2, 1)).alias("frequency_penalty"))
     return requests.request_params(rows).select(
         "conv_id", "turn", "is_retry", "temperature", "top_p", "repetition_penalty",

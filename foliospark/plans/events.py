@@ -92,17 +92,16 @@ def save_log(spark: SparkSession, sf: str) -> DataFrame:
     """Log summaries, compared by their entries."""
     logs = E.save_log(_events(spark, sf))
     entry = "array<struct<taskId:string,time:string,message:string,status:string>>"
-    rows = logs.select("task_id", "part_no", "entries",
+    rows = logs.select("task_id", "entries",
                        F.posexplode(F.from_json("log_json", entry)).alias("position", "x"))
-    return rows.select("task_id", "part_no", "entries", "position", F.col("x.time").alias("time"),
+    return rows.select("task_id", "entries", "position", F.col("x.time").alias("time"),
                        F.col("x.message").alias("message"), F.col("x.status").alias("status"))
 
 
 SAVE_LOG_SQL = f"""WITH {EVENTS}, t AS (SELECT DISTINCT task_id FROM e WHERE status IN ('Successed', 'Failed', 'Canceled')),
 n AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY event_time, event_id) AS k,
 count(*) OVER (PARTITION BY task_id) AS c FROM e WHERE event_type = 'Logging' AND task_id IN (SELECT task_id FROM t))
-SELECT task_id, CAST((k - 1) // 1000 AS INT) AS part_no, CAST(least(1000, c - (k - 1) // 1000 * 1000) AS INT) AS entries,
-CAST((k - 1) % 1000 AS INT) AS position, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS "time", message, status FROM n"""
+SELECT task_id, CAST(c AS INT) AS entries, CAST(k - 1 AS INT) AS position, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS "time", message, status FROM n"""
 
 
 def result_ready(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,11 +20,6 @@ MODEL_NAME = _MODEL.format(*[f"'{m[1]}'" for m in MODELS])
 MODEL_LIMIT = _MODEL.format(*[m[2] for m in MODELS])
 
 
-def upload_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """The data files themselves as uploads; their bytes are not read."""
-    return readers.uploads(spark, sf, "*.parquet").select("file_name", "length")
-
-
 def _uploads(spark: SparkSession, sf: str) -> DataFrame:
     return X.view(spark, sf, "documents", X.UPLOAD_COLS)
 
@@ -220,7 +215,6 @@ CAST(sum(o_orderkey % 3) AS BIGINT) AS used, count(*) AS workers,
 sum(o_orderkey % 3) >= {_LIMIT} AS exhausted FROM orders GROUP BY o_orderpriority"""
 
 QUERIES = {
-    "upload_scan": (upload_scan, None),
     "validate_uploads": (validate_uploads, VALIDATE_SQL),
     "model_lookup": (model_lookup, MODEL_LOOKUP_SQL),
     "task_id": (task_id, TASK_ID_SQL),

@@ -369,11 +369,11 @@ def page_markdown_chandra(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_markdown(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship chain: responses, blocks, page Markdown, documents."""
-    return assemble.document_parts(_markdown(spark, sf, "dots"))
+    return assemble.document_markdown(_markdown(spark, sf, "dots"))
 
 
 DOCUMENT_MARKDOWN_SQL = f"""WITH RECURSIVE {DOTS_MARKDOWN_CTES}
-SELECT task_id, 0 AS part_no, CAST(count(*) AS INT) AS pages, string_agg(concat(markdown,
+SELECT task_id, CAST(count(*) AS INT) AS pages, string_agg(concat(markdown,
   chr(10), chr(10), 'Page ', page_index + 1, chr(10), chr(10), '---', chr(10)), '' ORDER BY page_index)
   AS markdown FROM page_md GROUP BY task_id"""
 

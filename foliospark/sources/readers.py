@@ -46,8 +46,11 @@ def responses(spark: SparkSession, path: str, fmt: str = "parquet",
 
 
 def outputs(spark: SparkSession, path: str) -> DataFrame:
-    """Written Markdown files: path and modification time, contents not read."""
-    return uploads(spark, path, "*.md").select("path", "modified")
+    """Written Markdown files: path and modification time, contents not read. A document exported
+    as a folder of its file name counts as that file."""
+    folder = F.regexp_replace("path", r"file_name=([^/]*\.md)/[^/]*\z", "$1")
+    return (uploads(spark, path, "*.{md,txt}").select(folder.alias("path"), "modified")
+            .filter(F.col("path").endswith(".md")).groupBy("path").agg(F.max("modified").alias("modified")))
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",

@@ -9,25 +9,21 @@ from pyspark.sql.streaming import StreamingQuery
 from foliospark.operators.intake import output_file
 
 
-def write_documents(parts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Document parts as a table, clustered by task so that a lookup reads few files."""
-    (parts.repartitionByRange("task_id", "part_no").sortWithinPartitions("task_id", "part_no")
+def write_documents(documents: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Documents as a table, clustered by task so that a lookup reads few files."""
+    (documents.repartitionByRange("task_id").sortWithinPartitions("task_id")
      .write.mode(mode).parquet(path))
 
 
-def with_file_name(parts: DataFrame, written_at) -> DataFrame:
+def with_file_name(documents: DataFrame, written_at) -> DataFrame:
     """Add the output file name: clean stem, task id and time stamp."""
-    return parts.withColumn("file_name", output_file(F.col("file_stem"), F.col("task_id"), written_at))
+    return documents.withColumn("file_name", output_file(F.col("file_stem"), F.col("task_id"), written_at))
 
 
-def export_markdown(parts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Markdown text files, one folder per output file; the parts of a document stay in order.
-
-    The writer ends each part with a line end, so the part's own last one is left out. Range
-    partitioning splits one very large document over several files of its folder instead of
-    collecting it.
-    """
-    (parts.repartitionByRange("file_name", "part_no").sortWithinPartitions("file_name", "part_no")
+def export_markdown(documents: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Markdown text files, one folder per output file. The writer ends a document with a line end,
+    so the document's own last one is left out."""
+    (documents.repartitionByRange("file_name")
      .select("file_name", F.regexp_replace("markdown", r"\n\z", "").alias("value"))
      .write.mode(mode).partitionBy("file_name").text(path))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from foliospark.operators.events import (ENTRIES_PER_PART, TIME_FORMAT, is_page_done, is_terminal)
+from foliospark.operators.events import TIME_FORMAT, is_page_done, is_terminal
 from foliospark.schemas import TERMINAL_STATUS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -46,48 +46,37 @@ def live_work(work: DataFrame, cancellations: DataFrame) -> DataFrame:
 
 
 class _LogWriter(StatefulProcessor):
-    """Collects log entries of a task and emits them at its terminal event, or a full part before
-    that, so the state of a task is bounded."""
-
-    def __init__(self, per_part: int) -> None:
-        self.per_part = per_part
+    """Collects the log entries of a task; its terminal event emits them as one log and clears them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.entries = handle.getListState("entries", "entry string")
-        self.part = handle.getValueState("part", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows)).sort_values(["event_time", "event_id"])
-        kept = [e[0] for e in self.entries.get()] if self.entries.exists() else []
-        part = self.part.get()[0] if self.part.exists() else 0
-        out: list[tuple] = []
-        for row in arrived.itertuples():
-            if row.event_type == "Logging":
-                kept.append(json.dumps(
-                    {"taskId": key[0], "time": row.time, "message": row.message,
-                     "status": row.status}, ensure_ascii=False, separators=(",", ":")))
-            if kept and (row.status in TERMINAL_STATUS or len(kept) >= self.per_part):
-                out.append((key[0], part, len(kept), "[" + ",".join(kept) + "]"))
-                kept, part = [], part + 1
+        arrived = pd.concat(list(rows)).sort_values(["event_time", "event_id"], na_position="first")
+        logged = arrived[arrived["event_type"] == "Logging"]
+        fresh = [json.dumps({"taskId": key[0], "time": time, "message": message, "status": status},
+                            ensure_ascii=False, separators=(",", ":"))
+                 for time, message, status in zip(logged["time"], logged["message"], logged["status"])]
+        if not arrived["status"].isin(TERMINAL_STATUS).any():
+            if fresh:
+                self.entries.appendList([(e,) for e in fresh])
+            return
+        kept = ([e[0] for e in self.entries.get()] if self.entries.exists() else []) + fresh
+        self.entries.clear()
         if kept:
-            self.entries.put([(e,) for e in kept])
-        else:
-            self.entries.clear()
-        self.part.update((part,))
-        if out:
-            yield pd.DataFrame(out, columns=["task_id", "part_no", "entries", "log_json"])
+            yield pd.DataFrame([(key[0], len(kept), "[" + ",".join(kept) + "]")],
+                               columns=["task_id", "entries", "log_json"])
 
     def close(self) -> None:
         pass
 
 
-def save_log_stream(events: DataFrame, entries_per_part: int = ENTRIES_PER_PART) -> DataFrame:
-    """Log summary of each task at its terminal event (append mode, RocksDB state store)."""
+def save_log_stream(events: DataFrame) -> DataFrame:
+    """Log of each task at its terminal event (append mode, RocksDB state store)."""
     timed = events.withColumn("time", F.date_format("event_time", TIME_FORMAT)).select(
         "task_id", "event_time", "event_id", "event_type", "status", "message", "time")
     return timed.groupBy("task_id").transformWithStateInPandas(
-        _LogWriter(entries_per_part),
-        outputStructType="task_id string, part_no int, entries int, log_json string",
+        _LogWriter(), outputStructType="task_id string, entries int, log_json string",
         outputMode="Append", timeMode="None")
 
 

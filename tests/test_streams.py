@@ -64,14 +64,13 @@ def test_encode_round_trip(spark):
         assert sorted(back.collect()) == sorted(df.collect())
 
 
-def test_save_log_parts(spark):
+def test_save_log(spark):
     df = log(spark)
     whole = {r.task_id: json.loads(r.log_json) for r in E.save_log(df).collect()}
     assert set(whole) == {"a", "b"} and len(whole["a"]) == 5
     assert whole["a"][0] == {"taskId": "a", "time": "2024-01-01 00:00:07", "message": "m0", "status": "Started"}
-    split = E.save_log(df, entries_per_part=2).orderBy("task_id", "part_no").collect()
-    assert sum((json.loads(r.log_json) for r in split if r.task_id == "a"), []) == whole["a"]
-    assert [r.entries for r in split if r.task_id == "a"] == [2, 2, 1]
+    untimed = E.save_log(df.withColumn("event_time", F.when(F.col("event_id") % 2 == 0, F.col("event_time"))))
+    assert {r.task_id: r.entries for r in untimed.collect()} == {k: len(v) for k, v in whole.items()}
     assert {r.task_id for r in E.save_log(df, success_only=True).collect()} == {"a"}
 
 
@@ -113,11 +112,9 @@ def test_stream_duplicates_and_windows(spark, stream):
 
 
 def test_stream_save_log(spark, stream):
-    want = {(r.task_id, r.part_no): r.log_json for r in E.save_log(log(spark)).collect()}
-    got = {(r.task_id, r.part_no): r.log_json for r in run(tasks.save_log_stream(stream())).collect()}
+    want = {r.task_id: r.log_json for r in E.save_log(log(spark)).collect()}
+    got = {r.task_id: r.log_json for r in run(tasks.save_log_stream(stream())).collect()}
     assert {k: json.loads(v) for k, v in got.items()} == {k: json.loads(v) for k, v in want.items()}
-    parts = run(tasks.save_log_stream(stream(), 2)).filter("task_id = 'a'").orderBy("part_no").collect()
-    assert sum((json.loads(r.log_json) for r in parts), []) == json.loads(want[("a", 0)])
 
 
 def test_stream_stale(spark, tmp_path):
@@ -138,10 +135,9 @@ def test_event_sink(spark, stream, tmp_path):
 
 
 def test_document_sinks(spark, tmp_path):
-    parts = spark.createDataFrame([("t1", 0, "a\n"), ("t1", 1, "b\n"), ("t2", 0, "c\n")],
-                                  "task_id string, part_no int, markdown string")
+    parts = spark.createDataFrame([("t1", "a\nb\n"), ("t2", "c\n")], "task_id string, markdown string")
     sinks.write_documents(parts, str(tmp_path / "docs"))
-    assert spark.read.parquet(str(tmp_path / "docs")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "docs")).count() == 2
     named = sinks.with_file_name(parts.withColumn("file_stem", F.concat("task_id", F.lit("_scan"))),
                                  F.lit("2024-01-02 03:04:05").cast("timestamp"))
     sinks.export_markdown(named, str(tmp_path / "md"))
@@ -149,6 +145,8 @@ def test_document_sinks(spark, tmp_path):
     assert folders == ["file_name=scan_t1_20240102_030405.md", "file_name=scan_t2_20240102_030405.md"]
     files = sorted((tmp_path / "md" / folders[0]).glob("*.txt"))
     assert "".join(f.read_text() for f in files) == "a\nb\n"
+    found = [r.path for r in readers.outputs(spark, str(tmp_path / "md")).collect()]
+    assert sorted(p.rsplit("/", 1)[1] for p in found) == ["scan_t1_20240102_030405.md", "scan_t2_20240102_030405.md"]
 
 
 def test_quarantine_sink_and_response_source(spark, tmp_path):

@@ -128,11 +128,31 @@ def test_select_attempt(spark):
 def test_documents(spark):
     pages = spark.createDataFrame([("t", 1, ""), ("t", 0, "x"), ("u", 0, "y")],
                                   "task_id string, page_index int, markdown string")
-    got = {(r.task_id, r.part_no): r.markdown for r in assemble.document_parts(pages).collect()}
-    assert got[("t", 0)] == "x\n\nPage 1\n\n---\n\n\nPage 2\n\n---\n"
-    split = assemble.document_parts(pages, 1).orderBy("task_id", "part_no").collect()
-    assert "".join(r.markdown for r in split if r.task_id == "t") == got[("t", 0)]
-    assert len(split) == 3
+    got = {r.task_id: r.markdown for r in assemble.document_markdown(pages).collect()}
+    assert got == {"t": "x\n\nPage 1\n\n---\n\n\nPage 2\n\n---\n", "u": "y\n\nPage 1\n\n---\n"}
+    many = spark.range(1200).selectExpr("'v' AS task_id", "CAST(id AS int) AS page_index", "'z' AS markdown")
+    assert assemble.document_markdown(many).first().pages == 1200
+
+
+def test_requests_of_any_model_stay(spark):
+    from foliospark.operators.requests import request_params
+    rows = spark.createDataFrame([(1, "DOTS", None), (2, "nothing", None), (3, None, 0.2)],
+                                 "id int, model_id string, frequency_penalty double")
+    got = {r.id: r.reason for r in request_params(rows).collect()}
+    assert got == {1: None, 2: "NO_MODEL_OR_PROMPT", 3: "NO_MODEL_OR_PROMPT"}
+
+
+def test_uploads_that_the_scan_lacks_are_rejected(spark):
+    rows = spark.createDataFrame([(10, "dots", None, None, None, 3)], "length long, model_id string, "
+                                 "file_exists boolean, stored_length long, readable boolean, total_pages int")
+    assert intake.validate_uploads(rows).first().reject_reason == "FILE_NOT_FOUND"
+
+
+def test_running_values_keep_rows_without_an_order_value(spark):
+    from foliospark.operators.running import running_sums
+    rows = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("a", 9, 3)], "k string, t int, i int")
+    got = running_sums(rows, ["k"], F.floor(F.col("t") / 4), ["t", "i"], {"n": F.lit(1)})
+    assert sorted((r.i, r.n) for r in got.collect()) == [(1, 1), (2, 2), (3, 3)]
 
 
 def test_running_values_on_a_hot_key(spark):
