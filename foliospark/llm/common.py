@@ -172,7 +172,7 @@ def components(edges: DataFrame) -> DataFrame:
         ties = stars.join(small, "a").select(F.col("b").alias("a"), F.col("lo").alias("b"))
         keep = small.select("a", F.col("lo").alias("b"))
         stars = cut(ties.union(keep).distinct().repartition("b")
-                    .mapInPandas(forest, f"a {kind}, b {kind}").distinct())
+                    .mapInPandas(forest, f"a {kind}, b {kind}"))
 
 
 def empty_like(spark: SparkSession, ddl: str) -> DataFrame:

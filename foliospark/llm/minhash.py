@@ -7,10 +7,10 @@ independent hashes. Values of rank j are at least j: a document stops as soon as
 values below the next rank, long documents after one or two ranks.
 
 Documents with the same shingle set are one node. Nodes that share a band meet the first node of that
-bucket and a few neighbours, in an order that each bucket draws anew; confirmed links form groups, and
-only nodes of a bucket that are still in different groups are compared with each other. A link
-between two nodes of one group changes no group, so no component is lost, and a cloud of copies grows
-together by comparisons in proportion to its size. Pairs are verified only where one bit of each
+bucket, in one order for all buckets, so that a cloud of copies has few different pairs and its links
+are stars. Confirmed links form groups. Nodes of a bucket that are still in different groups meet a few
+neighbours in an order that each bucket draws anew, and those left apart by this are compared with each
+other. A link between two nodes of one group changes no group, so no component is lost. Pairs are verified only where one bit of each
 slot agrees often enough; this loses a pair of similarity 0.8 about as rarely as the bands do.
 """
 
@@ -156,6 +156,56 @@ def _alike(x: dict, y: dict, percent: int) -> Column:
     return (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent) & (differ <= DIFFER)
 
 
+_NODE = ["node", "n", "s0", "s1"]
+
+
+def _meet(members: DataFrame, order: Column, neighbours: int, percent: int) -> DataFrame:
+    """``members`` with the size of their bucket and ``some``: the nodes that may match among the first
+    of the bucket and the neighbours before it. Nodes of one group (``root``, if known) need not meet."""
+    grouped = "root" in members.columns
+    window = W.partitionBy("bucket").orderBy(order, "node")
+    me = F.struct(*_NODE, *(["root"] if grouped else []))
+    others = F.array(F.first(me).over(window), *[F.lag(me, j).over(window) for j in range(1, neighbours + 1)])
+    met = members.select("*", F.count("*").over(W.partitionBy("bucket")).alias("size"), others.alias("others"))
+    names = ("n", "s0", "s1")
+    some = F.filter("others", lambda o: (o["node"] != F.col("node")) & _alike(
+        {c: F.col(c) for c in names}, {c: o[c] for c in names}, percent)
+        & (o["root"] != F.col("root") if grouped else F.lit(True)))
+    return met.withColumn("some", F.transform(some, lambda o: o["node"])).drop("others")
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select("node", F.explode("some").alias("o")).select(
+        F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
+
+
+def _split(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members of buckets with nodes of several groups, and their ``root``."""
+    known = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = known.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
+    return known.join(split.select("bucket"), "bucket", "left_semi")
+
+
+def _rest(split: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """All pairs of nodes of a bucket in different groups that may match, each from its first common
+    bucket only: nodes of different groups are together in every bucket they share."""
+    known = split.join(reps.select("node", "bands"), "node")
+    names = ("n", "s0", "s1")
+    x = known.select("bucket", *[F.col(c).alias(f"x_{c}") for c in (*_NODE, "root", "bands")])
+    y = known.select(F.col("bucket").alias("same"), F.struct(*_NODE, "root", "bands").alias("o"))
+    return x.join(y, (F.col("bucket") == F.col("same")) & (F.col("x_node") < F.col("o.node")) & (F.col("x_root") != F.col("o.root"))
+                  & _alike({c: F.col(f"x_{c}") for c in names}, {c: F.col(f"o.{c}") for c in names}, percent)
+                  & (F.element_at(F.array_intersect("x_bands", "o.bands"), 1) == F.col("bucket"))).select(
+        F.col("x_node").alias("a"), F.col("o.node").alias("b"))
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups (node, root) with further links."""
+    if links.isEmpty():
+        return groups
+    return components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+
+
 def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, node, n_shingles, component_id.
 
@@ -168,36 +218,23 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     reps = cut(signed.filter("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "bands", "s0", "s1")]))
     members = reps.select(F.explode("bands").alias("bucket"), "node", "n", "s0", "s1")
-    order = W.partitionBy("bucket").orderBy(F.xxhash64("node", "bucket"), "node")
-    me = F.struct("node", "n", "s0", "s1")
-    others = F.array(F.first(me).over(order), *[F.lag(me, j).over(order) for j in range(1, NEIGHBOURS + 1)])
-    met = members.select("*", F.count("*").over(W.partitionBy("bucket")).alias("size"), others.alias("others"))
-    names = ("n", "s0", "s1")
-    some = F.filter("others", lambda o: (o["node"] != F.col("node")) & _alike(
-        {c: F.col(c) for c in names}, {c: o[c] for c in names}, percent))
-    met = cut(met.filter("size > 1").select("bucket", "node", *names, "size", F.transform(some, lambda o: o["node"]).alias("some")))
-    pairs = cut(met.select("node", F.explode("some").alias("o")).select(
-        F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct())
-    # in small buckets all have met; larger ones may hold more pairs
-    larger = met.filter(F.col("size") > NEIGHBOURS + 1).select("bucket", "node", *names)
+    met = _meet(members, F.col("node"), 0, percent).filter("size > 1")
+    met = cut(met.select("bucket", *_NODE, "size", "some"))
+    pairs = cut(_pairs(met))
+    # in buckets of two both have met; larger ones may hold more pairs
+    larger = met.filter("size > 2").select("bucket", *_NODE)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(
         larger.select("node")).distinct()
     ids = reps.join(wanted, "node", "left_semi").select(F.col("rep").alias("doc_id"))
     texts = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     sets = cut(_sets(texts, k).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    links = cut(_confirm(pairs, sets, percent))
-    groups = components(links)
-    known = larger.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = known.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
-    known = known.join(split.select("bucket"), "bucket", "left_semi")
-    x = known.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "s0", "s1", "root")])
-    y = known.select("bucket", F.struct("node", "n", "s0", "s1", "root").alias("o"))
-    rest = x.join(y, (x.bucket == y.bucket) & (F.col("x_node") < F.col("o.node")) & (F.col("x_root") != F.col("o.root"))
-                  & _alike({c: F.col(f"x_{c}") for c in ("n", "s0", "s1")}, {c: F.col(f"o.{c}") for c in ("n", "s0", "s1")}, percent))
-    rest = rest.select(F.col("x_node").alias("a"), F.col("o.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(_confirm(rest, sets, percent))
-    if not more.isEmpty():
-        groups = components(links.union(more))
+    groups = components(cut(_confirm(pairs, sets, percent)))
+    split = cut(_split(larger, groups))
+    if not split.isEmpty():
+        second = cut(_pairs(_meet(split, F.xxhash64("node", "bucket"), NEIGHBOURS, percent)).join(pairs, ["a", "b"], "left_anti"))
+        groups = _joined(groups, cut(_confirm(second, sets, percent)))
+        rest = _rest(_split(split.drop("root"), groups), reps, percent)
+        groups = _joined(groups, cut(_confirm(rest.join(pairs.union(second), ["a", "b"], "left_anti"), sets, percent)))
     least = (reps.join(groups, "node").groupBy("root").agg(F.min("rep").alias("component_id")))
     of_node = reps.join(groups, "node", "left").join(least, "root", "left").select(
         F.col("node").alias("_node"), F.coalesce("component_id", "rep").alias("component_id"))
