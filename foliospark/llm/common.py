@@ -117,12 +117,11 @@ def slices(pdf: pd.DataFrame, text: str, limit: int = 8_000_000) -> Iterator[pd.
 def components(edges: DataFrame) -> DataFrame:
     """Union-find over (a, b), a null never: (node, root) for every node, root the smallest node.
 
-    Each round, a partition joins its edges in a local union-find forest and sends on one edge from
-    each node to the root of its tree. Nodes that meet several roots make the edges of the next
-    round; the trees shrink until every node has one root. Partitions hold a share of the edges
-    only, and stars of a hot root are merged before they are shuffled.
+    First each partition joins its edges in a local union-find forest and sends on one edge from each
+    node to the root of its tree, so that stars of a hot root are merged before they are shuffled. Then
+    rounds of large and small stars: every edge moves to the least root of its root, and all roots of a
+    node to its least root, so that chains shorten by half instead of by one.
     """
-    spark = edges.sparkSession
     kind = edges.schema["a"].dataType.simpleString()
 
     def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,24 +154,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     stars = cut(edges.select("a", "b").mapInPandas(forest, f"a {kind}, b {kind}"))
     while True:
-        low = stars.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
-        if low.filter("lo <> hi").isEmpty():
-            # one root each; a root that is itself below another root needs one more step
-            own = low.select("a", F.col("lo").alias("b"))
-            up = own.select(F.col("a").alias("b"), F.col("b").alias("top"))
-            step = own.join(up, "b", "left").select(
-                "a", "b", F.coalesce("top", "b").alias("top"))
-            step = cut(step)
-            if step.filter("b <> top").isEmpty():
-                return step.select(F.col("a").alias("node"), F.col("top").alias("root"))
-            stars = step.select("a", F.col("top").alias("b"))
-            continue
+        low = cut(stars.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")))
+        up = low.select(F.col("a").alias("b"), F.col("lo").alias("top"))
+        step = cut(stars.join(up, "b", "left").select("a", "b", F.coalesce("top", "b").alias("top")).distinct())
+        if low.filter("lo <> hi").isEmpty() and step.filter("b <> top").isEmpty():
+            return step.select(F.col("a").alias("node"), F.col("top").alias("root"))
+        # each edge goes on to the least root of its root; then the roots of a node are tied to the least one
+        stars = step.select("a", F.col("top").alias("b"))
         small = stars.groupBy("a").agg(F.min("b").alias("lo"))
-        # every other root of a node is tied to its smallest root
         ties = stars.join(small, "a").select(F.col("b").alias("a"), F.col("lo").alias("b"))
-        keep = small.select("a", F.col("lo").alias("b"))
-        stars = cut(ties.union(keep).distinct().repartition("b")
-                    .mapInPandas(forest, f"a {kind}, b {kind}"))
+        stars = cut(ties.union(small.select("a", F.col("lo").alias("b"))).distinct())
 
 
 def empty_like(spark: SparkSession, ddl: str) -> DataFrame:
