@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foliospark.llm import exact, lines, minhash, mixing, suffix
@@ -200,6 +201,42 @@ def test_near_groups(spark, odd, sample, none):
     assert minhash.contract(none).count() == 0
 
 
+def test_near_groups_in_a_cloud(spark):
+    """One cloud of copies of which many are just too far from each other: groups, single texts, bridges."""
+    rng = random.Random(9)
+    vocab = vocabulary(500, 3)
+    base = prose(rng, vocab, 150).split()
+    rows = []
+    for d in range(150):
+        text = list(base)
+        for _ in range(rng.choice([1, 2, 3, 5, 7, 9])):
+            text[rng.randrange(len(text))] = rng.choice(vocab)
+        rows.append((d, " ".join(text), "a"))
+    docs = table(spark, rows)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in minhash.contract(docs).collect()]
+    assert sorted(got) == sorted(brute_near(rows, 4))
+
+
+@pytest.mark.parametrize("n", [1, 3, 20, 150, 1000, 3000])
+def test_cells_lose_no_link(spark, n):
+    rng = np.random.default_rng(n)
+    pairs, linked = [], []
+    for _ in range(40):
+        base, cut_off = rng.integers(0, 1 << 62, n), int(rng.integers(0, n // 3 + 1))
+        x = np.unique(base).astype(np.uint64)
+        y = np.unique(np.r_[base[cut_off:], rng.integers(0, 1 << 62, int(rng.integers(0, cut_off + 2)))]).astype(np.uint64)
+        if not len(y):
+            continue
+        both = len(np.intersect1d(x, y))
+        linked.append(100 * both >= 80 * (len(x) + len(y) - both))
+        cells = minhash.parities(np.r_[x, y], np.repeat([0, 1], [len(x), len(y)]), 2)
+        pairs.append((len(pairs), len(x), len(y), cells[0].tolist(), cells[1].tolist()))
+    df = spark.createDataFrame(pairs, "i int, nx long, ny long, cx array<long>, cy array<long>")
+    ok = minhash._cells_allow({"n": F.col("nx"), "cells": F.col("cx")}, {"n": F.col("ny"), "cells": F.col("cy")}, 80)
+    got = {r.i for r in df.filter(ok).collect()}
+    assert any(linked) and got >= {i for i, link in enumerate(linked) if link}
+
+
 def test_one_document_of_each_group_stays(spark, odd):
     docs = near_table(spark)
     want = {c for _, n, c in brute_near(rows_of(docs), 5)}
