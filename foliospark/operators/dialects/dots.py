@@ -115,9 +115,15 @@ def _read(element: Column) -> Column:
 
 
 def _elements(content: Column) -> Column:
-    """The elements of a strict JSON array, null for anything else."""
-    return F.when(content.rlike(r"(?sU)\A\s*\[.*\]\s*\z"),
-                  F.try_variant_get(F.try_parse_json(content), "$", "array<variant>"))
+    """The elements of a strict JSON array, null for anything else.
+
+    The parser reads one value and ignores what follows. What follows the array would have to begin
+    with a bracket to pass inside an array, with a brace to pass inside an object, so nothing passes both.
+    """
+    inside = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), content, F.lit("]"))), "$", "array<variant>")
+    alone = (F.size(inside) == 1) & F.try_parse_json(F.concat(F.lit('{"v":'), content, F.lit("}"))).isNotNull()
+    return F.when(content.rlike(r"(?sU)\A\s*\[.*\]\s*\z") & alone,
+                  F.try_variant_get(F.get(inside, F.lit(0)), "$", "array<variant>"))
 
 
 def _all_valid(elements: Column) -> Column:

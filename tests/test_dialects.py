@@ -66,6 +66,12 @@ STRICT = [
     ("[1]", False),
     ('[{"text":"a"}] junk', False),
     ('[{"text":"a"},]', False),
+    ('[{"text":"a"}] [{"text":"b"}]', False),
+    ('[{"text":"a"}],[{"text":"b"}]', False),
+    ('[{"text":"a"}]],[[{"text":"b"}]', False),
+    ('[{"text":"a"}]} [{"text":"b"}]', False),
+    ('[{"text":"a"}],"v":[{"text":"b"}]', False),
+    (' [{"text":"] x"}] ', True),
 ]
 
 
