@@ -395,6 +395,37 @@ def test_the_tree_gives_chances_of_longest_suffixes(spark):
     assert got[-1] > -0.8 * 23 * np.log10(256)  # better than even chances
 
 
+def test_rare_contexts_stay_however_large_the_corpus(spark):
+    """A small language keeps its contexts, longer than five bytes, beside a corpus that grows."""
+    rng = random.Random(8)
+    hot = vocabulary(2000, 8)
+    few = [" ".join(rng.choice(["zyxwvu", "zyxwvq"]) + "k" for _ in range(4)) for _ in range(30)]
+    chances = []
+    for n in (200, 2000):
+        texts = [prose(rng, hot, 60) for _ in range(n)] + few
+        counts = suffix.corpus_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+        got = suffix.gram_chances(counts.filter("kind = 1").select("key", "n")).collect()
+        key = int(suffix.gram_keys(*(suffix.byte_stream(["zyxwvuk"])[i] for i in (0, 2)))[-2])
+        chances.append(10 ** {r.key: r.logp for r in got}[key])
+    assert min(chances) > 0.9
+
+
+def test_scores_from_tables_are_those_of_the_automaton(spark, odd, monkeypatch):
+    rng = random.Random(6)
+    small = table(spark, [(d, prose(rng, ["the", "cat", "sat", "on", "mats"], 30), "a") for d in range(100)])
+    for docs, share in ((odd, 1e-2), (small, 2e-7)):
+        monkeypatch.setattr(suffix, "FREQUENT_GRAM", share)  # joined and looked up
+        rows = rows_of(docs)
+        train = docs.filter(suffix.remainder(F.col("doc_id"), suffix.HELD) != 0).select("text")
+        grams = suffix.corpus_counts(train).filter("kind = 1").select("key", "n").cache()
+        total = grams.groupBy().sum("n").first()[0]
+        tree = suffix.suffix_tree(grams, total, least=(suffix.LEAST - 0.5) / total)
+        want = sorted((repr(d), round(float(s), 1)) for (d, *_), s in zip(rows, tree.log10([t for _, t, _ in rows])))
+        got = sorted((repr(r.doc_id), r.score) for r in suffix.lm_scores(docs).collect())
+        assert [d for d, _ in got] == [d for d, _ in want]
+        assert all(abs(a - b) < 0.1 + 1e-4 * abs(b) for (_, a), (_, b) in zip(got, want))
+
+
 # ---- pipeline
 
 def test_pipeline(spark):
