@@ -3,11 +3,12 @@
 Of all windows of ``K`` characters those are anchors whose least inner substring of ``S`` characters
 stands at the first or the last place. Whether a window is an anchor depends on its characters
 alone, so an edit elsewhere moves no anchor. A fingerprint is the ``SIZE`` anchors of least hash with
-their places, so anchors that two texts share can be matched by the distance between their places.
+their places, so anchors that two texts share can be matched in the order of their places.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,8 +67,9 @@ def fingerprint(text: str | None) -> str:
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the least anchors of both texts together that stand in both, on the distance of
-    places that most of them agree on. Two empty fingerprints are alike."""
+    """Share of the least anchors of both texts together that stand in both and in the same order: the
+    longest chain of them, whatever their distances, so that an edit that moves what follows loses
+    only the anchors it touches. Two empty fingerprints are alike."""
     if a == b:
         return 1.0
     x, y = (np.frombuffer(bytes.fromhex(s), ">u4").astype(np.int64).reshape(-1, 2) for s in (a, b))
@@ -76,11 +78,12 @@ def likeness(a: str, b: str) -> float:
     union = np.union1d(x[:, 0], y[:, 0])[:SIZE]
     same, i, j = np.intersect1d(x[:, 0], y[:, 0], assume_unique=True, return_indices=True)
     shared = np.isin(same, union, assume_unique=True)
-    if not shared.any():
-        return 0.0
-    shift = (x[i, 1] - y[j, 1])[shared]
-    _, votes = np.unique(shift, return_counts=True)
-    return float(votes.max() / len(union))
+    places = y[j, 1][shared][np.argsort(x[i, 1][shared])]
+    ends: list[int] = []  # least last place of a chain of each length
+    for place in places.tolist():
+        at = bisect_left(ends, place)
+        ends[at:at + 1] = [place]
+    return len(ends) / len(union)
 
 
 def edited(text: str, following: str) -> str:

@@ -123,6 +123,24 @@ def test_a_large_text_keeps_the_least_anchors():
     assert syncmers.fingerprint(text) == want
 
 
+@pytest.mark.parametrize("edit", ["drop", "insert", "both"])
+def test_near_copies_of_another_length_are_alike(edit):
+    rng = random.Random(11)
+    words = vocabulary(3000, 12)
+    for _ in range(5):
+        text = prose(rng, words, 1800).split()
+        copy = []
+        for k, w in enumerate(text):
+            if k % 100 != 50 or edit == "insert":
+                copy.append(w)
+            if k % 100 == 70 and edit != "drop":
+                copy.append(rng.choice(words))
+        a, b = (syncmers.fingerprint(" ".join(t)) for t in (text, copy))
+        assert syncmers.likeness(a, b) > 0.7
+        other = syncmers.fingerprint(prose(rng, words, 1800))
+        assert syncmers.likeness(a, other) < 0.2
+
+
 @pytest.mark.parametrize("ranges", [1, 7])
 def test_fingerprints(spark, odd, sample, none, ranges):
     for docs in (sample, table(spark, [(5, "alone", "a")]), odd):
