@@ -8,6 +8,7 @@ bounded sample of documents; scoring runs over all documents in their own tasks.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from .common import remainder, slices, whole_row
 
 PASSAGE = 400          # bytes
 SAMPLE = 3000          # labelled documents the model is fitted on, chosen by a hash of the id
-TRAIN_PASSAGES = 24    # passages of one document used in fitting, evenly spaced
+STEP_PASSAGES = 20_000 # passages whose gradients are taken at once; a longer document is taken alone
 PAIR_BUCKETS = 256
 HIDDEN, GATE, EPOCHS, BATCH = 32, 16, 40, 128
 REJECT_BELOW = 0.7
@@ -121,12 +122,34 @@ class Model:
                 "w": (t * s).T @ draw, "c": z.T @ d, "c0": d.sum(keepdims=True)}
 
 
+def _spread(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale of the features over all passages, one bag at a time."""
+    n, total, squares = 0, np.zeros(FEATURES), np.zeros(FEATURES)
+    for b in bags:
+        b = b.astype(np.float64)
+        n, total, squares = n + len(b), total + b.sum(0), squares + (b * b).sum(0)
+    mean = total / max(1, n)
+    spread = np.sqrt(np.maximum(0, squares / max(1, n) - mean * mean))
+    return mean.astype(np.float32), (spread + 1e-2).astype(np.float32)
+
+
+def _groups(chosen: np.ndarray, bags: list[np.ndarray]) -> list[np.ndarray]:
+    """The chosen bags in order, in groups of about ``STEP_PASSAGES`` passages; every bag whole."""
+    out, size = [], STEP_PASSAGES
+    for i in chosen:
+        if size + len(bags[i]) > STEP_PASSAGES:
+            out.append([])
+            size = 0
+        out[-1].append(i)
+        size += len(bags[i])
+    return [np.array(g) for g in out if g]
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Model:
     """Adam over batches of bags; the same sample gives the same model. Without both labels the
     score is the share of label 1 (one half without any)."""
     rng = np.random.default_rng(seed)
-    flat = np.concatenate(bags).astype(np.float32) if bags else np.zeros((1, FEATURES), np.float32)
-    mean, scale = flat.mean(0), flat.std(0) + 1e-2
+    mean, scale = _spread(bags)
     draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     share = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
     p = {"W": draw(FEATURES, HIDDEN), "b": np.zeros(HIDDEN, np.float32), "V": draw(HIDDEN, GATE),
@@ -135,7 +158,6 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Model:
     model = Model(p, mean, scale)
     if len(set(labels.tolist())) < 2:
         return model
-    bags = [((b.astype(np.float32) - mean) / scale) for b in bags]
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
@@ -143,9 +165,12 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Model:
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             chosen = order[at:at + BATCH]
-            x = np.concatenate([bags[i] for i in chosen])
-            owner = np.repeat(np.arange(len(chosen)), [len(bags[i]) for i in chosen])
-            g = model.gradients(x, owner, labels[chosen].astype(np.float32))
+            g = {k: np.zeros_like(v) for k, v in p.items()}
+            for part in _groups(chosen, bags):
+                x = (np.concatenate([bags[i] for i in part]).astype(np.float32) - mean) / scale
+                owner = np.repeat(np.arange(len(part)), [len(bags[i]) for i in part])
+                for k, v in model.gradients(x, owner, labels[part].astype(np.float32)).items():
+                    g[k] += v * np.float32(len(part) / len(chosen))
             step += 1
             for k in p:
                 grad = g[k] + 1e-4 * p[k]
@@ -160,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled rows whose crc32(doc_id) mod 4 is not 2.
 
     The sample is the rows of smallest hash, so it is spread over all sources; only encoded passages
-    of it reach the driver.
+    of it reach the driver, all of each row, in a file there.
     """
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()
                            & (remainder(F.col("doc_id"), 4) != 2))
@@ -176,16 +201,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 x, owner = encode(part["text"].tolist())
                 out = []
                 for i in range(len(part)):
-                    own = np.flatnonzero(owner == i)
-                    if len(own) > TRAIN_PASSAGES:
-                        own = own[np.linspace(0, len(own) - 1, TRAIN_PASSAGES).astype(int)]
+                    own = slice(*np.searchsorted(owner, [i, i + 1]))  # every passage
                     out.append(x[own].astype(np.float16).tobytes())
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "quality": part["quality"].to_numpy(), "x": out})
 
     got = (rows.mapInPandas(passages, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, x binary")
-           .orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id", "x").limit(sample).collect())
-    bags = [np.frombuffer(r.x, np.float16).reshape(-1, FEATURES) for r in got]
-    return fit(bags, np.array([r.quality for r in got]))
+           .orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id", "x").limit(sample))
+    sizes, marks = [], []
+    with tempfile.TemporaryFile() as file:
+        for r in got.toLocalIterator():
+            file.write(r.x)
+            sizes.append(len(r.x) // (2 * FEATURES))
+            marks.append(r.quality)
+        file.flush()
+        flat = np.memmap(file, np.float16, "r", shape=(sum(sizes), FEATURES)) if sizes else np.zeros((0, FEATURES))
+        bags = np.split(flat, np.cumsum(sizes)[:-1]) if sizes else []
+        return fit(bags, np.array(marks))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -237,6 +237,19 @@ def test_quality_edges(spark, odd, none, labels):
     assert mil.accepted(odd, labels).columns == odd.columns
 
 
+def test_fitting_sees_every_passage(spark, monkeypatch):
+    text = prose(random.Random(4), vocabulary(300, 5), 6000)
+    docs = table(spark, [(d, text, "a") for d in (1, 2)])
+    marks = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(mil, "remainder", lambda *_: mil.F.lit(0))
+    monkeypatch.setattr(mil, "fit", lambda bags, labels: seen.extend(np.array(b) for b in bags))
+    mil.train(docs, marks)
+    want = mil.encode([text])[0].astype(np.float16)
+    assert len(want) > 24 and [b.shape for b in seen] == [want.shape] * 2
+    assert all((b == want).all() for b in seen)
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     x, owner = rng.standard_normal((7, mil.FEATURES)), np.array([0, 0, 0, 1, 1, 2, 2])
