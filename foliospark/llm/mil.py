@@ -89,6 +89,7 @@ class Model:
 
     def __init__(self, weights: dict[str, np.ndarray], mean: np.ndarray, scale: np.ndarray):
         self.p, self.mean, self.scale = weights, mean, scale
+        self.fitted = False  # whether both labels were there to learn from
 
     def forward(self, x: np.ndarray, owner: np.ndarray, bags: int) -> dict[str, np.ndarray]:
         p = self.p
@@ -158,6 +159,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Model:
     model = Model(p, mean, scale)
     if len(set(labels.tolist())) < 2:
         return model
+    model.fitted = True
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
@@ -245,7 +247,12 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, columns unchanged."""
+    """The rows of ``docs`` that the classifier does not reject, columns unchanged.
+
+    Without usable rows of both labels there is nothing to reject by, and all rows stay.
+    """
+    model = train(docs, labels)
+    if not model.fitted:
+        return docs
     rows = docs.select(whole_row(docs), "text")
-    out = scored(rows, train(docs, labels))
-    return out.filter(F.col("quality_score") >= REJECT_BELOW).select("_row.*")
+    return scored(rows, model).filter(F.col("quality_score") >= REJECT_BELOW).select("_row.*")

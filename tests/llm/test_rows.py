@@ -237,6 +237,11 @@ def test_quality_edges(spark, odd, none, labels):
     assert mil.accepted(odd, labels).columns == odd.columns
 
 
+def test_all_documents_stay_without_both_labels(spark, odd, labels):
+    for marks in (labels.limit(0), labels.filter("quality = 0"), labels.filter("quality IS NULL")):
+        assert sorted(map(repr, mil.accepted(odd, marks).collect())) == sorted(map(repr, odd.collect()))
+
+
 def test_fitting_sees_every_passage(spark, monkeypatch):
     text = prose(random.Random(4), vocabulary(300, 5), 6000)
     docs = table(spark, [(d, text, "a") for d in (1, 2)])
