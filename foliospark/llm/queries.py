@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, licenses, lines, mil, minhash, mixing, packing, suffix, syncmers, tokens
+from . import (audit, exact, licenses, lines, mil, minhash, mixing, packing, repeats, suffix, syncmers, tokens,
+               turns)
 from .common import documents
 
 
@@ -48,6 +49,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(spark, f"{sf_dir}/documents.parquet", spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_bytes(documents(spark, sf_dir))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_line_dedup": (op2_line_dedup, lines.SQL),
@@ -59,4 +72,7 @@ QUERIES = {
     "op8_fingerprints": (op8_fingerprints, None),
     "op9_license_scan": (op9_license_scan, None),
     "op10_quality": (op10_quality, None),
+    "op11_filter_audit": (op11_filter_audit, audit.SQL),
+    "op12_repeated_bytes": (op12_repeated_bytes, repeats.SQL),
+    "op13_turn_repair": (op13_turn_repair, None),
 }
