@@ -381,10 +381,10 @@ def repeated_bytes(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     grams = rows.select("shard", "text").mapInArrow(_block_rows, "shard long, anchor long, print long")
 
     # anchors that stand twice, and whether all their blocks are equal
-    seen = grams.groupBy(F.col("anchor").alias("of")).agg(
-        F.count("*").alias("n"), F.min("print").alias("lo"), F.max("print").alias("hi")).filter("n > 1")
-    meeting = cut(grams.join(seen, grams["anchor"] == seen["of"]).select(
-        "shard", "anchor", "print", (F.col("lo") != F.col("hi")).alias("mixed")))
+    # (stored first, so that both sides of the join are dealt out for it and a hot anchor can be split)
+    seen = cut(grams.groupBy(F.col("anchor").alias("of")).agg(
+        F.count("*").alias("n"), (F.min("print") != F.max("print")).alias("mixed")).filter("n > 1").drop("n"))
+    meeting = cut(grams.join(seen, grams["anchor"] == seen["of"]).select("shard", "anchor", "print", "mixed"))
 
     # of blocks that differ under one anchor, one copy each goes to a shard of its own
     kinds = cut(meeting.filter("mixed").groupBy("anchor", "print").agg(
