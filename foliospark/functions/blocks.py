@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliospark.functions.columns import is_blank, let, trimmed
-from foliospark.functions.markup import chandra_markdown
+from foliospark.functions.markup import clean_markdown, each_to_markdown
 from foliospark.functions.text import format_block
 from foliospark.schemas import HEADER_FOOTER, PICTURES, TEXT_REPEAT_CAP
 
@@ -78,14 +78,12 @@ def dots_markdown(blocks: Column, keep_header_footer: bool = False,
 
 def chandra_page_markdown(blocks: Column, keep_header_footer: bool = False) -> Column:
     """HTML blocks through the Markdown conversion; picture blocks are Markdown already."""
-    shown = blocks if keep_header_footer else without_header_footer(blocks)
-
-    def one(b: Column) -> Column:
-        text = F.coalesce(b["text"], F.lit(""))
-        return F.when(F.coalesce(b["category"].isin(*PICTURES), F.lit(False)), text).otherwise(
-            chandra_markdown(text))
-
-    return _joined(F.transform(shown, one))
+    picture = lambda b: F.coalesce(b["category"].isin(*PICTURES), F.lit(False))
+    hidden = F.lit(False) if keep_header_footer else F.lit(True)
+    shown = lambda b: ~(hidden & F.coalesce(b["category"].isin(*HEADER_FOOTER), F.lit(False)))
+    sources = F.transform(blocks, lambda b: F.when(shown(b) & ~picture(b), F.coalesce(b["text"], F.lit(""))))
+    return _joined(F.zip_with(blocks, each_to_markdown(sources), lambda b, md: F.when(
+        shown(b), F.when(picture(b), F.coalesce(b["text"], F.lit(""))).otherwise(clean_markdown(md)))))
 
 
 def plain_markdown(blocks: Column) -> Column:

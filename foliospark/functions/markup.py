@@ -1,149 +1,332 @@
-"""HTML fragment to Markdown as a chain of built-in expressions.
+"""HTML fragments: one scanner for the box divisions of a response and for Markdown.
 
-Contract (the tag set the layout prompt allows): headings, paragraphs, divisions, line breaks,
-bold, italic, strike-through, superscript, code, links, images, rules, bullet and numbered lists,
-check boxes, tables. Comments, doctype, scripts and styles are removed with their content; pure
-containers are unwrapped; every other tag passes through unchanged. Lists are flattened to one
-level, and a numbered list counts its own items.
+Nested lists, tables and divisions need a stack, which no built-in expression keeps in linear time,
+so both walks are Arrow functions over the tags of a fragment, read once from left to right. All
+cleaning around them is Column code.
+
+Contract of the conversion (the tag set the layout prompt allows): headings, paragraphs, divisions,
+line breaks, bold, italic, strike-through, superscript, code, preformatted text, links, images,
+rules, nested lists, check boxes, tables with spans and captions. Comments, doctype, scripts and
+styles go with their content; pure containers are unwrapped; ``math`` stays as it is written; every
+other tag passes through. A tag without its end runs to the end of what holds it, an inline mark
+without its end is left out, an end without its tag too.
 """
 
 from __future__ import annotations
 
+import html as entities
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foliospark.functions.columns import let, trimmed
+from foliospark.functions.columns import trimmed
 from foliospark.functions.text import collapse_punct, collapse_tags, line_dedupe, math_to_latex
 
-# Fixed patterns of the conversion contract, applied in this order.
-_DROP = (
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<!doctype[^>]*>", ""),
-    (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
-    (r"(?is)<style\b[^>]*>.*?</style\s*>", ""),
-    (r"(?i)</?(?:html|head|body|span|small|big)(?:\s[^>]*)?>", ""),
-)
-_INLINE = (
-    (r"(?is)<(?:b|strong)(?:\s[^>]*)?>\s*(.*?)\s*</(?:b|strong)\s*>", "**$1**"),
-    (r"(?is)<(?:i|em)(?:\s[^>]*)?>\s*(.*?)\s*</(?:i|em)\s*>", "*$1*"),
-    (r"(?is)<(?:del|s|strike)(?:\s[^>]*)?>\s*(.*?)\s*</(?:del|s|strike)\s*>", "~~$1~~"),
-    (r"(?is)<sup(?:\s[^>]*)?>(.*?)</sup\s*>", "^$1^"),
-    (r"(?is)<pre(?:\s[^>]*)?>\s*(?:<code(?:\s[^>]*)?>)?(.*?)(?:</code\s*>)?\s*</pre\s*>",
-     "\n\n```\n$1\n```\n\n"),
-    (r"(?is)<code(?:\s[^>]*)?>(.*?)</code\s*>", "`$1`"),
-    (r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>\s*(.*?)\s*</a\s*>', "[$2]($1)"),
-    (r"(?is)</?a(?:\s[^>]*)?>", ""),
-    (r'(?i)<input(?=[^>]*type="?(?:checkbox|radio))(?=[^>]*\bchecked)[^>]*>', "[x] "),
-    (r'(?i)<input(?=[^>]*type="?(?:checkbox|radio))[^>]*>', "[ ] "),
-)
-_HEADING = tuple(
-    (rf"(?is)<h{n}(?:\s[^>]*)?>\s*(.*?)\s*</h{n}\s*>", "\n\n" + "#" * n + " $1\n\n")
-    for n in range(1, 7)
-)
-_BLOCK = (
-    (r"(?i)<br\s*/?>", "\n"),
-    (r"(?i)<hr(?:\s[^>]*)?/?>", "\n\n* * *\n\n"),
-    (r"(?i)<li(?:\s[^>]*)?>\s*", "\n- "),
-    (r"(?i)</li\s*>", ""),
-    (r"(?i)</?(?:p|div|ul|ol)(?:\s[^>]*)?>", "\n\n"),
-)
-_ENTITY = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-           ("&amp;", "&"))
-
-
-# One look for any tag of a group saves the group's replacements on text without them.
-_ANY_DROP = r"(?i)<(?:!|script|style|/?(?:html|head|body|span|small|big)\b)"
-_ANY_INLINE = r"(?i)<(?:b|strong|i|em|del|s|strike|sup|pre|code|/?a|input)\b"
-_ANY_HEADING = r"(?i)<h[1-6]\b"
-_ANY_BLOCK = r"(?i)</?(?:br|hr|li|p|div|ul|ol)\b"
-
-
-def _replace_all(c: Column, rules, guard: str) -> Column:
-    def apply(t: Column) -> Column:
-        out = t
-        for pattern, repl in rules:
-            out = F.regexp_replace(out, pattern, repl)
-        return F.when(t.rlike(guard), out).otherwise(t)
-
-    return let(c, apply)
-
-
-def _image(c: Column) -> Column:
-    def attr(tag: Column, name: str) -> Column:
-        return F.regexp_extract(tag, rf'(?i)\b{name}="([^"]*)"', 1)
-
-    def rebuild(pieces: Column) -> Column:
-        return F.array_join(F.transform(pieces, lambda piece, k: F.when(k == 0, piece).otherwise(
-            F.concat(F.lit("!["), attr(F.substring_index(piece, ">", 1), "alt"), F.lit("]("),
-                     attr(F.substring_index(piece, ">", 1), "src"), F.lit(")"),
-                     F.regexp_replace(piece, r"(?s)\A[^>]*>", "")))), "")
-
-    return F.when(c.rlike(r"(?i)<img\b"), let(F.split(c, r"(?i)<img\b"), rebuild)).otherwise(c)
-
-
-def _ordered_lists(c: Column) -> Column:
-    def one(piece: Column) -> Column:
-        body = F.regexp_replace(piece, r"(?is)</ol\s*>.*\z", "")
-        rest = F.regexp_replace(piece, r"(?is)\A.*?</ol\s*>", "")
-        items = F.split(body, r"(?i)<li(?:\s[^>]*)?>\s*")
-        numbered = F.array_join(F.transform(items, lambda item, j: F.when(j == 0, item).otherwise(
-            F.concat(F.lit("\n"), j.cast("string"), F.lit(". "), item))), "")
-        closed = piece.rlike(r"(?i)</ol\s*>")
-        return F.concat(F.lit("\n\n"), numbered, F.lit("\n\n"),
-                        F.when(closed, rest).otherwise(F.lit("")))
-
-    opening = r"(?i)<ol(?:\s[^>]*)?>"
-    return F.when(c.rlike(opening), F.array_join(F.transform(
-        F.split(c, opening), lambda piece, k: F.when(k == 0, piece).otherwise(one(piece))), "")
-    ).otherwise(c)
-
-
-def _tables(c: Column) -> Column:
-    def row(html: Column, j: Column) -> Column:
-        cells = F.transform(F.regexp_extract_all(html, F.lit(
-            r"(?is)<t[dh](?:\s[^>]*)?>\s*(.*?)\s*(?=</t[dh]\s*>|<t[dh][\s>]|\z)"), F.lit(1)),
-            lambda cell: F.replace(trimmed(F.regexp_replace(
-                cell, r"(?i)(?:\s|<br\s*/?>|</?(?:p|div)(?:\s[^>]*)?>)+", " ")),
-                F.lit("|"), F.lit("\\|")))
-        line = F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-        rule = F.concat(F.lit("\n| "), F.array_join(F.transform(cells, lambda _: F.lit("---")), " | "),
-                        F.lit(" |"))
-        return F.when(j == 0, F.concat(line, rule)).otherwise(line)
-
-    def one(piece: Column) -> Column:
-        body = F.regexp_replace(piece, r"(?is)</table\s*>.*\z", "")
-        rest = F.when(piece.rlike(r"(?i)</table\s*>"),
-                      F.regexp_replace(piece, r"(?is)\A.*?</table\s*>", "")).otherwise(F.lit(""))
-        rows = F.regexp_extract_all(
-            body, F.lit(r"(?is)<tr(?:\s[^>]*)?>(.*?)(?=</tr\s*>|<tr[\s>]|\z)"), F.lit(1))
-        return F.concat(F.lit("\n\n"), F.array_join(F.transform(rows, row), "\n"), F.lit("\n\n"), rest)
-
-    opening = r"(?i)<table(?:\s[^>]*)?>"
-    return F.when(c.rlike(opening), F.array_join(F.transform(
-        F.split(c, opening), lambda piece, k: F.when(k == 0, piece).otherwise(one(piece))), "")
-    ).otherwise(c)
-
-
-def html_to_markdown(html: Column) -> Column:
+#: A comment, a declaration, a script or style with its content, or a tag whose quoted values may hold ``>``.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![a-z][^>]*>|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
+                  r"""|<(/?)([a-z][a-z0-9-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.I | re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_LINE = re.compile(r"[ \t\n\x0b\f\r]*\n[ \t\n\x0b\f\r]*")
+_LINE_END = re.compile(r"[ \t]*\n[ \t]*")
+_MORE_LINES = re.compile(r"\n{3,}")
+
+# Fixed sets of the conversion contract.
+_MARK = {"b": "**", "strong": "**", "i": "*", "em": "*", "del": "~~", "s": "~~", "strike": "~~", "sup": "^"}
+_UNWRAPPED = {"html", "head", "body", "span", "small", "big", "thead", "tbody", "tfoot"}
+_HEADING = {f"h{n}": "#" * n + " " for n in range(1, 7)}
+_BLOCK = {"p", "div", "ul", "ol", "li", "table", "caption", "tr", "td", "th", "pre", "hr", *_HEADING}
+_INLINE = {*_MARK, "a", "code"}
+#: What an opening tag ends if it is open, up to the nearest holder.
+_ENDS = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "caption"}, {"table"}), "td": ({"td", "th", "caption"}, {"tr", "table"}),
+         "th": ({"td", "th", "caption"}, {"tr", "table"})}
+
+
+class Tag(NamedTuple):
+    start: int
+    end: int
+    closing: bool
+    name: str  # lower case; empty for what is dropped with its content
+    rest: str
+
+
+def tags(text: str) -> Iterator[Tag]:
+    for m in _TAG.finditer(text):
+        yield Tag(m.start(), m.end(), m[2] == "/", (m[3] or "").lower(), m[4] or "")
+
+
+def attributes(rest: str) -> dict[str, str]:
+    """Attributes of a tag, names in lower case, the first of a repeated one."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        found.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+# ---------------------------------------------------------------------------
+# Box divisions
+# ---------------------------------------------------------------------------
+def boxed_divisions(text: str) -> list[tuple[str, str | None, str]]:
+    """(box, label, inner text) of every ``div`` with ``data-bbox``, outer ones before inner ones."""
+    found, open_ = [], []
+    for tag in tags(text):
+        if tag.name != "div":
+            continue
+        if not tag.closing:
+            values = attributes(tag.rest) if "data-bbox" in tag.rest.lower() else {}
+            if "data-bbox" in values:
+                found.append([values["data-bbox"], values.get("data-label"), tag.end, len(text)])
+            open_.append(len(found) - 1 if "data-bbox" in values else None)
+        elif open_:
+            at = open_.pop()
+            if at is not None:
+                found[at][3] = tag.start
+    return [(box, label, text[a:b]) for box, label, a, b in found]
+
+
+_DIVISION = T.StructType([T.StructField(n, T.StringType()) for n in ("box", "label", "inner")])
+
+
+@F.arrow_udf(T.ArrayType(_DIVISION))
+def divisions(text: pa.Array) -> pa.Array:
+    """Struct(box, label, inner) of the box divisions of each response; null for null."""
+    names = _DIVISION.names
+    rows = [None if t is None else [dict(zip(names, d)) for d in boxed_divisions(t)] for t in text.to_pylist()]
+    return pa.array(rows, pa.list_(pa.struct([(n, pa.string()) for n in names])))
+
+
+# ---------------------------------------------------------------------------
+# Markdown
+# ---------------------------------------------------------------------------
+class _Open:
+    """An open element: its tag and what it holds so far, inline pieces and whole blocks."""
+
+    def __init__(self, name: str, rest: str = ""):
+        self.name, self.rest = name, rest
+        self.pieces: list[tuple[bool, object]] = []  # (is it a block, text or cells)
+
+    def blocks(self) -> list[str]:
+        """Whole blocks in order, the inline pieces between them as paragraphs."""
+        out, line = [], []
+        for whole, piece in [*self.pieces, (True, "")]:
+            if not whole:
+                line.append(piece)
+                continue
+            text = "".join(line).strip()
+            line = []
+            if "\n" in text:
+                text = _MORE_LINES.sub("\n\n", _LINE_END.sub("\n", text))
+            out += [t for t in (text, piece) if t]
+        return out
+
+    def inline(self) -> str:
+        return "".join(p if isinstance(p, str) else "" for _, p in self.pieces)
+
+
+def _one_line(blocks: list[str]) -> str:
+    return re.sub(r"\s+", " ", " ".join(blocks)).strip()
+
+
+def _number(value: str | None) -> int:
+    return max(1, min(int(value), 1000)) if (value or "").strip().isdecimal() else 1
+
+
+def _grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
+    """Cells at their columns: a spanning cell shows its text once and leaves the rest of its area empty."""
+    grid: list[dict[int, str]] = [{} for _ in rows]
+    for y, row in enumerate(rows):
+        x = 0
+        for text, across, down in row:
+            while x in grid[y]:
+                x += 1
+            for dy in range(min(down, len(rows) - y)):
+                for dx in range(across):
+                    grid[y + dy].setdefault(x + dx, text if not dx and not dy else "")
+            x += across
+    width = max((max(r, default=-1) + 1 for r in grid), default=0)
+    return [[r.get(x, "") for x in range(width)] for r in grid]
+
+
+def _table(node: _Open) -> list[str]:
+    captions = [p for _, p in node.pieces if isinstance(p, str) and p.strip()]
+    grid = _grid([p for _, p in node.pieces if isinstance(p, list)])
+    lines = ["| " + " | ".join(row) + " |" for row in grid]
+    if lines:
+        lines.insert(1, "| " + " | ".join(["---"] * len(grid[0])) + " |")
+    return [_one_line([c]) for c in captions] + (["\n".join(lines)] if lines else [])
+
+
+def _list(node: _Open) -> str:
+    """Items with their marks; what an item holds below its first line is indented."""
+    lines, k = [], 0
+    for whole, piece in node.pieces:
+        if isinstance(piece, list):  # an item: its blocks
+            k += 1
+            first, *more = piece or [""]
+            mark = f"{k}. " if node.name == "ol" else "- "
+            if first.startswith(("- ", "1. ", "|", "```")) and piece:
+                first, more = "", piece
+            lines.append(mark + first)
+            lines += ["    " + line if line else line for block in more for line in block.split("\n")]
+        elif piece.strip():
+            lines += [piece.strip()]
+    return "\n".join(lines)
+
+
+def _link(text: str, target: str) -> str:
+    """A link, or its text alone where target and text say the same."""
+    if text and text == target:
+        return text
+    for scheme in ("http://", "https://"):
+        if text and target == scheme + text:
+            return target
+    for scheme in ("mailto:", "tel:"):
+        if text and target == scheme + text:
+            return text
+    return f"[{text}]({target})"
+
+
+def _closed(node: _Open, stack: list[_Open]) -> None:
+    """Give what an element holds to the element around it."""
+    holder, name = stack[-1], node.name
+    if name in ("p", "div"):  # these part what stands around them even when they are empty
+        holder.pieces += [(True, b) for b in node.blocks()] or [(True, "")]
+        return
+    names = {n.name for n in stack}
+    if name in _MARK or name == "a" and "href" not in attributes(node.rest):
+        text = node.inline().strip() if name != "sup" else node.inline()
+        mark = _MARK.get(name, "")
+        if mark and (not text or any(_MARK.get(n) == mark for n in names) or "pre" in names):
+            mark = ""
+        holder.pieces.append((False, mark + text + mark))
+    elif name == "a":
+        holder.pieces.append((False, _link(_one_line([node.inline()]), attributes(node.rest)["href"])))
+    elif name == "code":
+        text = node.inline()
+        holder.pieces.append((False, text if "pre" in names else f"`{text}`"))
+    elif name == "pre":
+        text = node.inline().strip("\n").rstrip()
+        fence = "```"
+        while fence in text:
+            fence += "`"
+        holder.pieces.append((True, f"{fence}\n{text}\n{fence}"))
+    elif name in _HEADING:
+        text = _one_line(node.blocks())
+        holder.pieces.append((True, _HEADING[name] + text if text else ""))
+    elif name in ("td", "th"):
+        cell = _one_line(node.blocks()).replace("|", "\\|")
+        values = attributes(node.rest)
+        holder.pieces.append((False, [(cell, _number(values.get("colspan")), _number(values.get("rowspan")))])
+                             if holder.name == "tr" else (False, cell + " "))
+    elif name == "tr":
+        cells = [c for _, p in node.pieces if isinstance(p, list) for c in p]
+        holder.pieces.append((False, cells) if holder.name == "table" else (False, " ".join(c[0] for c in cells) + " "))
+    elif name == "table":
+        if names & {"td", "th"}:  # a table inside a cell: its cells in reading order
+            texts = [c[0] for _, p in node.pieces if isinstance(p, list) for c in p]
+            holder.pieces.append((False, " " + " ".join(texts) + " "))
+        else:
+            holder.pieces += [(True, b) for b in _table(node)]
+    elif name == "caption":
+        holder.pieces.append((False, _one_line(node.blocks()) + "\n"))
+    elif name == "li":
+        holder.pieces.append((False, node.blocks()) if holder.name in ("ul", "ol") else (True, "- " + "\n".join(node.blocks())))
+    else:
+        holder.pieces.append((True, _list(node)))
+
+
+def to_markdown(source: str) -> str:
     """Convert one HTML fragment."""
-    c = _replace_all(html, _DROP, _ANY_DROP)
-    c = let(c, lambda x: F.when(x.rlike(r"(?i)<pre[\s>]"), x).otherwise(
-        F.regexp_replace(x, r"\s*\n\s*", " ")))
-    c = _replace_all(c, _INLINE, _ANY_INLINE)
-    for special in (_image, _tables, _ordered_lists):
-        c = let(c, special)
-    c = _replace_all(_replace_all(c, _HEADING, _ANY_HEADING), _BLOCK, _ANY_BLOCK)
-    # Spaces around line ends go, and no more than one empty line stays.
-    c = F.regexp_replace(trimmed(c), r"[ \t]*\n[ \t]*", "\n")
-    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    return trimmed(let(c, _entities))
-
-
-def _entities(c: Column) -> Column:
-    out = c
-    for entity, plain in _ENTITY:
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    return F.when(c.contains("&"), out).otherwise(c)
+    stack = [_Open("")]
+    at, until = 0, 0
+
+    def text(a: int, b: int) -> None:
+        if a < b:
+            piece = source[a:b]
+            if "&" in piece:
+                piece = entities.unescape(piece.replace("&nbsp;", " "))
+            if "\n" in piece and not any(n.name == "pre" for n in stack):
+                piece = _LINE.sub(" ", piece)
+            stack[-1].pieces.append((False, piece))
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            node = stack.pop()
+            if node.name in _INLINE and len(stack) > depth:  # an inline mark that is cut off marks nothing
+                stack[-1].pieces += node.pieces
+            else:
+                _closed(node, stack)
+
+    def find(names: set, stop: set) -> int | None:
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].name in names:
+                return k
+            if stack[k].name in stop:
+                return None
+        return None
+
+    def unmark() -> None:
+        while stack[-1].name in _INLINE:
+            node = stack.pop()
+            stack[-1].pieces += node.pieces
+
+    for tag in tags(source):
+        if tag.start < until:
+            continue
+        text(at, tag.start)
+        at, name = tag.end, tag.name
+        if not name or name in _UNWRAPPED:
+            continue
+        if name == "math" and not tag.closing:
+            end = re.compile(r"</math\s*>", re.I).search(source, tag.end)
+            at = until = end.end() if end else len(source)
+            stack[-1].pieces.append((False, source[tag.start:at]))
+        elif name == "br":
+            stack[-1].pieces.append((False, "\n"))
+        elif name == "img":
+            values = attributes(tag.rest)
+            stack[-1].pieces.append((False, f"![{values.get('alt', '')}]({values.get('src', '')})"))
+        elif name == "input" and attributes(tag.rest).get("type", "").lower() in ("checkbox", "radio"):
+            stack[-1].pieces.append((False, "[x] " if "checked" in attributes(tag.rest) else "[ ] "))
+        elif name == "hr":
+            unmark()
+            stack[-1].pieces.append((True, "* * *"))
+        elif name not in _BLOCK and name not in _INLINE:
+            stack[-1].pieces.append((False, source[tag.start:tag.end]))
+        elif tag.closing:
+            # an inline end stays within its block; a block end closes what it holds
+            k = find({name}, _BLOCK - {name} if name in _INLINE else {"table"} - {name})
+            if k is not None:
+                close(k)
+        else:
+            if name in _BLOCK and not any(n.name == "pre" for n in stack):
+                unmark()
+                ends, stop = _ENDS.get(name, ({"p", *_HEADING}, {"li", "td", "th", "div"}))
+                k = find(ends, stop)
+                if k is not None:
+                    close(k)
+            stack.append(_Open(name, tag.rest))
+    text(at, len(source))
+    unmark()
+    close(1)
+    return "\n\n".join(stack[0].blocks())
+
+
+@F.arrow_udf(T.StringType())
+def html_to_markdown(html: pa.Array) -> pa.Array:
+    """Convert one HTML fragment a row."""
+    return pa.array([None if t is None else to_markdown(t) for t in html.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def each_to_markdown(html: pa.Array) -> pa.Array:
+    """Convert each fragment of a row's array; null ones stay null."""
+    return pa.array([None if row is None else [None if t is None else to_markdown(t) for t in row]
+                     for row in html.to_pylist()], pa.list_(pa.string()))
 
 
 def clean_markdown(c: Column) -> Column:

@@ -28,8 +28,8 @@ def outcome(model: Column, content: Column, finish_reason: Column, token_count:
     """Outcome class of one attempt, first match wins. Only a dialect with a strict parse can
     give PARSE_ERROR; the others swallow bad pieces."""
     limited = is_length_limited(finish_reason)
-    cleaned = by_model(lambda d: d.clean(content), model, content)
-    parsed = by_model(lambda d: d.strict(content) if d.strict else None, model, F.lit(True))
+    cleaned = by_model(lambda d, _: d.clean(content), model, content)
+    parsed = by_model(lambda d, _: d.strict(content) if d.strict else None, model, F.lit(True))
     return (F.when(error.isNotNull(), "API_ERROR")
             .when(is_repetitive(content), "REPETITION")
             .when(limited & (token_count > RUNAWAY_TOKENS), "RUNAWAY")

@@ -42,13 +42,15 @@ def register(model_id: str, dialect: Dialect) -> None:
     REGISTRY[model_id] = dialect
 
 
-def by_model(choose: Callable[[Dialect], Column | None], model: Column, default: Column) -> Column:
-    """One ``when`` branch per registered dialect, so a mixed table needs a single pass."""
+def by_model(choose: Callable[[Dialect, Column], Column | None], model: Column, default: Column) -> Column:
+    """One ``when`` branch per registered dialect, so a mixed table needs a single pass. ``choose`` also
+    gets the condition of the branch: functions in Python run on every row, so they should be given
+    null where another dialect is in charge."""
     chain = None
     for model_id, dialect in REGISTRY.items():
-        value = choose(dialect)
+        hit = F.lower(model) == model_id
+        value = choose(dialect, hit)
         if value is not None:
-            hit = F.lower(model) == model_id
             chain = F.when(hit, value) if chain is None else chain.when(hit, value)
     return default if chain is None else chain.otherwise(default)
 
@@ -57,11 +59,13 @@ def parse_responses(responses: DataFrame, model_id: str | None = None,
                     mode: str = "reference") -> DataFrame:
     """Responses (``content``, ``width``, ``height`` and keys) with a ``blocks`` array per page.
 
-    With ``model_id`` all rows use that dialect, otherwise each row's ``model_id`` decides. The
-    step is row-local: no shuffle, and ``content`` is dropped as soon as it is parsed.
+    With ``model_id`` all rows use that dialect, otherwise each row's ``model_id`` decides, ignoring
+    case; null or unknown models get null ``blocks``. The step is row-local: no shuffle, and
+    ``content`` is dropped as soon as it is parsed.
     """
-    def parsed(d: Dialect) -> Column:
-        return d.parse(F.col("content"), F.col("width"), F.col("height"), mode)
+    def parsed(d: Dialect, hit: Column | None = None) -> Column:
+        content = F.col("content") if hit is None else F.when(hit, F.col("content"))
+        return d.parse(content, F.col("width"), F.col("height"), mode)
 
     value = parsed(REGISTRY[model_id]) if model_id else by_model(
         parsed, F.col("model_id"), F.lit(None))
@@ -71,18 +75,32 @@ def parse_responses(responses: DataFrame, model_id: str | None = None,
 def page_markdown(pages: DataFrame, model_id: str | None = None, keep_header_footer: bool = False,
                   mode: str = "reference") -> DataFrame:
     """Pages with a ``blocks`` array to pages with ``markdown``; row-local like the parse."""
-    def shown(d: Dialect) -> Column:
-        return d.markdown(F.col("blocks"), keep_header_footer, mode)
+    def shown(d: Dialect, hit: Column | None = None) -> Column:
+        blocks = F.col("blocks") if hit is None else F.when(hit, F.col("blocks"))
+        return d.markdown(blocks, keep_header_footer, mode)
 
     value = shown(REGISTRY[model_id]) if model_id else by_model(
         shown, F.col("model_id"), F.lit(None))
     return pages.withColumn("markdown", value).drop("blocks")
 
 
-def block_rows(pages: DataFrame, *keys: str) -> DataFrame:
-    """One row per block: the keys, ``block_no`` in page order, ``bbox``, ``category``, ``text``."""
+PARSED, UNKNOWN_MODEL = "PARSED", "UNKNOWN_MODEL"
+
+
+def parse_status(model: Column) -> Column:
+    """Whether a dialect is registered for a row's model; null counts as unknown."""
+    return F.when(F.lower(model).isin(*REGISTRY), PARSED).otherwise(UNKNOWN_MODEL)
+
+
+def block_rows(pages: DataFrame, *keys: str, keep_unparsed: bool = False) -> DataFrame:
+    """One row per block: the keys, ``block_no`` in page order, ``bbox``, ``category``, ``text``.
+
+    Pages without a block give no row. With ``keep_unparsed`` pages that no dialect parsed (null
+    ``blocks``) stay as one row without a ``block_no``.
+    """
     # The outer form keeps the optimizer from pushing a size test on the blocks, and with it a
     # second parse of every response, below the parsing projection.
-    return (pages.select(*keys, F.posexplode_outer("blocks").alias("block_no", "b"))
-            .filter(F.col("block_no").isNotNull())
+    unparsed = F.col("blocks").isNull() if keep_unparsed else F.lit(False)
+    return (pages.select(*keys, unparsed.alias("_unparsed"), F.posexplode_outer("blocks").alias("block_no", "b"))
+            .filter(F.col("block_no").isNotNull() | F.col("_unparsed"))
             .select(*keys, "block_no", "b.bbox", "b.category", "b.text"))

@@ -6,13 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliospark.functions import bbox as B
-from foliospark.functions.columns import let, literal_lookup, trimmed
+from foliospark.functions.columns import literal_lookup, trimmed
+from foliospark.functions.markup import divisions
 from foliospark.schemas import CHANDRA_LABELS
 
-_DIV = r"(?i)<div\b[^>]*>|</div\s*>"
-# A division opened before the previous one was closed.
-_NESTED = r"(?is)<div\b(?:(?!</?div\b).)*+<div\b"
-_BOXED = r"(?is)\A<div\b[^>]*?\sdata-bbox(?=[\s=>/])"
 _BLOCK_TYPE = "array<struct<bbox:array<float>,category:string,text:string>>"
 
 
@@ -26,74 +23,15 @@ def category_of(label: Column) -> Column:
     return literal_lookup(F.lower(label), CHANDRA_LABELS, "Text")
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of a start tag, null when it is missing."""
-    present = tag.rlike(rf"(?i)\s{name}(?=[\s=>/])")
-    value = F.coalesce(*[F.nullif(F.regexp_extract(
-        tag, rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", k), F.lit(""))
-        for k in (1, 2, 3)], F.lit(""))
-    return F.when(present, value)
-
-
-def _flat(html: Column) -> Column:
-    """struct(tag, inner) of divisions that do not nest: one pass over the text."""
-    spans = F.regexp_extract_all(
-        html, F.lit(r"(?is)<div\b[^>]*>.*?(?=</div\s*>|\z)"), F.lit(0))
-    return F.transform(spans, lambda s: F.struct(
-        F.regexp_extract(s, r"(?is)\A<div\b[^>]*>", 0).alias("tag"),
-        F.regexp_replace(s, r"(?is)\A<div\b[^>]*>", "").alias("inner")))
-
-
-def _nested(html: Column) -> Column:
-    """struct(tag, inner) of every boxed division, outer and inner, by the depth after each tag."""
-    tags = F.regexp_extract_all(html, F.lit(_DIV), F.lit(0))
-    gaps = F.split(html, _DIV)
-    depths = F.aggregate(
-        tags, F.struct(F.lit(0).alias("d"), F.array().cast("array<int>").alias("seen")),
-        lambda acc, t: let(
-            F.greatest(acc["d"] + F.when(t.startswith("</"), -1).otherwise(1), F.lit(0)),
-            lambda d: F.struct(d.alias("d"), F.array_append(acc["seen"], d).alias("seen"))),
-        lambda acc: acc["seen"])
-
-    def spans(page: Column) -> Column:
-        tags_, gaps_, depths_ = page["tags"], page["gaps"], page["depths"]
-        count = F.size(tags_)
-
-        def one(i: Column) -> Column:
-            # The first later tag that returns to the depth outside this division closes it.
-            later = F.slice(depths_, i + 2, count)
-            at = F.array_position(later, F.get(depths_, i) - 1).cast("int")
-            length = F.when(at > 0, at).otherwise(F.size(later) + 1)
-            texts = F.slice(gaps_, i + 2, length)
-            marks = F.slice(F.concat(tags_, F.array(F.lit(""))), i + 2, length)
-            inner = F.array_join(F.zip_with(
-                texts, marks, lambda t, m: F.concat(t, m)), "")
-            closing = F.coalesce(F.get(marks, length - 1), F.lit(""))
-            return F.struct(F.get(tags_, i).alias("tag"), F.substr(
-                inner, F.lit(1), F.length(inner) - F.length(closing)).alias("inner"))
-
-        wanted = F.filter(F.transform(tags_, lambda tag, i: F.when(tag.rlike(_BOXED), i)),
-                          lambda i: i.isNotNull())
-        return F.transform(wanted, one)
-
-    return let(F.struct(tags.alias("tags"), gaps.alias("gaps"), depths.alias("depths")), spans)
-
-
 def parse(content: Column, width: Column, height: Column, mode: str = "reference") -> Column:
     """Blocks of a response with boxes in pixels. A missing or bad box keeps the block; a nested
-    division is a block of its own and also part of the outer one."""
-    def block(span: Column) -> Column:
-        raw = attribute(span["tag"], "data-bbox")
-        numbers = F.when(raw.rlike(r"(?s)\A\s*\[[^\[\]]*\]\s*\z"), F.from_json(raw, "array<float>"))
+    division is a block of its own and also part of the outer one. Tags in comments are no tags."""
+    def block(d: Column) -> Column:
+        numbers = F.when(d["box"].rlike(r"(?s)\A\s*\[[^\[\]]*\]\s*\z"), F.from_json(d["box"], "array<float>"))
         good = (F.size(numbers) == 4) & F.forall(numbers, lambda v: v.isNotNull())
         return F.struct(
             F.when(good, B.scale_1024(numbers, width, height)).alias("bbox"),
-            category_of(F.coalesce(attribute(span["tag"], "data-label"), F.lit("Text"))).alias("category"),
-            trimmed(span["inner"]).alias("text"))
-
-    def build(html: Column) -> Column:
-        spans = F.when(html.rlike(_NESTED), _nested(html)).otherwise(_flat(html))
-        boxed = F.filter(spans, lambda s: s["tag"].rlike(_BOXED))
-        return F.transform(boxed, block).cast(_BLOCK_TYPE)
+            category_of(F.coalesce(d["label"], F.lit("Text"))).alias("category"),
+            trimmed(d["inner"]).alias("text"))
 
-    return let(cleaned(content), build)
+    return F.transform(divisions(cleaned(content)), block).cast(_BLOCK_TYPE)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from foliospark.functions import markup, text
 from foliospark.functions.quality import is_repetitive
 from foliospark.plans import fixtures as X
 from foliospark.plans.collapse_sql import collapse_ctes
-from foliospark.plans.layout import CHANDRA_BLOCKS, _FORMULA, page_markdown_chandra, punct_sql, trim_sql
+from foliospark.plans.layout import CHANDRA_BLOCKS, LINES, _FORMULA, page_markdown_chandra, punct_sql, trim_sql
 from foliospark.sources.readers import spread
 
 # The documents hold few of the patterns the rules look for, so each text gets a tail of its own.
@@ -128,33 +130,71 @@ def html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return html.select("page_id", markup.chandra_markdown(F.col("html")).alias("markdown"))
 
 
-def _rules_sql(expr: str, rules) -> str:
-    for pattern, repl in rules:
-        if "(?=" in pattern:  # check boxes: not in the page data, and no look-ahead here
-            continue
-        repl = repl.replace("\\", "\\\\")
-        for k in "12":
-            repl = repl.replace(f"${k}", f"\\{k}")
-        expr = "regexp_replace({}, '{}', '{}', 'g')".format(
-            expr, pattern.replace("'", "''"), repl.replace("'", "''"))
-    return expr
+# What becomes of the tags that the pages and the built responses hold, in order. Written down here for
+# the checking SQL alone; marks that are never ended (all bold ones of the pages) are left out.
+_PAGE_RULES = (
+    (r"(?s)<!--.*?-->", ""), (r"(?i)<!doctype[^>]*>", ""), (r"(?is)<script>.*?</script>", ""),
+    (r"(?is)<style>.*?</style>", ""), (r"(?i)</?(html|head|body)( [^>]*)?>", ""), ("<b>", ""), (r"\s*\n\s*", " "),
+    (r'<a href="([^"]*)">\s*(.*?)\s*</a>', r"[\2](\1)"), (r"<h1>\s*(.*?)\s*</h1>", r"\n\n# \1\n\n"), ("<br>", r"\n"),
+    (r"<li>\s*", r"\n- "), ("</li>", ""), (r"</?(p|div|ul)( [^>]*)?>", r"\n\n"), (r"[ \t]*\n[ \t]*", r"\n"),
+    (r"\n{3,}", r"\n\n"))
+_PAGE_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
 def html_sql(expr: str) -> str:
-    """The conversion contract for the tags the pages hold (no tables, images, numbered lists)."""
-    e = _rules_sql(expr, markup._DROP)
-    e = f"regexp_replace({e}, '\\s*\\n\\s*', ' ', 'g')"
-    for rules in (markup._INLINE, markup._HEADING, markup._BLOCK):
-        e = _rules_sql(e, rules)
-    e = f"regexp_replace(regexp_replace({e}, '[ \\t]*\\n[ \\t]*', chr(10), 'g'), '\\n{{3,}}', concat(chr(10), chr(10)), 'g')"
-    for entity, plain in markup._ENTITY:
-        e = "replace({}, '{}', '{}')".format(e, entity, plain.replace("'", "''"))
-    return trim_sql(e)
+    for pattern, repl in _PAGE_RULES:
+        made = " || ".join("chr(10)" if t == r"\n" else f"'{t}'" for t in re.split(r"(\\n)", repl) if t) or "''"
+        expr = f"regexp_replace({expr}, '{pattern}', {made}, 'g')"
+    for entity, plain in _PAGE_ENTITIES:
+        expr = f"replace({expr}, '{entity}', '{plain}')"
+    return trim_sql(expr)
 
 
 HTML_SQL = f"""WITH src AS (SELECT page_id AS id, {html_sql('html')} AS txt FROM pages),
 {dedupe_lines_ctes('src', 'd')} SELECT id AS page_id, {trim_sql(punct_sql('txt'))} AS markdown FROM d"""
 
+# Fragments of every kind the contract names, one a line of a document, and what each has to become.
+_WORD = "concat('w', regexp_extract({0}, '[A-Za-z]*', 0))"
+
+
+def html_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """HTML built from the lines of each document, and its Markdown."""
+    def fragment(line, i):
+        word = F.concat(F.lit("w"), F.regexp_extract(line, "[A-Za-z]*", 0))
+        safe = F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+        kinds = (
+            ("<h2 class='q'> ", word, "\n</h2>"),
+            ("<p>", safe, " <b> ", word, " </b></p>"),
+            ("<ul>\n<li>", word, "<ol><li>x</li>\n<li>y</ol></li><li>z</li></ul>"),
+            ("<table border=1><caption>C ", word, "</caption><tr><th colspan=2>", word, "</th><th rowspan='2'>k|l</th></tr>"
+             "<tbody><tr><td>1<td>2</tr></tbody></table>"),
+            ("<a href='u?a=1&amp;b=2'>", word, "</a>&eacute;<a href=http://v.w>v.w</a> <a>bare</a>"),
+            ("<pre><code>  if ", word, ":\n    ", safe, "</code></pre>"),
+            ('x <math display="block" title="a>b">', word, " &lt; b</math> y"),
+            ("<!-- <p>no</p> --><img alt='", word, " > 1'><input type=radio checked> on<hr>"))
+        pieces = [F.concat(*[F.lit(p) if isinstance(p, str) else p for p in kind]) for kind in kinds]
+        chain = F.when(i % len(pieces) == 0, pieces[0])
+        for k, piece in enumerate(pieces[1:], start=1):
+            chain = chain.when(i % len(pieces) == k, piece)
+        return F.concat(F.lit("<div>"), chain.otherwise(""), F.lit("</div>"))
+
+    pages = X.pages(spark, sf).select("doc_id", F.array_join(F.transform(F.split("body", "\n"), fragment), "\n").alias("html"))
+    return pages.select("doc_id", markup.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+FRAGMENTS_SQL = f"""WITH {LINES}, w AS (SELECT *, {_WORD.format('line')} AS w FROM lines),
+md AS (SELECT doc_id, i, CASE i % 8
+  WHEN 0 THEN '## ' || w
+  WHEN 1 THEN {trim_sql("line || ' **' || w || '**'")}
+  WHEN 2 THEN '- ' || w || chr(10) || '    1. x' || chr(10) || '    2. y' || chr(10) || '- z'
+  WHEN 3 THEN 'C ' || w || chr(10) || chr(10) || '| ' || w || ' |  | k\\|l |' || chr(10) || '| --- | --- | --- |'
+    || chr(10) || '| 1 | 2 |  |'
+  WHEN 4 THEN '[' || w || '](u?a=1&b=2)é' || 'http://v.w bare'
+  WHEN 5 THEN '```' || chr(10) || '  if ' || w || ':' || chr(10) || CASE WHEN {trim_sql('line')} = '' THEN '' ELSE '    ' || {trim_sql("'#' || line")}[2:] END || chr(10) || '```'
+  WHEN 6 THEN 'x <math display="block" title="a>b">' || w || ' &lt; b</math> y'
+  ELSE '![' || w || ' > 1]()[x]  on' || chr(10) || chr(10) || '* * *' END AS md FROM w)
+SELECT doc_id, string_agg(md, chr(10) || chr(10) ORDER BY i) AS markdown FROM md GROUP BY doc_id"""
+
 CHANDRA_MARKDOWN_SQL = f"""WITH {CHANDRA_BLOCKS},
 shown AS (SELECT * FROM chandra WHERE category NOT IN ('Page-header', 'Page-footer')),
 src AS (SELECT doc_id * 100000 + block_no AS id, {html_sql('text')} AS txt FROM shown WHERE category <> 'Image'),
@@ -175,5 +215,6 @@ QUERIES = {
     "format_block": (format_block, FORMAT_SQL),
     "data_uri": (data_uri, DATA_URI_SQL),
     "html_to_markdown": (html_to_markdown, HTML_SQL),
+    "html_fragments": (html_fragments, FRAGMENTS_SQL),
     "page_markdown_chandra": (page_markdown_chandra, CHANDRA_MARKDOWN_SQL),
 }

@@ -132,12 +132,20 @@ def test_chandra_parse(evaluate):
     assert [t for _, _, t in got[5]] == ["x", "y"]
 
 
-def test_nested_and_flat_agree(evaluate):
-    raw = ["<div data-bbox='[1,2,3,4]'>%s</div> between <div data-bbox='[1,2,3,5]'>b</div>" % t
-           for t in ("a", "", "<p>c</p>")]
-    pick = lambda spans: F.transform(spans, lambda s: F.struct(s["tag"], s["inner"]))
-    assert (evaluate(lambda c: pick(chandra._flat(c)), raw)
-            == evaluate(lambda c: pick(chandra._nested(c)), raw))
+def test_chandra_scanner(evaluate):
+    """Comments, quoted angle brackets, deep nesting, stray and missing ends."""
+    parse = lambda c: chandra.parse(c, F.lit(1024), F.lit(1024))
+    deep = "".join(f'<div data-bbox="[{k},0,9,9]">{k}' for k in range(300)) + "</div>" * 300
+    raw = ['<div data-bbox="[1,2,3,4]" title="a>b" DATA-LABEL=\'Table\'>q<!-- <div data-bbox="[9,9,9,9]">no</div> --><div>i</div></div>',
+           "</div><div data-bbox=[1,2,3,4]>a</div></div><script><div data-bbox='[1,1,1,1]'></script>",
+           "<div data-bbox='[1,2,3,4]' data-bbox='[5,6,7,8]'><div>in</div>rest", '<div data-bbox="[1,&#50;,3,4]">e</div>', deep, None]
+    got = [flat(b) for b in evaluate(parse, raw)]
+    assert got[0] == [([1, 2, 3, 4], "Table", 'q<!-- <div data-bbox="[9,9,9,9]">no</div> --><div>i</div>')]
+    assert got[1] == [([1, 2, 3, 4], "Text", "a")]
+    assert got[2] == [([1, 2, 3, 4], "Text", "<div>in</div>rest")]
+    assert got[3] == [([1, 2, 3, 4], "Text", "e")]
+    assert [b[0] for b in got[4]] == [[k, 0, 9, 9] for k in range(300)] and got[4][299][2] == "299"
+    assert got[5] == []
 
 
 def test_mixed_table_and_plugged_dialect(spark):

@@ -89,16 +89,45 @@ HTML = {
         "| h | k |\n| --- | --- |\n| 1 | 2\\|3 |",
     "<!-- c --><script>s()</script>a &lt;b&gt; &amp;amp;": "a <b> &amp;",
     '<input type="checkbox" checked> on <input type="checkbox"> off': "[x]  on [ ]  off",
-    "<pre>a\n b</pre><code>k</code>": "```\na\nb\n```\n\n`k`",
+    "<pre>a\n b</pre><code>k</code>": "```\na\n b\n```\n\n`k`",
     "<u>kept</u><hr>": "<u>kept</u>\n\n* * *",
 }
 
 
+HTML |= {
+    "<ul><li>a<ul><li>b<ol><li>c</li><li>d</li></ol></li></ul></li><li>e</li></ul>":
+        "- a\n    - b\n        1. c\n        2. d\n- e",
+    "<table><caption>C</caption><tr><th colspan=2>h</th><th rowspan='2'>k</th></tr><tr><td>1<td>2</tr><tr><td>3</td></tr></table>":
+        "C\n\n| h |  | k |\n| --- | --- | --- |\n| 1 | 2 |  |\n| 3 |  |  |",
+    "<table><tr><td><table><tr><td>x</td><td>y</td></tr></table></td><td>a</td></tr></table>": "| x y | a |\n| --- | --- |",
+    "<a href='u'>q</a> <a href=v>w</a> <a href='http://x.y'>x.y</a> <a>n</a> <a href='mailto:m'>m</a>":
+        "[q](u) [w](v) http://x.y n m",
+    "<pre><code>def f():\n    return 1 &lt; 2\n\n\n  x</code></pre>t": "```\ndef f():\n    return 1 < 2\n\n\n  x\n```\n\nt",
+    "<pre>```</pre>": "````\n```\n````",
+    "<p>x <math>a &lt; b<b></math> &eacute;&nbsp;&#x41; <img alt='x>y'></p>": "x <math>a &lt; b<b></math> é A ![x>y]()",
+    "<p><b>open<br><p>next": "open\n\nnext",
+    "<b>a <b>b</b></b> <i></i><h2>T<br>u</h2>": "**a b**\n\n## T u",
+    "a < b > c <3 <x y": "a < b > c <3 <x y",
+    "<ul><li><p>a</p><p>b</p></ul></ul>": "- a\n    b",
+    "<li>lone</li><td>cell": "- lone\n\ncell",
+    "</p></b></table>": "", "": "", "<table></table><ul></ul>": "",
+}
+
+
 def test_html_to_markdown(evaluate):
     got = evaluate(markup.html_to_markdown, list(HTML))
     assert dict(zip(HTML, got)) == HTML
 
 
+def test_markup_takes_odd_input(evaluate):
+    deep = "<ul><li>" * 200 + "x"
+    wide = "<table><tr>" + "<td colspan=99999 rowspan=0>x" * 3 + "</table>"
+    got = evaluate(markup.html_to_markdown, [None, deep, wide, "<b>" * 5000 + "y", "<" * 5000])
+    assert got[0] is None and got[1].endswith("- x") and got[2].count("x") == 3
+    assert got[3:] == ["y", "<" * 5000]
+    assert evaluate(markup.each_to_markdown, [["<p>a", None], [], None], "array<string>") == [["a", None], [], None]
+
+
 def test_chandra_cleanup_order(evaluate):
     assert evaluate(markup.chandra_markdown, [
         '<p>A B</p><p>ab</p><math display="block">x</math>.......']) == ["A B\n\n\n\n$$\nx\n$$\n..."]
