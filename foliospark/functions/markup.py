@@ -91,6 +91,8 @@ def boxed_divisions(text: str) -> list[tuple[str, str | None, str]]:
 _DIVISION = T.StructType([T.StructField(n, T.StringType()) for n in ("box", "label", "inner")])
 
 
+# The two kinds of functions differ on purpose: Spark 4.1 merges the projections of functions of one kind
+# that feed each other and then fails to evaluate the outer one.
 @F.arrow_udf(T.ArrayType(_DIVISION))
 def divisions(text: pa.Array) -> pa.Array:
     """Struct(box, label, inner) of the box divisions of each response; null for null."""
@@ -316,17 +318,16 @@ def to_markdown(source: str) -> str:
     return "\n\n".join(stack[0].blocks())
 
 
-@F.arrow_udf(T.StringType())
-def html_to_markdown(html: pa.Array) -> pa.Array:
+@F.udf(T.StringType(), useArrow=True)
+def html_to_markdown(html):
     """Convert one HTML fragment a row."""
-    return pa.array([None if t is None else to_markdown(t) for t in html.to_pylist()], pa.string())
+    return None if html is None else to_markdown(html)
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def each_to_markdown(html: pa.Array) -> pa.Array:
+@F.udf(T.ArrayType(T.StringType()), useArrow=True)
+def each_to_markdown(html):
     """Convert each fragment of a row's array; null ones stay null."""
-    return pa.array([None if row is None else [None if t is None else to_markdown(t) for t in row]
-                     for row in html.to_pylist()], pa.list_(pa.string()))
+    return None if html is None else [None if t is None else to_markdown(t) for t in html]
 
 
 def clean_markdown(c: Column) -> Column:

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def document_markdown(pages: DataFrame) -> DataFrame:
+def document_markdown(pages: DataFrame, *extras: Column) -> DataFrame:
     """One row per document: its pages in order, each with its Markdown, an empty line, ``Page n``, an
-    empty line and a rule; blank pages are included."""
+    empty line and a rule; blank pages are included. ``extras`` are further named aggregates."""
     page = F.concat(F.coalesce("markdown", F.lit("")), F.lit("\n\nPage "),
                     (F.col("page_index") + 1).cast("string"), F.lit("\n\n---\n"))
     ordered = F.sort_array(F.collect_list(F.struct("page_index", page.alias("md"))))
-    return (pages.groupBy("task_id").agg(ordered.alias("p"))
-            .select("task_id", F.size("p").alias("pages"), F.array_join(
-                F.transform("p", lambda x: x["md"]), "").alias("markdown")))
+    out = pages.groupBy("task_id").agg(ordered.alias("p"), *extras)
+    return (out.withColumn("pages", F.size("p"))
+            .withColumn("markdown", F.array_join(F.transform("p", lambda x: x["md"]), "")).drop("p"))
 
 
 def document_status(pages: DataFrame, tasks: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("layout", "text", "attempts", "intake", "geometry", "events")
+FAMILIES = ("layout", "text", "chain", "attempts", "intake", "geometry", "events")
 
 
 def catalogue() -> dict:

@@ -216,13 +216,3 @@ RAW = {"dots": raw_dots, "deepseekocr": raw_deepseek, "chandra": raw_chandra}
 def responses(spark: SparkSession, sf_dir: str, dialect: str) -> DataFrame:
     """Page keys, size and one raw response of the dialect per page."""
     return pages(spark, sf_dir).withColumn("content", RAW[dialect]()).drop("body")
-
-
-def mixed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages answered by different models."""
-    kind = F.col("doc_id") % 3
-    model = F.when(kind == 0, "dots").when(kind == 1, "chandra").otherwise("deepseekocr")
-    content = (F.when(kind == 0, raw_dots()).when(kind == 1, raw_chandra())
-               .otherwise(raw_deepseek()))
-    return (pages(spark, sf_dir).withColumn("model_id", model).withColumn("content", content)
-            .drop("body"))

@@ -121,7 +121,7 @@ def _box_text(df: DataFrame) -> DataFrame:
     return df.withColumn("bbox", F.when(F.col("bbox").isNotNull(), F.array_join(numbers, ",")))
 
 
-def _box_numbers(df: DataFrame) -> DataFrame:
+def box_numbers(df: DataFrame) -> DataFrame:
     corners = [F.get("bbox", F.lit(k)).cast("double").alias(n)
                for k, n in enumerate(("x1", "y1", "x2", "y2"))]
     return df.select("*", *corners).drop("bbox")
@@ -140,7 +140,7 @@ PARSE_DOTS_SQL = f"WITH {DOTS_BLOCKS} SELECT doc_id, block_no, bbox, category, t
 
 def parse_deepseek(spark: SparkSession, sf: str) -> DataFrame:
     parsed = parse_responses(X.responses(spark, sf, "deepseekocr"), "deepseekocr")
-    return _box_numbers(block_rows(parsed, "doc_id"))
+    return box_numbers(block_rows(parsed, "doc_id"))
 
 
 PARSE_DEEPSEEK_SQL = (f"WITH {DEEPSEEK_BLOCKS} "
@@ -149,28 +149,13 @@ PARSE_DEEPSEEK_SQL = (f"WITH {DEEPSEEK_BLOCKS} "
 
 def parse_chandra(spark: SparkSession, sf: str) -> DataFrame:
     parsed = parse_responses(X.responses(spark, sf, "chandra"), "chandra")
-    return _box_numbers(block_rows(parsed, "doc_id"))
+    return box_numbers(block_rows(parsed, "doc_id"))
 
 
 PARSE_CHANDRA_SQL = (f"WITH {CHANDRA_BLOCKS} "
                      "SELECT doc_id, block_no, category, text, x1, y1, x2, y2 FROM chandra")
 
 
-def parse_all(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = parse_responses(X.mixed_responses(spark, sf))
-    return block_rows(parsed, "doc_id", "model_id").drop("bbox")
-
-
-def _nested(ctes: str, name: str, kind: int, model: str) -> str:
-    return (f"SELECT doc_id, '{model}' AS model_id, block_no, category, text FROM "
-            f"(WITH {ctes} SELECT * FROM {name}) WHERE doc_id % 3 = {kind}")
-
-
-PARSE_ALL_SQL = " UNION ALL ".join((
-    _nested(DOTS_BLOCKS, "dots", 0, "dots"), _nested(CHANDRA_BLOCKS, "chandra", 1, "chandra"),
-    _nested(DEEPSEEK_BLOCKS, "deepseekocr", 2, "deepseekocr")))
-
-
 def parse_json_strict(spark: SparkSession, sf: str) -> DataFrame:
     answers = X.pages(spark, sf).withColumn("r", dots.strict_json(X.raw_json()))
     return answers.select("doc_id", F.col("r.ok").alias("ok"), F.size("r.blocks").alias("blocks"),
@@ -306,7 +291,7 @@ def bbox_union(spark: SparkSession, sf: str) -> DataFrame:
     """Box around four boxes taken from each embedding."""
     boxes = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("embedding", k * 4 + 1, 4))
     merged = X.table(spark, sf, "embeddings").select("vec_id", B.union(boxes).alias("bbox"))
-    return _box_numbers(merged)
+    return box_numbers(merged)
 
 
 BBOX_UNION_SQL = """SELECT vec_id,
@@ -398,7 +383,6 @@ QUERIES = {
     "parse_dots": (parse_dots, PARSE_DOTS_SQL),
     "parse_deepseek": (parse_deepseek, PARSE_DEEPSEEK_SQL),
     "parse_chandra": (parse_chandra, PARSE_CHANDRA_SQL),
-    "parse_all": (parse_all, PARSE_ALL_SQL),
     "parse_json_strict": (parse_json_strict, PARSE_JSON_STRICT_SQL),
     "blocks_json": (blocks_json, PARSE_DOTS_SQL),
     "category_map": (category_map, CATEGORY_MAP_SQL),

@@ -15,6 +15,14 @@ def write_documents(documents: DataFrame, path: str, mode: str = "overwrite") ->
      .write.mode(mode).parquet(path))
 
 
+def write_page_table(pages: DataFrame, name: str, buckets: int, path: str | None = None, mode: str = "overwrite") -> None:
+    """A table bucketed and sorted by page key. Attempts and sizes written with the same number of buckets
+    are grouped and joined by page without an exchange."""
+    (pages.repartition(buckets, "task_id", "page_index").write.mode(mode)
+     .bucketBy(buckets, "task_id", "page_index").sortBy("task_id", "page_index")
+     .saveAsTable(name, **({"path": path} if path else {})))
+
+
 def with_file_name(documents: DataFrame, written_at) -> DataFrame:
     """Add the output file name: clean stem, task id and time stamp."""
     return documents.withColumn("file_name", output_file(F.col("file_stem"), F.col("task_id"), written_at))
