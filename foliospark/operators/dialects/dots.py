@@ -6,7 +6,7 @@ marker, each segment is recovered on its own, and the page's blocks stay one arr
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.bbox import four_or_null
@@ -21,7 +21,7 @@ _BLOCK_TYPE = "array<struct<bbox:array<float>,category:string,text:string>>"
 # recursion.
 _FENCE = r"(?sU)```json\s*(.*?)\s*```"
 _MARKER = r'(?U)"bbox"\s*:\s*\['
-_LETTER = r"a-zA-ZÀ-ỹ"
+_LETTER = r"a-zA-Z\u00C0-\u1EF9"
 _CATEGORY = r'(?U)"category"\s*:\s*"([^"]+)"'
 _TEXT = r'(?U)"text"\s*:\s*"([^"\\]*+(?:\\[^\n][^"\\]*+)*+)"?'
 _FRAGMENTS = (r'(?iU)"category"\s*:\s*"[^"]*"?,?', r'(?iU)"text"\s*:\s*"?,?', r'(?iU)"bbox"\s*:\s*\[?,?')
@@ -91,24 +91,35 @@ def _typed(element: Column, path: str, allowed: str) -> Column:
     return F.coalesce(kind.rlike(allowed), F.lit(True))
 
 
+def _number(element: Column) -> Column:
+    """A category written as a whole number, else null."""
+    kind = F.schema_of_variant(F.try_variant_get(element, "$.category", "variant"))
+    return F.when(kind == "BIGINT", F.try_variant_get(element, "$.category", "long"))
+
+
 def _valid(element: Column) -> Column:
     """An object whose known fields have the right type; unknown fields do not matter."""
     box = F.try_variant_get(element, "$.bbox", "array<float>")
-    category = F.lower(F.try_variant_get(element, "$.category", "string"))
+    number = _number(element)
+    category = F.when(number.isNull(), F.lower(F.try_variant_get(element, "$.category", "string")))
     return (F.schema_of_variant(element).startswith("OBJECT")
             & _typed(element, "$.bbox", r"^(VOID|ARRAY<(VOID|BIGINT|DOUBLE|FLOAT|DECIMAL.*)>)$")
-            & _typed(element, "$.category", "^(VOID|STRING)$")
+            & _typed(element, "$.category", "^(VOID|STRING|BIGINT)$")
+            & F.coalesce(number.between(-(1 << 31), (1 << 31) - 1), F.lit(True))
             & _typed(element, "$.text", "^(VOID|STRING)$")
             & F.coalesce(F.forall(box, lambda v: v.isNotNull()), F.lit(True))
             & F.coalesce(category.isin(*[c.lower() for c in CATEGORIES]), F.lit(True)))
 
 
 def _read(element: Column) -> Column:
+    number = _number(element)
+    known = F.get(F.array(*[F.lit(c) for c in CATEGORIES]), F.when(number.between(0, len(CATEGORIES) - 1), number).cast("int"))
     category = F.lower(F.try_variant_get(element, "$.category", "string"))
     has_text = F.try_variant_get(element, "$.text", "variant").isNotNull()
     return F.struct(
         F.try_variant_get(element, "$.bbox", "array<float>").alias("bbox"),
-        F.when(category.isNotNull(), literal_lookup(
+        F.when(number.isNotNull(), F.coalesce(known, number.cast("string")))
+        .when(category.isNotNull(), literal_lookup(
             category, {c.lower(): c for c in CATEGORIES}, "Text")).alias("category"),
         F.when(has_text, F.try_variant_get(element, "$.text", "string"))
         .otherwise(F.lit("")).alias("text"))
@@ -119,7 +130,11 @@ def _elements(content: Column) -> Column:
 
     The parser reads one value and ignores what follows. What follows the array would have to begin
     with a bracket to pass inside an array, with a brace to pass inside an object, so nothing passes both.
+    Of repeated keys the last one counts, which the session's JSON reader has to be told.
     """
+    session = SparkSession.getActiveSession()
+    if session:
+        session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     inside = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), content, F.lit("]"))), "$", "array<variant>")
     alone = (F.size(inside) == 1) & F.try_parse_json(F.concat(F.lit('{"v":'), content, F.lit("}"))).isNotNull()
     return F.when(content.rlike(r"(?sU)\A\s*\[.*\]\s*\z") & alone,
@@ -137,7 +152,8 @@ def _result(ok: Column, blocks: Column) -> Column:
 def strict_json(content: Column) -> Column:
     """struct(ok, blocks): a strict JSON array of block objects, or ok = false.
 
-    A bare object, prose, an unknown category or a wrongly typed field is an error. Types are read
+    A bare object, prose, an unknown category or a wrongly typed field is an error. A category may be
+    the number of its name; a whole number without a name stays as it is written. Types are read
     from the parsed variant, since a cast would quietly turn them into null.
     """
     return let(_elements(content), lambda elements: let(_all_valid(elements), lambda ok: _result(

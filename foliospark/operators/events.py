@@ -8,9 +8,10 @@ processing_time.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliospark.operators.running import previous_value, running_sums
+from foliospark.operators.running import running_sums
 from foliospark.schemas import EVENT, EVENT_STATUS, EVENT_TYPE, TERMINAL_STATUS
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -160,17 +161,22 @@ def throughput(events: DataFrame, width: str = "1 hour", *by: str) -> DataFrame:
                     *by, "events", "seconds"))
 
 
-def sessions(events: DataFrame, key: str, gap_minutes: int = 30) -> DataFrame:
-    """Sessions of a key: events closer together than the gap.
+def session_windows(events: DataFrame, key: str, gap_minutes: int = 30) -> DataFrame:
+    """Sessions of a key: events closer together than the gap (batch, and streams with a watermark).
 
-    The preceding event and the session number come from bucketed running values, so a key with a
-    large share of all events is spread over its hours.
+    Sessions that lie in one partition are merged before the exchange, so a key with a large share
+    of all events sends sessions, not events. Events without a time are in no session.
     """
-    bucket = hour_of(F.col("event_time"))
-    linked = previous_value(events.select(key, *ORDER), [key], bucket, ORDER, "previous", "event_time")
-    gap = F.make_interval(mins=F.lit(gap_minutes))
-    starts = F.coalesce((F.col("event_time") >= F.col("previous") + gap), F.lit(True))
-    numbered = running_sums(linked, [key], bucket, ORDER, {"session_no": starts.cast("int")})
-    return numbered.groupBy(key, "session_no").agg(
-        F.min("event_time").alias("session_start"), F.max("event_time").alias("session_last"),
-        F.count("*").alias("events"))
+    # windows that touch are merged: a microsecond less keeps events a whole gap apart in two sessions
+    width = f"{gap_minutes * 60 - 1} seconds 999999 microseconds"
+    events.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
+    return (events.groupBy(key, F.session_window("event_time", width).alias("w"))
+            .agg(F.max("event_time").alias("session_last"), F.count("*").alias("events"))
+            .select(key, F.col("w.start").alias("session_start"), "session_last", "events"))
+
+
+def sessions(events: DataFrame, key: str, gap_minutes: int = 30) -> DataFrame:
+    """Sessions of a key with their number in order of time (batch)."""
+    number = F.row_number().over(W.partitionBy(key).orderBy("session_start")).cast("long")
+    return session_windows(events, key, gap_minutes).select(key, number.alias("session_no"), "session_start",
+                                                            "session_last", "events")

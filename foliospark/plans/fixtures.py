@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.schemas import CATEGORIES
 from foliospark.sources.readers import spread
 
 PAGE_COLS = (
@@ -169,12 +170,17 @@ def raw_dots() -> Column:
 
 
 def raw_json() -> Column:
-    """Strict JSON array without boxes; for some documents with a defect."""
+    """Strict JSON array with boxes, repeated keys and numbered categories; for some documents with a defect."""
     kind = F.col("doc_id") % 5
-    items = F.transform(_lines(), lambda line, i: F.struct(
-        F.when(kind == 3, "Nonsense").otherwise("Section-header").alias("category"),
-        line.alias("text")))
-    good = F.to_json(items)
+
+    def item(line: Column, i: Column) -> Column:
+        quoted = F.to_json(F.struct(line.alias("t")))
+        category = (F.when(kind == 3, '"Nonsense"').when(i % 3 == 0, str(CATEGORIES.index("Section-header")))
+                    .when(i % 3 == 1, '"section-HEADER"').otherwise('"Title","category":"Section-header"'))
+        return F.concat(F.lit('{"text":5,"bbox":['), _numbers(i, *_box(i)), F.lit('.5],"category":'), category, F.lit(',"text":'),
+                        F.substr(quoted, F.lit(6), F.length(quoted) - 6), F.lit("}"))
+
+    good = F.concat(F.lit("["), F.array_join(F.transform(_lines(), item), ", "), F.lit("]"))
     return (F.when(kind == 1, F.concat(good, F.lit(" trailing")))
             .when(kind == 2, F.concat(F.lit("  "), good, F.lit("\n")))
             .when(kind == 4, F.col("body")).otherwise(good))

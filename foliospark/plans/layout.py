@@ -158,16 +158,21 @@ PARSE_CHANDRA_SQL = (f"WITH {CHANDRA_BLOCKS} "
 
 def parse_json_strict(spark: SparkSession, sf: str) -> DataFrame:
     answers = X.pages(spark, sf).withColumn("r", dots.strict_json(X.raw_json()))
+    boxes = F.transform("r.blocks", lambda b: F.array_join(F.transform(b["bbox"], lambda v: (v * 2).cast("int").cast("string")), ","))
     return answers.select("doc_id", F.col("r.ok").alias("ok"), F.size("r.blocks").alias("blocks"),
                           F.array_join(F.transform("r.blocks", lambda b: b["text"]), "\n").alias("text"),
                           F.array_join(F.array_distinct(F.transform(
-                              "r.blocks", lambda b: b["category"])), ",").alias("categories"))
+                              "r.blocks", lambda b: b["category"])), ",").alias("categories"),
+                          F.array_join(boxes, " ").alias("boxes"))
 
 
-PARSE_JSON_STRICT_SQL = f"""WITH {PAGES} SELECT doc_id, doc_id % 5 IN (0, 2) AS ok,
+PARSE_JSON_STRICT_SQL = f"""WITH {LINES}, x AS (SELECT doc_id, string_agg(concat_ws(',', i % 20 * 14, i % 20 * 22,
+  i % 20 * 14 + 200, i % 20 * 22 + 61), ' ' ORDER BY i) AS boxes FROM lines GROUP BY doc_id)
+SELECT doc_id, doc_id % 5 IN (0, 2) AS ok,
 CAST(CASE WHEN doc_id % 5 IN (0, 2) THEN len(string_split(body, chr(10))) ELSE 0 END AS INT) AS blocks,
 CASE WHEN doc_id % 5 IN (0, 2) THEN body ELSE '' END AS text,
-CASE WHEN doc_id % 5 IN (0, 2) THEN 'Section-header' ELSE '' END AS categories FROM p"""
+CASE WHEN doc_id % 5 IN (0, 2) THEN 'Section-header' ELSE '' END AS categories,
+CASE WHEN doc_id % 5 IN (0, 2) THEN boxes ELSE '' END AS boxes FROM p JOIN x USING (doc_id)"""
 
 
 def blocks_json(spark: SparkSession, sf: str) -> DataFrame:

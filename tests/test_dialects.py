@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark.schemas import CATEGORIES
 from foliospark.operators.dialects import (REGISTRY, Dialect, block_rows, chandra, deepseek, dots,
                                            page_markdown, parse_responses, register)
 
@@ -72,9 +73,21 @@ STRICT = [
     ('[{"text":"a"}]} [{"text":"b"}]', False),
     ('[{"text":"a"}],"v":[{"text":"b"}]', False),
     (' [{"text":"] x"}] ', True),
+    ('[{"text":1,"category":"Nope","text":"t","category":7}]', True),
+    ('[{"text":"t","text":1}]', False),
+    ('[{"category":1.5}]', False),
+    ('[{"category":99999999999}]', False),
+    ('[{"category":true}]', False),
 ]
 
 
+def test_strict_json_numbers_and_repeats(evaluate):
+    got = evaluate(dots.strict_json, ['[{"text":1,"text":"t","category":0},{"category":18},{"category":99},{"category":-1},'
+                                      '{"bbox":[1],"bbox":[1,2,3,4.5],"category":"TABLE"}]'])[0]
+    assert [b.category for b in got.blocks] == [CATEGORIES[0], CATEGORIES[18], "99", "-1", "Table"]
+    assert got.blocks[0].text == "t" and got.blocks[4].bbox == [1, 2, 3, 4.5]
+
+
 @pytest.mark.parametrize("raw,ok", STRICT)
 def test_strict_json(evaluate, raw, ok):
     got = evaluate(dots.strict_json, [raw])[0]

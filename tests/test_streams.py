@@ -90,12 +90,28 @@ def test_progress_message(spark):
     assert (back.total, back.page, back.seconds) == (3, 5, 1.5)
 
 
-def test_live_status_and_progress(spark, stream):
-    final = run(tasks.live_status(stream()), "complete").collect()
-    assert {r.task_id: (r.status, r.events, r.finished) for r in final} == {
+def latest(rows):
+    """The last row of each task, by the number of events it tells of."""
+    return {r.task_id: r for r in sorted(rows, key=lambda r: r.events)}
+
+
+def test_live_status(spark, stream):
+    final = latest(run(tasks.live_status(stream()), "update").collect())
+    assert {k: (r.status, r.events, r.finished) for k, r in final.items()} == {
         r.task_id: (r.status, r.events, r.finished) for r in E.task_status(log(spark)).collect()}
-    assert {r.task_id: r.done for r in run(tasks.live_progress(stream()), "complete").collect()} == {
-        "a": 3, "b": 3, "c": 3}
+
+
+def test_live_progress(spark, stream, tmp_path):
+    pages = lambda df: df.withColumn("page_index", F.lit(4))
+    starts = spark.createDataFrame([("a", 3), ("b", 3)], "task_id string, total_pages int").withColumn(
+        "event_time", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    starts.coalesce(1).write.parquet(str(tmp_path / "starts"))
+    begun = readers.event_stream(spark, str(tmp_path / "starts"), starts.schema)
+    got = run(tasks.live_progress(pages(stream()), begun)).collect()
+    want = E.progress_counter(pages(log(spark)).withColumn("total_pages", F.lit(3)))
+    batch = {(r.task_id, r.done): r.message for r in want.collect() if r.task_id != "c"}
+    assert {(r.task_id, r.done): r.message for r in got if r.task_id != "c"} == batch
+    assert [r.message.split()[1] for r in got if r.task_id == "c"] == ["1/?", "2/?", "3/?"]
 
 
 def test_stream_result_notice_and_cancel(spark, stream):
@@ -104,6 +120,76 @@ def test_stream_result_notice_and_cancel(spark, stream):
     assert {r.task_id for r in run(tasks.live_work(stream(), gone)).collect()} == {"a", "c"}
 
 
+def timed(spark, rows):
+    return spark.createDataFrame(rows, EVENT_COLS.replace("timestamp", "string")).withColumn(
+        "event_time", F.to_timestamp("event_time"))
+
+
+def files(df_list, path):
+    """One file a micro-batch, in order."""
+    import os
+    for k, df in enumerate(df_list):
+        df.coalesce(1).write.mode("append").parquet(path)
+        for name in os.listdir(path):
+            full = os.path.join(path, name)
+            if name.endswith(".parquet") and os.path.getmtime(full) > 10_000:
+                os.utime(full, (1000 + k, 1000 + k))
+    return path
+
+
+def test_cancellation_stream(spark, stream, tmp_path):
+    signals = spark.createDataFrame([("b", "2024-01-01 00:14:00"), ("c", "2024-01-01 00:00:00")], "task_id string, event_time string")
+    signals.withColumn("event_time", F.to_timestamp("event_time")).coalesce(1).write.parquet(str(tmp_path / "signals"))
+    source = readers.event_stream(spark, str(tmp_path / "signals"), spark.read.parquet(str(tmp_path / "signals")).schema)
+    passed = run(tasks.live_work(stream(), source)).collect()
+    want = {r.event_id for r in log(spark).collect() if r.task_id == "a" or (r.task_id == "b" and r.event_time.minute < 14)}
+    assert {r.event_id for r in passed} == want and len(passed) == len(want)
+
+
+def state_rows(df, mode="append"):
+    """Rows of a stream and the state rows that are left at its end."""
+    name = "q" + uuid.uuid4().hex
+    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.table(name).collect(), query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_log_once_and_state_ends(spark, tmp_path):
+    """Several terminal events, in one batch and later, give one log; late rows give none; states go."""
+    def e(i, task, time, status, message="m"):
+        return (i, task, time, status, "Logging", message, "f", None, 1.0)
+
+    batches = [
+        [e(2, "a", "2024-01-01 00:02:00", "Processing"), e(1, "a", "2024-01-01 00:01:00", "Started"), e(3, "n", "2024-01-01 00:00:00", "Started")],
+        [e(4, "a", "2024-01-01 00:03:00", "Failed"), e(5, "a", "2024-01-01 00:03:30", "Successed")],
+        [e(6, "a", "2024-01-01 00:04:00", "Canceled"), e(7, "a", "2024-01-01 00:00:30", "Processing")],
+        [e(8, "z", "2024-01-02 00:00:00", "Started")],                                   # time goes on: a and n are forgotten
+        [e(9, "a", "2024-01-01 00:05:00", "Processing"), e(10, "a", "2024-01-01 00:06:00", "Failed")],  # late
+        [e(11, "y", "2024-01-03 00:00:00", "Started")], [e(12, "x", "2024-01-04 00:00:00", "Started")]]
+    path = files([timed(spark, rows) for rows in batches], str(tmp_path / "log"))
+    source = lambda: readers.event_stream(spark, path, timed(spark, batches[0]).schema, files_per_trigger=1)
+    logs, held = state_rows(tasks.save_log_stream(source(), keep_minutes=30))
+    assert [(r.task_id, r.entries) for r in logs] == [("a", 4)]
+    assert [x["time"][-8:] for x in json.loads(logs[0].log_json)] == ["00:01:00", "00:02:00", "00:03:00", "00:03:30"]
+    _, bare = state_rows(tasks.save_log_stream(readers.event_stream(
+        spark, files([timed(spark, rows) for rows in batches[5:]], str(tmp_path / "end")), timed(spark, batches[0]).schema,
+        files_per_trigger=1), keep_minutes=30))
+    assert held == bare  # nothing is left but what the last two events hold by themselves
+    assert state_rows(tasks.live_status(source(), keep_minutes=30), "update")[1] <= held + 1
+
+
+def test_stream_sessions_equal_batch(spark, tmp_path):
+    df = log(spark)
+    end = timed(spark, [(99, "z", "2024-01-02 00:00:00", "Started", "Logging", "m", "f", None, 1.0)])
+    more = timed(spark, [(98, "y", "2024-01-03 00:00:00", "Started", "Logging", "m", "f", None, 1.0)])
+    parts = [df.filter(F.floor(F.col("event_id") / 5) == k) for k in range(3)] + [end, more]
+    source = readers.event_stream(spark, files(parts, str(tmp_path / "log")), df.schema, files_per_trigger=1)
+    for gap in (2, 3):
+        got = run(E.session_windows(source.withWatermark("event_time", "10 minutes"), "task_id", gap)).filter("task_id < 'y'")
+        want = E.sessions(df, "task_id", gap).drop("session_no")
+        assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_stream_duplicates_and_windows(spark, stream):
     twice = stream().union(stream())
     assert run(tasks.without_duplicates(twice)).count() == 14
