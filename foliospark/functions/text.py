@@ -19,7 +19,7 @@ _JUNK_LINE = "&-"
 
 # Our own tests for lines that can hold a repeated sequence.
 _SHORT_UNIT = r"(?d)(.{2,10})\1{4}"
-_MID_UNIT = r"(?d)(.{11,63})\1{4}"
+_MID_UNIT = r"(?d)(.{11,70})\1{4}"
 
 
 def collapse_punct(c: Column) -> Column:
@@ -38,24 +38,24 @@ def collapse_chars(c: Column) -> Column:
     return F.regexp_replace(c, _CHAR_RUN, "$1$1$1")
 
 
-def _repeated_pieces(line: Column, size: int, step: int) -> Column:
-    """Among the ``size``-character pieces that start at every ``step``-th character of a line, the
-    number that are copies of an earlier one."""
-    pieces = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}})).{{{step}}}"), F.lit(1))
-    return let(pieces, lambda a: F.size(a) - F.size(F.array_distinct(a)))
+def _repeated(tokens: Column, width: int) -> Column:
+    """Among the runs of ``width`` tokens, the number that are copies of an earlier one: one hash a run,
+    so memory is linear in the line. A false match of hashes only raises the number."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (width - 1)), lambda k: F.xxhash64(F.slice(tokens, k, width)))
+    return F.when(F.size(tokens) > width, let(runs, lambda a: F.size(a) - F.size(F.array_distinct(a)))).otherwise(0)
 
 
 def _collapse_line(line: Column) -> Column:
     n = F.length(line)
 
-    def longest_unit(copies: Column) -> Column:
+    def longest_unit(tokens: Column) -> Column:
         # Upper bound of the unit length in this line, null when nothing can match.
-        some = (n >= 320) & (copies >= 14)
-        pieces = F.when(some, _repeated_pieces(line, 64, 1)).otherwise(F.lit(0))
-        return let(pieces, lambda repeated: (
-            F.when(repeated >= 193, F.least(F.floor(n / 5), F.floor((repeated + 63) / 4)))
-            .when((copies >= 1) & line.rlike(_MID_UNIT), F.lit(63).cast("long"))
-            .when(line.rlike(_SHORT_UNIT), F.lit(10).cast("long"))))
+        copies = _repeated(tokens, 2)
+        return let(copies, lambda c: let(
+            F.when((n >= 320) & (c >= 14), _repeated(tokens, 16)).otherwise(0), lambda repeated: (
+                F.when(repeated >= 2, F.least(F.floor(n / 5), (4 * repeated + 66).cast("long")))
+                .when((c >= 1) & line.rlike(_MID_UNIT), F.lit(70).cast("long"))
+                .when(line.rlike(_SHORT_UNIT), F.lit(10).cast("long")))))
 
     def rewrite(bound: Column) -> Column:
         # Rounded up to a power of two: few distinct patterns, the same matches.
@@ -63,8 +63,9 @@ def _collapse_line(line: Column) -> Column:
         return F.when(bound.isNull(), line).otherwise(F.regexp_replace(
             line, F.concat(F.lit("(?d)(.{2,"), top, F.lit(r"})\1{4,}")), F.lit("$1$1$1")))
 
-    copies = F.when(n >= 55, _repeated_pieces(line, 8, 4)).otherwise(F.lit(0))
-    return F.when(n < 10, line).otherwise(let(let(copies, longest_unit), rewrite))
+    tokens = F.when(n >= 55, F.regexp_extract_all(line, F.lit("(?s).{4}"), F.lit(0))).otherwise(
+        F.array().cast("array<string>"))
+    return F.when(n < 10, line).otherwise(let(let(tokens, longest_unit), rewrite))
 
 
 def collapse_sequences(c: Column) -> Column:
@@ -73,11 +74,12 @@ def collapse_sequences(c: Column) -> Column:
     The pattern back-tracks over all unit lengths at every position, so each line first gets an
     upper bound for the unit, or none when it cannot match. Five copies of a unit of L characters
     are 5L characters of period L, and lie in one line. Units of up to 10 characters are looked for
-    directly. For longer ones, the 8-character pieces at every fourth position come back after at
-    most 4L characters, which leaves (L - 7) / 4 of them that repeat an earlier one: at least 1 from
-    L = 11 and 14 from L = 64. Units of 11 to 63 are then looked for with their own bound. For
-    L >= 64, 4L - 63 >= 193 of all 64-character pieces repeat an earlier one, so their number also
-    bounds L. A bound that no possible unit exceeds gives the result of the plain pattern.
+    directly. For longer ones the line is cut into tokens of four characters: text that starts at a
+    token comes back 4L characters, which are L tokens, later. That leaves (L - 7) / 4 pairs of
+    tokens that repeat an earlier pair: at least 1 from L = 11 and 14 from L = 64. Units of 11 to 70
+    are then looked for with their own bound. For longer ones (L - 66) / 4 runs of 16 tokens repeat
+    an earlier run, at least 2 from L = 71, so their number bounds L. A bound that no possible unit
+    exceeds gives the result of the plain pattern.
     """
     return F.array_join(F.transform(F.split(c, "\n"), _collapse_line), "\n")
 

@@ -18,11 +18,6 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 ORDER = ["event_time", "event_id"]
 
 
-def hour_of(time: Column) -> Column:
-    """Order bucket of running values: monotone in the event time."""
-    return F.date_trunc("hour", time)
-
-
 def _enum(value: Column, names: tuple[str, ...]) -> Column:
     """Accept an enum as its number or as its name."""
     chain = F.when(value == "0", names[0])
@@ -88,7 +83,7 @@ def progress_counter(events: DataFrame) -> DataFrame:
 
     Expects page_index and total_pages on the page events."""
     done = events.filter(is_page_done(F.col("status"), F.col("event_type"), F.col("processing_time")))
-    counted = running_sums(done, ["task_id"], hour_of(F.col("event_time")), ORDER, {"done": F.lit(1)})
+    counted = running_sums(done, ["task_id"], ORDER, {"done": F.lit(1)})
     return counted.withColumn("message", F.format_string(
         "Done %d/%d (Page %d) in %.2fs", "done", "total_pages", F.col("page_index") + 1,
         "processing_time"))

@@ -6,13 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliospark.operators.running import running_sums
 from foliospark.schemas import ORIENTATION_BATCH
 
-PAGES_PER_BUCKET = 1024
-
 
 def predictions(batches: DataFrame) -> DataFrame:
     """Batch JSON (``task_id``, ``batch_json``) to (task_id, pos, rotation, confidence)."""
@@ -27,13 +25,11 @@ def predictions(batches: DataFrame) -> DataFrame:
 def apply_orientation(pages: DataFrame, batches: DataFrame) -> DataFrame:
     """Rotation of each page: the k-th prediction belongs to the k-th page that has an image.
 
-    Surplus predictions or pages are ignored; the default is 0. Pages are numbered by bucketed
-    running counts, so a very long task is not sorted in one task.
+    Surplus predictions or pages are ignored; the default is 0. The pages of one document are numbered in
+    one task, which also has to hold its Markdown later: one exchange by task and the two of the join.
     """
-    has = F.col("has_image").cast("int")
-    numbered = running_sums(pages, ["task_id"], F.floor(F.col("page_index") / PAGES_PER_BUCKET),
-                            ["page_index"], {"_seen": has})
-    keyed = numbered.withColumn("pos", F.when(F.col("has_image"), (F.col("_seen") - 1).cast("int")))
+    seen = F.count_if("has_image").over(W.partitionBy("task_id").orderBy("page_index"))
+    keyed = pages.withColumn("pos", F.when(F.col("has_image"), (seen - 1).cast("int")))
     return (keyed.join(predictions(batches), ["task_id", "pos"], "left")
             .withColumn("rotation", F.coalesce("rotation", F.lit(0)))
             .withColumn("correction", -F.col("rotation"))

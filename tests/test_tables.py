@@ -151,7 +151,7 @@ def test_uploads_that_the_scan_lacks_are_rejected(spark):
 def test_running_values_keep_rows_without_an_order_value(spark):
     from foliospark.operators.running import running_sums
     rows = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("a", 9, 3)], "k string, t int, i int")
-    got = running_sums(rows, ["k"], F.floor(F.col("t") / 4), ["t", "i"], {"n": F.lit(1)})
+    got = running_sums(rows, ["k"], ["t", "i"], {"n": F.lit(1)}, ranges=3)
     assert sorted((r.i, r.n) for r in got.collect()) == [(1, 1), (2, 2), (3, 3)]
 
 
@@ -159,8 +159,8 @@ def test_running_values_on_a_hot_key(spark):
     rng = random.Random(2)
     rows = [(0 if rng.random() < .5 else rng.randint(1, 5), rng.randint(0, 500), i, rng.randint(-3, 9)) for i in range(2000)]
     df = spark.createDataFrame(rows, "k int, t int, id int, v int")
-    got = running_sums(df, ["k"], F.floor(F.col("t") / 10), ["t", "id"], {"s": F.col("v")}, {"whole": "s"})
-    got = previous_value(got, ["k"], F.floor(F.col("t") / 10), ["t", "id"], "p", "v")
+    got = running_sums(df, ["k"], ["t", "id"], {"s": F.col("v")}, {"whole": "s"}, ranges=7)
+    got = previous_value(got, ["k"], ["t", "id"], "p", "v", ranges=7)
     have = {r.id: (r.s, r.whole, r.p) for r in got.collect()}
     want = {}
     for key in {r[0] for r in rows}:
@@ -205,3 +205,15 @@ def test_names(spark):
     assert [r.n for r in df.select(intake.output_name(F.col("s"), F.col("t")).alias("n")).collect()] == ["scan"] * 3
     ids = df.select(intake.task_id(F.lit("My.Host_1"), F.col("s")).alias("i")).collect()
     assert all(r.i.startswith("myhost1-") for r in ids) and len({r.i for r in ids}) == 3
+
+
+def test_a_hot_key_in_one_hour_is_split(spark):
+    """A key with all its events in one second lies in several ranges, and its windows know the range."""
+    from foliospark.operators.running import dealt
+    df = spark.range(4000).selectExpr("'hot' AS k", "timestamp'2024-01-01 10:00:00' AS t", "id", "1 AS v")
+    sizes = [r["count"] for r in dealt(df, ["k"], ["t", "id"], 8).groupBy("k", "_range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1500
+    counted = running_sums(df, ["k"], ["t", "id"], {"n": F.lit(1)}, ranges=8)
+    assert counted.filter("n <> id + 1").isEmpty()
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k#" in plan and "_range#" in plan.split("hashpartitioning(k#")[1].split(")")[0]

@@ -149,3 +149,14 @@ def test_page_markdown(spark):
     assert r.p == " T \n\nH\n\n  \n\nx\n\n![image](data:...)\n\n"
     assert r.c == "T\n\nx\n\n![image](data:...)"
     assert r.has is True
+
+
+def test_long_lines_collapse(evaluate):
+    """A line of megabytes is read in memory linear in it, and a long unit in it is found."""
+    import random
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    plain, unit = noise(3_000_000), noise(90)
+    marked = noise(40_000) + unit * 7 + "|" + noise(40_000)
+    got = evaluate(text.collapse_sequences, [plain, marked])
+    assert got[0] == plain and got[1] == marked.replace(unit * 7, unit * 3)
