@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from foliospark.schemas import PICTURES
 
@@ -65,8 +66,12 @@ def flatten_alpha(images: DataFrame) -> DataFrame:
 
 
 def rotate(images: DataFrame) -> DataFrame:
-    """Undo the predicted ``rotation`` (a multiple of 90 degrees, clockwise) of each page."""
-    return _map_pages(images, lambda page, row: np.rot90(page, k=int(row.rotation) // 90 % 4))
+    """Undo the predicted ``rotation`` (degrees, clockwise) of each page. ``rotated`` tells whether that
+    could be done: other angles than multiples of 90, and null, leave the page as it is."""
+    straight = F.coalesce(F.col("rotation") % 90 == 0, F.lit(False))
+    known = images.withColumn("rotated", straight).withColumn("quarter_turns", F.when(
+        straight, F.pmod(F.col("rotation") / 90, F.lit(4)).cast("int")).otherwise(0))
+    return _map_pages(known, lambda page, row: np.rot90(page, k=row.quarter_turns)).drop("quarter_turns")
 
 
 def crop(pixels: np.ndarray, bbox) -> np.ndarray | None:
@@ -81,11 +86,19 @@ def crop(pixels: np.ndarray, bbox) -> np.ndarray | None:
 def crop_pictures(pages: DataFrame, images: DataFrame) -> DataFrame:
     """Replace the text of picture blocks by an inline image of their box.
 
-    Pages (task_id, page_index, blocks) meet their image by an equi join on the page key; a page
-    is one row on both sides, so each image is decoded once. Failed crops keep the old text.
+    Only pages with a picture block that can be cropped meet their image, by an equi join on the page
+    key, and a page is one row on both sides, so each image is decoded once. With the images stored by
+    ``foliospark.sources.sinks.write_page_images`` the keys of these pages prune the scan at run time: pixels of
+    other pages are not read. Failed crops keep the old text. ``pages`` is read twice and should be a stored table.
     """
-    joined = pages.join(images.select("task_id", "page_index", "data", "width", "height", "channels"),
-                        ["task_id", "page_index"], "left")
+    wanted = F.size(F.filter("blocks", lambda b: b["category"].isin(*PICTURES) & (F.size(b["bbox"]) == 4))) > 0
+    pixels = images.select("task_id", "page_index", "data", "width", "height", "channels")
+    keys = pages.filter(wanted).select("task_id", "page_index")
+    # the semi join prunes the scan (where the keys are few enough to be sent to every task) and, by sort and
+    # merge where they are many, keeps other pages' pixels out of the join
+    needed = pixels.join(keys, ["task_id", "page_index"], "left_semi")
+    joined = pages.filter(wanted).join(needed, ["task_id", "page_index"], "left")
+    rest = pages.filter(~F.coalesce(wanted, F.lit(False)))
 
     def block(b, page):
         box = b["bbox"]
@@ -106,4 +119,4 @@ def crop_pictures(pages: DataFrame, images: DataFrame) -> DataFrame:
             yield batch.assign(blocks=blocks)[columns]
 
     columns = pages.columns
-    return joined.mapInPandas(run, pages.schema)
+    return joined.mapInPandas(run, pages.schema).unionByName(rest)

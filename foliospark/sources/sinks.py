@@ -23,6 +23,12 @@ def write_page_table(pages: DataFrame, name: str, buckets: int, path: str | None
      .saveAsTable(name, **({"path": path} if path else {})))
 
 
+def write_page_images(images: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Decoded page images in a folder a page (``task_id``, ``page_index``), as rendered pages are kept. A join
+    on the page key then reads the folders of its pages only."""
+    (images.repartition("task_id").write.mode(mode).partitionBy("task_id", "page_index").parquet(path))
+
+
 def with_file_name(documents: DataFrame, written_at) -> DataFrame:
     """Add the output file name: clean stem, task id and time stamp."""
     return documents.withColumn("file_name", output_file(F.col("file_stem"), F.col("task_id"), written_at))

@@ -55,6 +55,34 @@ def test_crop_pictures(spark, images):
     assert base64.b64decode(got[0][0].text[len(prefix):-1]) == pixels.png_bytes(page[1:3, 1:3])
 
 
+def test_crops_read_no_other_page(spark, images, tmp_path):
+    """The images of pages without pictures are damaged, and nobody notices."""
+    from foliospark.sources import sinks
+    page, df = images
+    some = df.filter("page_index = 0").drop("task_id", "page_index").crossJoin(
+        spark.createDataFrame([(f"t{k}", p) for k in range(3) for p in range(2)], "task_id string, page_index int"))
+    sinks.write_page_images(some, str(tmp_path / "images"))
+    for file in (tmp_path / "images").rglob("*.parquet"):
+        if "task_id=t1/page_index=0" not in str(file):
+            file.write_bytes(b"damaged")
+    schema = __import__("pyspark.sql.types", fromlist=["x"]).StructType().add("task_id", "string").add(
+        "page_index", "integer").add("blocks", BLOCKS)
+    rows = [(f"t{k}", p, [([0.0, 0.0, 2.0, 2.0], "Picture" if (k, p) == (1, 0) else "Text", "x")]) for k in range(3) for p in range(2)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "pages"))
+    kind = some.select("origin", "width", "height", "channels", "data", "task_id", "page_index").schema
+    done = pixels.crop_pictures(spark.read.parquet(str(tmp_path / "pages")), spark.read.schema(kind).parquet(str(tmp_path / "images")))
+    assert "dynamicpruning" in done._jdf.queryExecution().executedPlan().toString()
+    got = {(r.task_id, r.page_index): r.blocks[0].text for r in done.collect()}
+    assert len(got) == 6 and [k for k, v in got.items() if v != "x"] == [("t1", 0)]
+
+
+def test_rotation_by_other_angles_is_marked(spark, images):
+    page, df = images
+    for angle, shape in ((45, (6, 4)), (-90, (4, 6)), (180, (6, 4)), (None, (6, 4))):
+        r = pixels.rotate(df.withColumn("rotation", F.lit(angle).cast("int"))).first()
+        assert (r.width, r.height) == shape and r.rotated == (angle in (-90, 180))
+
+
 def test_orientation_plug(spark, images):
     _, df = images
     guess = lambda b: b.assign(orientation="90", confidence=1.0)
