@@ -125,7 +125,7 @@ LINE_LABEL = {
 }
 
 
-def _label(dialect: str, i: Column) -> Column:
+def label_of(dialect: str, i: Column) -> Column:
     names = F.array(*[F.lit(n) for n in LINE_LABEL[dialect]])
     turn = ((F.floor(i / 4) + F.col("doc_id")) % 7).cast("int")
     return F.when(i % 4 == 3, F.get(names, turn)).otherwise(F.lit(LINE_LABEL[dialect][0]))
@@ -159,7 +159,7 @@ def raw_dots() -> Column:
     def item(line: Column, i: Column) -> Column:
         x1, y1, x2, y2 = _box(i)
         numbers = F.when(i % 11 == 10, _numbers(i, x1, y1, x2)).otherwise(_numbers(i, x1, y1, x2, y2))
-        return F.concat(F.lit('{"bbox": ['), numbers, F.lit('], "category": "'), _label("dots", i),
+        return F.concat(F.lit('{"bbox": ['), numbers, F.lit('], "category": "'), label_of("dots", i),
                         F.lit('", "text": "'), F.replace(line, F.lit('"'), F.lit('\\"')), F.lit('"}'))
 
     items = F.transform(_lines(), item)
@@ -192,7 +192,7 @@ def raw_deepseek() -> Column:
         x1, y1, x2, y2 = _box(i)
         det = F.concat(F.lit("[["), _numbers(i, x1, y1, x2, y2), F.lit("],["),
                        _numbers(i, x1 + 5, y1 - 3, x2 + 9, y2 - 1), F.lit("]]"))
-        return F.concat(F.lit("<|ref|>"), _label("deepseekocr", i), F.lit("<|/ref|><|det|>"),
+        return F.concat(F.lit("<|ref|>"), label_of("deepseekocr", i), F.lit("<|/ref|><|det|>"),
                         F.when(i % 13 == 12, "oops").otherwise(det), F.lit("<|/det|>"), line)
 
     tagged = F.concat(F.lit("lead "), F.array_join(F.transform(_lines(), item), "\n"),
@@ -206,7 +206,7 @@ def raw_chandra() -> Column:
     def item(line: Column, i: Column) -> Column:
         box = F.concat(F.lit("["), _numbers(i, *_box(i)), F.lit("]"))
         return F.concat(F.lit('<div data-bbox="'), F.when(i % 9 == 8, "bad").otherwise(box),
-                        F.lit('" data-label="'), _label("chandra", i), F.lit('"><p>'), line,
+                        F.lit('" data-label="'), label_of("chandra", i), F.lit('"><p>'), line,
                         F.lit("</p></div>"))
 
     inner = F.array_join(F.transform(_lines(), item), "\n")

@@ -97,21 +97,20 @@ BEST_GRID_SQL = f"""WITH RECURSIVE {_GRID} SELECT {_KEYS}, cols, rws AS "rows" F
 
 
 def tile_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Tiles of each distinct page size with their place on the combined canvas."""
-    sizes = _dims(spark, sf).select("width", "height").distinct()
-    grid = G.with_best_grid(sizes, "width", "height").withColumnRenamed("grid", "g")
+    """Tiles of each page with their place on its combined canvas."""
+    grid = G.with_best_grid(_dims(spark, sf), "width", "height").withColumnRenamed("grid", "g")
     canvas = grid.withColumn("c", G.combined_size(F.col("g")))
-    tiles = canvas.select("width", "height", F.col("c.width").alias("canvas_width"),
-                          F.col("c.height").alias("canvas_height"),
+    tiles = canvas.select(*KEYS, F.col("c.width").alias("canvas_width"), F.col("c.height").alias("canvas_height"),
                           F.explode_outer(G.tile_rects(F.col("g"))).alias("t"))
-    return tiles.select("width", "height", "canvas_width", "canvas_height", "t.*")
+    return tiles.select(*KEYS, "canvas_width", "canvas_height", "t.*")
 
 
 TILE_GRID_SQL = f"""WITH RECURSIVE {_GRID}, cells AS (SELECT width, height, cols, rws,
   CAST(unnest(range(cols * rws)) AS INT) AS k FROM grid),
 c AS (SELECT *, greatest(1024, cols * 768) AS cw, k // cols AS "row", k % cols AS col FROM cells)
-SELECT width, height, cw AS canvas_width, 1024 + rws * 768 AS canvas_height, "row", col, col * 768 AS src_x,
-"row" * 768 AS src_y, (cw - cols * 768) // 2 + col * 768 AS dst_x, 1024 + "row" * 768 AS dst_y FROM c"""
+SELECT {_KEYS}, cw AS canvas_width, 1024 + rws * 768 AS canvas_height, "row", col, col * 768 AS src_x,
+"row" * 768 AS src_y, (cw - cols * 768) // 2 + col * 768 AS dst_x, 1024 + "row" * 768 AS dst_y
+FROM d JOIN c USING (width, height)"""
 
 QUERIES = {
     "target_size": (target_size, TARGET_SQL),

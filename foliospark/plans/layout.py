@@ -9,11 +9,11 @@ from foliospark.functions import bbox as B
 from foliospark.functions import blocks as K
 from foliospark.operators import assemble
 from foliospark.operators.dedupe import block_dedupe as dedupe_rows
-from foliospark.operators.dialects import (REGISTRY, block_rows, chandra, deepseek, dots,
+from foliospark.operators.dialects import (block_rows, chandra, deepseek, dots,
                                            page_markdown, parse_responses)
 from foliospark.plans import fixtures as X
 from foliospark.plans.collapse_sql import collapse_ctes
-from foliospark.schemas import CATEGORIES, HEADER_FOOTER, PICTURES
+from foliospark.schemas import HEADER_FOOTER, PICTURES
 from foliospark.sources.readers import spread
 
 # ---------------------------------------------------------------------------
@@ -188,28 +188,22 @@ def blocks_json(spark: SparkSession, sf: str) -> DataFrame:
 # Blocks
 # ---------------------------------------------------------------------------
 def category_map(spark: SparkSession, sf: str) -> DataFrame:
-    """Each dialect's label mapping over the labels seen in the documents and page markup."""
-    names = F.array(*[F.lit(n) for n in (*CATEGORIES, "PageHeader", "sub_title", "grid", "x")])
-    label = F.get(names, (F.col("doc_id") % 23).cast("int"))
-    rows = X.table(spark, sf, "documents").select("doc_id", label.alias("label"))
-    return rows.select("doc_id", "label", dots.category_of(F.col("label")).alias("dots"),
-                       dots.category_of(F.col("label"), "intended").alias("dots_intended"),
-                       chandra.category_of(F.col("label")).alias("chandra"),
-                       deepseek.category_of(F.col("label")).alias("deepseek"))
-
-
-_NAMES = ", ".join(f"'{n}'" for n in (*CATEGORIES, "PageHeader", "sub_title", "grid", "x"))
-_PLAIN = ", ".join(f"'{n}'" for n in CATEGORIES if "-" not in n)
-_ALL = ", ".join(f"'{n}'" for n in CATEGORIES)
-CATEGORY_MAP_SQL = f"""WITH l AS (SELECT doc_id, ([{_NAMES}])[CAST(doc_id % 23 AS INT) + 1] AS label
-FROM documents) SELECT doc_id, label,
-CASE WHEN label = 'PageHeader' THEN 'Page-header' WHEN label IN ({_PLAIN}) THEN label ELSE 'Text' END AS dots,
-CASE WHEN label = 'PageHeader' THEN 'Page-header' WHEN label IN ({_ALL}) THEN label ELSE 'Text' END AS dots_intended,
-CASE WHEN label IN ('Formula', 'List-item', 'Picture', 'Title') THEN 'Text'
-     WHEN label IN ({_ALL}) THEN label ELSE 'Text' END AS chandra,
-CASE WHEN label IN ('Title', 'Section-header', 'sub_title') THEN 'Title'
-     WHEN label IN ('Table', 'grid') THEN 'Table'
-     WHEN label IN ('Image', 'Figure', 'Picture') THEN 'Image' ELSE 'Text' END AS deepseek FROM l"""
+    """The categories of every label that the responses of each dialect hold, a row per line."""
+    lines = X.pages(spark, sf).select("doc_id", F.posexplode(F.split("body", "\n")).alias("i", "line"))
+    label = {d: X.label_of(d, F.col("i")) for d in ("dots", "chandra", "deepseekocr")}
+    return lines.select("doc_id", "i", dots.category_of(label["dots"]).alias("dots"),
+                        dots.category_of(label["dots"], "intended").alias("dots_intended"),
+                        chandra.category_of(label["chandra"]).alias("chandra"),
+                        deepseek.category_of(label["deepseekocr"]).alias("deepseek"))
+
+
+CATEGORY_MAP_SQL = f"""WITH {LINES}, l AS (SELECT doc_id, CAST(i AS INT) AS i, {X.label_sql('dots')} AS d,
+  {X.label_sql('chandra')} AS c, {X.label_sql('deepseekocr')} AS s FROM lines)
+SELECT doc_id, i, CASE d WHEN 'PageHeader' THEN 'Page-header' WHEN 'Page-header' THEN 'Text' ELSE d END AS dots,
+CASE d WHEN 'PageHeader' THEN 'Page-header' ELSE d END AS dots_intended,
+CASE c WHEN 'Section-Header' THEN 'Section-header' WHEN 'Page-Header' THEN 'Page-header' WHEN 'Unknown' THEN 'Text' ELSE c END AS chandra,
+CASE WHEN s IN ('title', 'sub_title') THEN 'Title' WHEN s IN ('table', 'grid') THEN 'Table' WHEN s = 'image' THEN 'Image'
+     ELSE 'Text' END AS deepseek FROM l"""
 
 
 def picture_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -293,17 +287,17 @@ BBOX_SCALE_SQL = f"""WITH {LAYOUT} SELECT task_id, page_index, block_no, {_scale
 
 
 def bbox_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Box around four boxes taken from each embedding."""
-    boxes = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("embedding", k * 4 + 1, 4))
+    """Box around all boxes of an embedding, four values each."""
+    boxes = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 4).cast("int") - 1),
+                        lambda k: F.slice("embedding", k * 4 + 1, 4))
     merged = X.table(spark, sf, "embeddings").select("vec_id", B.union(boxes).alias("bbox"))
     return box_numbers(merged)
 
 
-BBOX_UNION_SQL = """SELECT vec_id,
-CAST(least(embedding[1], embedding[5], embedding[9], embedding[13]) AS DOUBLE) AS x1,
-CAST(least(embedding[2], embedding[6], embedding[10], embedding[14]) AS DOUBLE) AS y1,
-CAST(greatest(embedding[3], embedding[7], embedding[11], embedding[15]) AS DOUBLE) AS x2,
-CAST(greatest(embedding[4], embedding[8], embedding[12], embedding[16]) AS DOUBLE) AS y2
+_EVERY_FOURTH = "list_transform(range(0, len(embedding) // 4), lambda k: embedding[CAST(k * 4 + {} AS INT)])"
+BBOX_UNION_SQL = f"""SELECT vec_id,
+CAST(list_min({_EVERY_FOURTH.format(1)}) AS DOUBLE) AS x1, CAST(list_min({_EVERY_FOURTH.format(2)}) AS DOUBLE) AS y1,
+CAST(list_max({_EVERY_FOURTH.format(3)}) AS DOUBLE) AS x2, CAST(list_max({_EVERY_FOURTH.format(4)}) AS DOUBLE) AS y2
 FROM embeddings"""
 
 
