@@ -297,14 +297,17 @@ def _texts(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different blocks of each shard in a batch with their number: periodic text has few, many times."""
     for batch in batches:
         data, offsets = _texts(batch.column("text"))
         first, _, anchor, print_ = blocks(data, offsets)
         shard = np.asarray(batch.column("shard"))[np.searchsorted(offsets, first, "right") - 1]
-        for a in range(0, len(first), 100_000):
-            b = slice(a, a + 100_000)
+        _, one, n = np.unique(mix(mix(anchor) ^ print_) ^ shard.astype(np.uint64), return_index=True, return_counts=True)
+        for a in range(0, len(one), 100_000):
+            b = one[a:a + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(shard[b], pa.int64()), pa.array(anchor[b].view(np.int64)),
-                                              pa.array(print_[b].view(np.int64))], ["shard", "anchor", "print"])
+                                              pa.array(print_[b].view(np.int64)), pa.array(n[a:a + 100_000], pa.int64())],
+                                             ["shard", "anchor", "print", "n"])
 
 
 def _match(anchor: np.ndarray, print_: np.ndarray, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -378,17 +381,17 @@ def repeated_bytes(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-size // SHARD) or 1
     rows = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"))
-    grams = rows.select("shard", "text").mapInArrow(_block_rows, "shard long, anchor long, print long")
+    grams = rows.select("shard", "text").mapInArrow(_block_rows, "shard long, anchor long, print long, n long")
 
     # anchors that stand twice, and whether all their blocks are equal
     # (stored first, so that both sides of the join are dealt out for it and a hot anchor can be split)
     seen = cut(grams.groupBy(F.col("anchor").alias("of")).agg(
-        F.count("*").alias("n"), (F.min("print") != F.max("print")).alias("mixed")).filter("n > 1").drop("n"))
-    meeting = cut(grams.join(seen, grams["anchor"] == seen["of"]).select("shard", "anchor", "print", "mixed"))
+        F.sum("n").alias("all"), (F.min("print") != F.max("print")).alias("mixed")).filter("all > 1").drop("all"))
+    meeting = cut(grams.join(seen, grams["anchor"] == seen["of"]).select("shard", "anchor", "print", "n", "mixed"))
 
     # of blocks that differ under one anchor, one copy each goes to a shard of its own
     kinds = cut(meeting.filter("mixed").groupBy("anchor", "print").agg(
-        F.min("shard").alias("shard"), F.count("*").alias("copies")))
+        F.min("shard").alias("shard"), F.sum("n").alias("copies")))
     many = kinds.groupBy(F.col("anchor").alias("of")).agg(F.count("*").alias("blocks"))
     wanted = kinds.join(many, kinds["anchor"] == many["of"]).drop("of")
     texts = cut(rows.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(
