@@ -1,17 +1,19 @@
 """Line de-duplication as an exact set-similarity join, in DataFrame operations only.
 
-A line is the set of its distinct lower-cased words; lines of fewer than ``LEAST`` words are left
-alone. Each word becomes a key whose first byte is a rarity class, so that the order of keys is an
-order by rarity. Two sets with a Jaccard similarity of t or more share their two rarest common words
-in the first ``|x| - ceil(t |x|) + 2`` words of either (prefix filter). Where one of the two is rare
-(few lines hold it, ``rarity_classes``) the lines meet under this word; otherwise under the pair, so no
-meeting place grows with the frequency of a common word. Lines that meet are held against each
-other by length, by place (words before and after the common one bound the overlap) and by a
-parity bitmap (as many bits differ as words differ, at most); what is left is verified on the full sets.
-
-A line goes if an earlier line (by doc_id, then line number) is similar. To find this out for a large
-group of similar lines in time in proportion to its size, a line first meets only the first and the
-previous line of each meeting place, and only lines that this leaves open meet all others.
+A line is the set of its distinct lower-cased words; lines without a word are left alone. Each word
+becomes a key whose first byte is a rarity class, so that the order of keys is an order by rarity. Lines
+with the same set are one set, at its first place. Of two sets with a Jaccard similarity of t or more the
+larger holds a common word in its first ``n - ceil(t n) + 1`` keys that is among the first
+``n - ceil(2t / (1 + t) n) + 1`` keys of the smaller (prefix filter), so sets meet under single words and
+the rows are linear in the prefixes. Sets that meet are held against each other by length, by place (words
+before and after the common one bound the overlap) and by a parity bitmap (as many bits differ as words
+differ, at most); what is left is verified on the full sets. A line goes if an earlier line (by doc_id,
+then line number) is similar.
+
+Large groups: sets first meet the first set with the same least and greatest word hash (one aggregation),
+and two sets that this has removed need not meet again. A word of many lines (its rarity class says so
+before any row is shuffled) is split into blocks: the smaller sets are dealt to them, the larger ones
+visit each.
 """
 
 from __future__ import annotations
@@ -19,65 +21,55 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark.operators.lineage import checkpoint_dir, cut
 
 from .common import whole_row
 
-LEAST = 5
 PERCENT = 80
-RARE = 256
+#: Lines of a word in one block of a meeting place.
+BLOCK = 1 << 15
 SKETCH = 1 << 17
 
 
-def word_hashes_of(line: Column) -> Column:
-    """Hashes of the distinct words; blanks other than the space have been made spaces before."""
-    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
-    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
-
-
-def text_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), line_no from 0, words (hashes); null texts have no lines and
-    lines of few words are left out."""
-    plain = F.lower("text")
+def _plain(text: Column) -> Column:
+    """Lower-cased, every blank but the line feed a space."""
+    plain = F.lower(text)
     for blank in "\t\x0b\x0c\r":
         plain = F.replace(plain, F.lit(blank), F.lit(" "))
-    return (docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(plain, "\n")).alias("line_no", "line"))
-            .select("doc_id", "th", "line_no", word_hashes_of(F.col("line")).alias("words"))
-            .filter(F.size("words") >= LEAST))
+    return plain
 
 
 def _bucket(word: Column) -> Column:
     return F.pmod(word, F.lit(SKETCH))
 
 
-def rarity_classes(lines: DataFrame) -> tuple[bytes, int]:
-    """A class per bucket of words from the number of lines that hold a word of the bucket, in steps of
-    a quarter of a power of two: ``SKETCH`` bytes, whatever the number of words. And the class from
-    which on words are frequent: ``RARE`` lines or, in a large corpus, four times the mean bucket."""
-    counts = lines.select(F.explode("words").alias("w")).groupBy(_bucket(F.col("w")).cast("int").alias("b")).count()
+def rarity_classes(docs: DataFrame) -> bytes:
+    """A class per bucket of words from the number of times that words of the bucket occur, in steps of
+    a quarter of a power of two: ``SKETCH`` bytes, whatever the number of words."""
+    words = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.groupBy(_bucket(F.xxhash64("w")).cast("int").alias("b")).count()
     table = np.zeros(SKETCH, np.int64)
     got = counts.toPandas()
     table[got["b"].to_numpy(np.int64)] = got["count"].to_numpy(np.int64)
-    limit = max(RARE, 4 * int(table.mean()))
-    return rarity_class(table).tobytes(), int(rarity_class(np.array([limit]))[0]) + 1
-
+    return np.minimum(100, np.floor(4 * np.log2(np.maximum(1, table)))).astype(np.uint8).tobytes()
 
-def rarity_class(count: np.ndarray) -> np.ndarray:
-    return np.minimum(100, np.floor(4 * np.log2(np.maximum(1, count)))).astype(np.uint8)
 
-
-def keyed(lines: DataFrame, classes: bytes) -> DataFrame:
-    """doc_id, th, line_no, keys (sorted by rarity), n, id (hash of the set), sig (parity bitmap)."""
+def keyed_lines(docs: DataFrame, classes: bytes) -> DataFrame:
+    """doc_id, th (hash of the text), line_no from 0, keys (sorted by rarity), n, id (hash of the set),
+    near (of its least and greatest word hash). Null texts have no lines; lines without words are left out."""
     table = F.lit(bytearray(b + 1 for b in classes))
-    rank = lambda h: F.ascii(F.substring(table, F.pmod(h, F.lit(SKETCH)).cast("int") + 1, F.lit(1)).cast("string"))
+    rank = lambda h: F.ascii(F.substring(table, _bucket(h).cast("int") + 1, F.lit(1)).cast("string"))
     key = lambda h: F.shiftleft(rank(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    keys = F.sort_array(F.transform("words", key))
-    sig = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
-    return (lines.select("doc_id", "th", "line_no", keys.alias("keys"))
-            .select("*", F.size("keys").alias("n"), F.xxhash64("keys").alias("id"), sig.alias("sig")))
+    hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
+    words = F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("th"),
+                        F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line_no", "line"))
+    return (lines.select("doc_id", "th", "line_no", words.alias("words"))
+            .select("doc_id", "th", "line_no", F.sort_array(F.transform("words", key)).alias("keys"),
+                    F.xxhash64(F.array_min("words"), F.array_max("words")).alias("near"))
+            .select("*", F.size("keys").alias("n"), F.xxhash64("keys").alias("id")).filter("n > 0"))
 
 
 def _store(df: DataFrame) -> DataFrame:
@@ -87,115 +79,98 @@ def _store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _meeting_places(reps: DataFrame, common: int) -> DataFrame:
-    """key, doc_id, line_no, sig, n, pos: where each distinct set may meet others."""
-    frequent = lambda k: F.shiftright(k, 56) > common
-    own = F.filter("prefix", lambda k: ~frequent(k))
-    rest = F.filter("prefix", frequent)
-    at = F.size(own)
-    single = F.transform(own, lambda k, i: F.struct(F.xxhash64(k).alias("key"), i.alias("pos")))
-    pairs = F.flatten(F.transform(rest, lambda k, i: F.transform(
-        F.slice(rest, i + 2, F.size(rest)), lambda j: F.struct(F.xxhash64(k, j).alias("key"), (at + i).alias("pos")))))
-    return reps.select("doc_id", "line_no", "sig", "n", F.explode(F.concat(single, pairs)).alias("m")).select(
-        F.col("m.key").alias("key"), "doc_id", "line_no", "sig", "n", F.col("m.pos").alias("pos"))
+def _need(total: Column, percent: int) -> Column:
+    """The least number of common words of two similar sets of ``total`` words together."""
+    return F.ceil(total * F.lit(percent) / F.lit(100 + percent))
 
 
-def _may_match(x: dict, y: dict, percent: int) -> Column:
-    """Length, place and bitmap filters; none drops a pair that reaches the similarity."""
-    need = F.ceil((x["n"] + y["n"]) * F.lit(percent) / F.lit(100 + percent))
-    length = F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
-    overlap = F.least(x["pos"], y["pos"]) + F.least(x["n"] - x["pos"], y["n"] - y["pos"])
-    return length & (overlap >= need) & (F.bit_count(x["sig"].bitwiseXOR(y["sig"])) <= x["n"] + y["n"] - 2 * need)
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Length and bitmap filters; neither drops a pair that reaches the similarity."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    differ = F.bit_count(F.col(f"{a}sig").bitwiseXOR(F.col(f"{b}sig")))
+    return ((F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+            & (differ <= n + m - 2 * _need(n + m, percent)))
 
 
-_X, _Y = ["x_sig", "x_doc", "x_line"], ["y_sig", "y_doc", "y_line"]
-_NAMES = ["sig", "doc_id", "line_no"]
+def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
-def _place(prefix: str, names: list[str]) -> list[Column]:
-    return [F.col(f"{prefix}{c}").alias(to) for c, to in zip(_NAMES, names)]
+def _meeting(places: DataFrame, percent: int, on: list[str]) -> DataFrame:
+    """a_id, b_id of sets that meet in ``places`` (key, id, sig, n, pos, gone) and pass the filters."""
+    return _met(_prefixed(places, "a_"), _prefixed(places, "b_"), percent, on)
 
 
-def _full_sets(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """sig, doc_id, line_no, keys of the lines in the pairs, and no others.
+def _met(small: DataFrame, large: DataFrame, percent: int, on: list[str]) -> DataFrame:
+    n, m, i, j = F.col("a_n"), F.col("b_n"), F.col("a_pos"), F.col("b_pos")
+    least = F.least(n, m)  # n itself; written with both sides so that both read one exchange
+    within = i < least - _need(2 * least, percent) + 1
+    smaller = (n < m) | ((n == m) & (F.col("a_id") < F.col("b_id")))
+    place = F.least(i, j) + F.least(n - i, m - j) >= _need(n + m, percent)
+    keys = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in on]
+    return (small.join(large, [*keys, smaller, within, place, _alike("a_", "b_", percent),
+                               ~(F.col("a_gone") & F.col("b_gone"))])
+            .select("a_id", "b_id").distinct())
 
-    Spark puts a bloom filter of the pairs in front of the exchange of the sets: its own run-time
-    filter, here for tables of any size. (A comparison is needed for Spark to see a selective side.)
-    """
-    conf = table.sparkSession.conf
-    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = conf.get(name)
-    ends = pairs.select(*_place_of(_X)).union(pairs.select(*_place_of(_Y))).distinct()
-    ends = cut(ends).filter(F.col("line_no") >= 0)
-    conf.set(name, "1")
-    try:
-        sets = table.join(ends, [table[c].eqNullSafe(ends[c]) if c == "doc_id" else table[c] == ends[c] for c in _NAMES], "left_semi")
-        return cut(sets.dropDuplicates(_NAMES).select(*_NAMES, "keys"))
-    finally:
-        conf.set(name, before)
-
-
-def _place_of(names: list[str]) -> list[Column]:
-    return [F.col(a).alias(b) for a, b in zip(names, _NAMES)]
 
+def candidates(reps: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """a_id, b_id: the pairs of ``reps`` (id, n, sig, prefix, gone) that pass all filters."""
+    # a class is a quarter power of two above the number of times that the words of a bucket occur
+    often = F.pow(F.lit(2.0), F.shiftright("key", 56) / 4)
+    places = (reps.select("id", "sig", "n", "gone", F.posexplode("prefix").alias("pos", "key"))
+              .withColumn("blocks", F.ceil(often / block).cast("int")))
+    cold = places.filter("blocks = 1").drop("blocks")
+    hot = places.filter("blocks > 1")
+    dealt = hot.withColumn("salt", F.pmod("id", "blocks").cast("int")).drop("blocks")
+    visits = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return _meeting(cold, percent, ["key"]).union(
+        _met(_prefixed(dealt, "a_"), _prefixed(visits, "b_"), percent, ["key", "salt"]))
 
-def _same(names: list[str], other: list[str]) -> list[Column]:
-    return [F.col(a).eqNullSafe(F.col(b)) if "doc" in a else F.col(a) == F.col(b) for a, b in zip(names, other)]
 
-
-def _verified(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
-    """The later lines (sig, doc_id, line_no) of the pairs that are similar on their full sets."""
-    sets = _full_sets(pairs, table)
-    a = sets.select(*[F.col(c).alias(f"a_{c}") for c in _NAMES], F.col("keys").alias("a_keys"))
-    b = sets.select(*[F.col(c).alias(f"b_{c}") for c in _NAMES], F.col("keys").alias("b_keys"))
+def _verified(pairs: DataFrame, table: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """id of the later set of each pair (a_id, b_id) that is similar on the full sets."""
+    ends = cut(pairs.select(F.col("a_id").alias("id")).union(pairs.select("b_id")).distinct())
+    keys = table.select("id", "keys").join(ends, "id", "left_semi").dropDuplicates(["id"])
+    sets = cut(keys.join(reps.select("id", F.struct("doc_id", "line_no", "th").alias("at")), "id"))
     both = F.size(F.array_intersect("a_keys", "b_keys"))
     union = F.size("a_keys") + F.size("b_keys") - both
-    return (pairs.join(a, _same(_X, [f"a_{c}" for c in _NAMES])).join(b, _same(_Y, [f"b_{c}" for c in _NAMES]))
-            .filter(100 * both >= percent * union).select(*_place_of(_X)).distinct())
+    return (pairs.join(_prefixed(sets, "a_"), "a_id").join(_prefixed(sets, "b_"), "b_id")
+            .filter(100 * both >= percent * union)
+            .select(F.when(F.col("a_at") > F.col("b_at"), F.col("a_id")).otherwise(F.col("b_id")).alias("id")).distinct())
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, th, line_no of the lines that go.
 
     Lines with the same set are one set at its first place; the others go with it as repeats. A null
     doc_id stands before all others, as in the order of the rows.
     """
-    lines = _store(text_lines(docs))
-    classes, common = rarity_classes(lines)
-    table = keyed(lines, classes)
+    keyed = keyed_lines(docs, rarity_classes(docs))
+    table = _store(keyed.withColumn("row", F.monotonically_increasing_id()))
+    at = F.struct("doc_id", "line_no", "th")
+    repeated = cut(table.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "th", "row")).alias("f"), F.count("*").alias("c"))
+                   .filter("c > 1").select("id", "f.row", F.struct("f.doc_id", "f.line_no", "f.th").alias("first"))
+                   .withColumnRenamed("row", "first_row"))
+    sig = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
     n = F.col("n")
-    prefix = F.slice("keys", 1, (n - F.ceil(n * percent / 100) + 2).cast("int"))
-    first = F.struct("doc_id", "line_no", "th", "sig", "n", prefix.alias("prefix"))
-    reps = cut(table.groupBy("id").agg(F.min(first).alias("f")).select("id", "f.*"))
-    line = F.struct("doc_id", "line_no", "sig", "n", "pos")
-    order = W.partitionBy("key").orderBy("doc_id", "line_no")
-    met = _meeting_places(reps, common).select(
-        "*", F.count("*").over(W.partitionBy("key")).alias("size"), F.row_number().over(order).alias("turn"), F.first(line).over(order).alias("head"), F.lag(line).over(order).alias("prev"))
-    met = met.filter("size > 1")
-    mine = ("n", "pos", "sig")
-    few = F.filter(F.array("head", "prev"), lambda o: _may_match(
-        {c: F.col(c) for c in mine}, {c: o[c] for c in mine}, percent) & (F.col("turn") > 1))
-    met = cut(met.withColumn("few", few).drop("head", "prev").filter((F.size("few") > 0) | (F.col("size") > 3)))
-    pairs = cut(met.filter(F.size("few") > 0).select(*_NAMES, F.explode("few").alias("o"))
-                .select(*_place("", _X), *_place("o.", _Y)).distinct())
-    gone = cut(_verified(pairs, table, percent))
-    on = lambda left, right: [left[c].eqNullSafe(right[c]) if c == "doc_id" else left[c] == right[c] for c in _NAMES]
-    # from the fourth line of a place on there are more lines to meet than the first and the previous
-    places = met.filter("size > 3").select("key", "turn", *_NAMES, "n", "pos")
-    late = places.filter("turn > 3")
-    late = late.join(gone, on(late, gone), "left_anti")
-    a = late.select("key", "turn", *[F.col(c).alias(f"x_{c}") for c in (*_NAMES, "n", "pos")])
-    b = places.select(F.col("key").alias("k"), F.col("turn").alias("t"), F.struct(*_NAMES, "n", "pos").alias("o"))
-    rest = a.join(b, (F.col("key") == F.col("k")) & (F.col("t") < F.col("turn") - 1) & _may_match(
-        {c: F.col(f"x_{c}") for c in mine}, {c: F.col(f"o.{c}") for c in mine}, percent))
-    rest = cut(rest.select(*_place("x_", _X), *_place("o.", _Y)).distinct())
-    gone = cut(gone.union(_verified(rest, table, percent)).distinct())
-    gone = gone.withColumn("gone", F.lit(True))
-    heads = reps.join(gone, on(reps, gone), "left").select(
-        "id", reps["doc_id"].alias("_doc"), reps["line_no"].alias("_line"), F.col("th").alias("_th"), "gone")
-    own = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("line_no") == F.col("_line")) & (F.col("th") == F.col("_th"))
-    return (table.select("doc_id", "th", "line_no", "id").join(heads, "id")
-            .filter(~own | F.col("gone")).select("doc_id", "th", "line_no"))
+    prefix = F.slice("keys", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
+    # sets of fewer words are similar to equal ones only
+    some = n * (100 - percent) >= percent
+    reps = table.filter(some).join(repeated, "id", "left").filter("first_row IS NULL OR first_row = row")
+    reps = _store(reps.select("doc_id", "th", "line_no", "id", "near", "n", prefix.alias("prefix"), sig.alias("sig")))
+    heads = reps.groupBy("near").agg(F.min(F.struct("doc_id", "line_no", "th", "id", "n", "sig")).alias("h"), F.count("*").alias("c"))
+    heads = heads.filter("c > 1").select("near", F.col("h.id").alias("h_id"), F.col("h.n").alias("h_n"), F.col("h.sig").alias("h_sig"))
+    early = cut(_prefixed(reps.select("near", "id", "n", "sig"), "x_").join(
+        heads, (F.col("x_near") == F.col("near")) & (F.col("x_id") != F.col("h_id")) & _alike("x_", "h_", percent))
+        .select(F.col("x_id").alias("a_id"), F.col("h_id").alias("b_id")))
+    gone = cut(_verified(early, table, reps, percent))
+    marked = reps.select("id", "n", "sig", "prefix").join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn(
+        "gone", F.coalesce("gone", F.lit(False)))
+    rest = cut(candidates(marked, percent, block))
+    gone = cut(gone.union(_verified(rest, table, reps, percent)).distinct()).withColumn("gone", F.lit(True))
+    return (table.select("doc_id", "th", "line_no", "id").join(repeated, "id", "left").join(gone, "id", "left")
+            .filter((F.col("first") != at) | F.col("gone")).select("doc_id", "th", "line_no"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -238,7 +213,7 @@ s AS (
   SELECT doc_id, line_no,
          list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \t\x0b\f\r]+'), lambda w: w <> ''))) AS ws
   FROM l),
-k AS (SELECT * FROM s WHERE len(ws) >= 5),
+k AS (SELECT * FROM s WHERE len(ws) > 0),
 r AS (
   SELECT ws, min((doc_id, line_no)) AS who, len(ws) AS n FROM k GROUP BY ws),
 f AS (SELECT w, count(*) AS df FROM (SELECT unnest(ws) AS w FROM r) GROUP BY w),

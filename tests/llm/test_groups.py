@@ -86,7 +86,7 @@ def brute_lines(rows):
     for d, t, _ in rows:
         for i, line in enumerate([] if t is None else t.split("\n")):
             ws = frozenset(w for w in re.split(r"[ \t\x0b\f\r]+", line.lower()) if w)
-            if len(ws) >= lines.LEAST:
+            if ws:
                 sets.append(((d is not None, d, i), t, ws))
     sets.sort(key=lambda x: (x[0], repr(x[1])))
     gone, unique = defaultdict(set), []
@@ -103,10 +103,10 @@ def brute_lines(rows):
     return gone
 
 
-def line_table(spark, seed=9, docs=60):
+def line_table(spark, seed=9, docs=60, words=(3, 25)):
     rng = random.Random(seed)
     vocab = vocabulary(200, 1)
-    lines_ = [prose(rng, vocab, rng.randint(3, 25)) for _ in range(40)]
+    lines_ = [prose(rng, vocab, rng.randint(*words)) for _ in range(40)]
     rows = []
     for d in range(docs):
         own = []
@@ -119,10 +119,13 @@ def line_table(spark, seed=9, docs=60):
     return table(spark, rows)
 
 
-@pytest.mark.parametrize("rare", [2, 256])
-def test_removed_lines(spark, odd, sample, none, monkeypatch, rare):
-    monkeypatch.setattr(lines, "RARE", rare)  # single words and pairs of words as meeting places
-    for docs in (line_table(spark), line_table(spark, 10, 150), odd, sample):
+@pytest.mark.parametrize("block", [7, lines.BLOCK])
+def test_removed_lines(spark, odd, sample, none, monkeypatch, block):
+    whole = lines.candidates
+    monkeypatch.setattr(lines, "candidates", lambda reps, percent, _: whole(reps, percent, block))
+    short = line_table(spark, 11, 200, (1, 9))
+    twice = line_table(spark, 12, 40).union(line_table(spark, 12, 40))
+    for docs in (line_table(spark), line_table(spark, 10, 150), short, twice, odd, sample):
         rows = rows_of(docs)
         gone = brute_lines(rows)
         want = [(d, 0 if t is None else t.count("\n") + 1, ",".join(map(str, sorted(gone[d, t])))) for d, t, _ in rows]
