@@ -31,6 +31,8 @@ PERCENT = 80
 #: Lines of a word in one block of a meeting place.
 BLOCK = 1 << 15
 SKETCH = 1 << 17
+#: Sets of more words have bitmaps of 128 cells.
+LONG = 48
 
 
 def _plain(text: Column) -> Column:
@@ -59,9 +61,9 @@ def rarity_classes(docs: DataFrame) -> bytes:
 def keyed_lines(docs: DataFrame, classes: bytes) -> DataFrame:
     """doc_id, th (hash of the text), line_no from 0, keys (sorted by rarity), n, id (hash of the set),
     near (of its least and greatest word hash). Null texts have no lines; lines without words are left out."""
-    table = F.lit(bytearray(b + 1 for b in classes))
-    rank = lambda h: F.ascii(F.substring(table, _bucket(h).cast("int") + 1, F.lit(1)).cast("string"))
-    key = lambda h: F.shiftleft(rank(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # folded to one literal
+    rank = lambda h: F.get(table, _bucket(h).cast("int"))
+    key = lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
     words = F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
     lines = docs.select("doc_id", F.xxhash64("text").alias("th"),
@@ -84,10 +86,22 @@ def _need(total: Column, percent: int) -> Column:
     return F.ceil(total * F.lit(percent) / F.lit(100 + percent))
 
 
+def _parity(keys: Column) -> Column:
+    """A bitmap of 64 cells: which of them hold an odd number of the keys."""
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
+
+
 def _alike(a: str, b: str, percent: int) -> Column:
-    """Length and bitmap filters; neither drops a pair that reaches the similarity."""
+    """Length and bitmap filters; neither drops a pair that reaches the similarity.
+
+    ``sig`` has 64 cells; for sets of more than ``LONG`` words ``high`` tells the keys of one more bit
+    apart, which makes 128 cells (``sig`` is the exclusive or of both halves).
+    """
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    differ = F.bit_count(F.col(f"{a}sig").bitwiseXOR(F.col(f"{b}sig")))
+    sig = F.col(f"{a}sig").bitwiseXOR(F.col(f"{b}sig"))
+    high = F.col(f"{a}high").bitwiseXOR(F.col(f"{b}high"))
+    differ = F.when(F.least(n, m) > LONG, F.bit_count(high) + F.bit_count(sig.bitwiseXOR(high))).otherwise(F.bit_count(sig))
     return ((F.least(n, m) * 100 >= F.greatest(n, m) * percent)
             & (differ <= n + m - 2 * _need(n + m, percent)))
 
@@ -97,7 +111,7 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def _meeting(places: DataFrame, percent: int, on: list[str]) -> DataFrame:
-    """a_id, b_id of sets that meet in ``places`` (key, id, sig, n, pos, gone) and pass the filters."""
+    """a_id, b_id of sets that meet in ``places`` (key, id, sig, high, n, pos, gone) and pass the filters."""
     return _met(_prefixed(places, "a_"), _prefixed(places, "b_"), percent, on)
 
 
@@ -114,10 +128,10 @@ def _met(small: DataFrame, large: DataFrame, percent: int, on: list[str]) -> Dat
 
 
 def candidates(reps: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """a_id, b_id: the pairs of ``reps`` (id, n, sig, prefix, gone) that pass all filters."""
+    """a_id, b_id: the pairs of ``reps`` (id, n, sig, high, prefix, gone) that pass all filters."""
     # a class is a quarter power of two above the number of times that the words of a bucket occur
     often = F.pow(F.lit(2.0), F.shiftright("key", 56) / 4)
-    places = (reps.select("id", "sig", "n", "gone", F.posexplode("prefix").alias("pos", "key"))
+    places = (reps.select("id", "sig", "high", "n", "gone", F.posexplode("prefix").alias("pos", "key"))
               .withColumn("blocks", F.ceil(often / block).cast("int")))
     cold = places.filter("blocks = 1").drop("blocks")
     hot = places.filter("blocks > 1")
@@ -127,15 +141,37 @@ def candidates(reps: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
         _met(_prefixed(dealt, "a_"), _prefixed(visits, "b_"), percent, ["key", "salt"]))
 
 
-def _verified(pairs: DataFrame, table: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """id of the later set of each pair (a_id, b_id) that is similar on the full sets."""
-    ends = cut(pairs.select(F.col("a_id").alias("id")).union(pairs.select("b_id")).distinct())
-    keys = table.select("id", "keys").join(ends, "id", "left_semi").dropDuplicates(["id"])
-    sets = cut(keys.join(reps.select("id", F.struct("doc_id", "line_no", "th").alias("at")), "id"))
+def _full_sets(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """id, keys of the sets in the pairs (a_id, b_id), and no others.
+
+    Spark puts a bloom filter of the pairs in front of the exchange of the sets: its own run-time
+    filter, here for tables of any size. (A comparison is needed for Spark to see a selective side.)
+    """
+    ends = pairs.select(F.col("a_id").alias("id")).union(pairs.select("b_id")).distinct()
+    ends = cut(ends.withColumn("use", F.lit(1))).filter("use > 0")
+    conf = table.sparkSession.conf
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = conf.get(name)
+    conf.set(name, "1")
+    try:
+        return cut(table.select("id", "keys").join(ends, "id", "left_semi").dropDuplicates(["id"]))
+    finally:
+        conf.set(name, before)
+
+
+def _verified(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """a_id, b_id of the pairs that are similar on their full sets."""
+    sets = _full_sets(pairs, table)
     both = F.size(F.array_intersect("a_keys", "b_keys"))
     union = F.size("a_keys") + F.size("b_keys") - both
     return (pairs.join(_prefixed(sets, "a_"), "a_id").join(_prefixed(sets, "b_"), "b_id")
-            .filter(100 * both >= percent * union)
+            .filter(100 * both >= percent * union).select("a_id", "b_id"))
+
+
+def _later(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """id of the later set of each pair."""
+    at = reps.select("id", F.struct("doc_id", "line_no", "th").alias("at"))
+    return (pairs.join(_prefixed(at, "a_"), "a_id").join(_prefixed(at, "b_"), "b_id")
             .select(F.when(F.col("a_at") > F.col("b_at"), F.col("a_id")).otherwise(F.col("b_id")).alias("id")).distinct())
 
 
@@ -145,32 +181,32 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -
     Lines with the same set are one set at its first place; the others go with it as repeats. A null
     doc_id stands before all others, as in the order of the rows.
     """
-    keyed = keyed_lines(docs, rarity_classes(docs))
-    table = _store(keyed.withColumn("row", F.monotonically_increasing_id()))
-    at = F.struct("doc_id", "line_no", "th")
-    repeated = cut(table.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "th", "row")).alias("f"), F.count("*").alias("c"))
-                   .filter("c > 1").select("id", "f.row", F.struct("f.doc_id", "f.line_no", "f.th").alias("first"))
-                   .withColumnRenamed("row", "first_row"))
-    sig = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
+    table = _store(keyed_lines(docs, rarity_classes(docs)))
     n = F.col("n")
-    prefix = F.slice("keys", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
     # sets of fewer words are similar to equal ones only
     some = n * (100 - percent) >= percent
-    reps = table.filter(some).join(repeated, "id", "left").filter("first_row IS NULL OR first_row = row")
-    reps = _store(reps.select("doc_id", "th", "line_no", "id", "near", "n", prefix.alias("prefix"), sig.alias("sig")))
-    heads = reps.groupBy("near").agg(F.min(F.struct("doc_id", "line_no", "th", "id", "n", "sig")).alias("h"), F.count("*").alias("c"))
-    heads = heads.filter("c > 1").select("near", F.col("h.id").alias("h_id"), F.col("h.n").alias("h_n"), F.col("h.sig").alias("h_sig"))
-    early = cut(_prefixed(reps.select("near", "id", "n", "sig"), "x_").join(
-        heads, (F.col("x_near") == F.col("near")) & (F.col("x_id") != F.col("h_id")) & _alike("x_", "h_", percent))
+    prefix = F.when(some, F.slice("keys", 1, (n - F.ceil(n * percent / 100) + 1).cast("int")))
+    high = F.when(n > LONG, _parity(F.filter("keys", lambda k: k.bitwiseAND(64) > 0))).otherwise(0)
+    first = F.struct("doc_id", "line_no", "th", "near", "n", F.when(some, _parity(F.col("keys"))).otherwise(0).alias("sig"),
+                     high.alias("high"), prefix.alias("prefix"))
+    reps = _store(table.groupBy("id").agg(F.min(first).alias("f"), F.count("*").alias("c")).select("id", "f.*", "c"))
+    sets = reps.filter("prefix IS NOT NULL")
+    mine = ["id", "n", "sig", "high"]
+    heads = sets.groupBy("near").agg(F.min(F.struct("doc_id", "line_no", "th", *mine)).alias("h"), F.count("*").alias("c"))
+    heads = _prefixed(heads.filter("c > 1").select("near", *[F.col(f"h.{c}").alias(c) for c in mine]), "h_")
+    early = cut(_prefixed(sets.select("near", *mine), "x_").join(
+        heads, (F.col("x_near") == F.col("h_near")) & (F.col("x_id") != F.col("h_id")) & _alike("x_", "h_", percent))
         .select(F.col("x_id").alias("a_id"), F.col("h_id").alias("b_id")))
-    gone = cut(_verified(early, table, reps, percent))
-    marked = reps.select("id", "n", "sig", "prefix").join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn(
+    gone = cut(_verified(early, table, percent).select(F.col("a_id").alias("id")).distinct())
+    marked = sets.select(*mine, "prefix").join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn(
         "gone", F.coalesce("gone", F.lit(False)))
     rest = cut(candidates(marked, percent, block))
-    gone = cut(gone.union(_verified(rest, table, reps, percent)).distinct()).withColumn("gone", F.lit(True))
-    return (table.select("doc_id", "th", "line_no", "id").join(repeated, "id", "left").join(gone, "id", "left")
-            .filter((F.col("first") != at) | F.col("gone")).select("doc_id", "th", "line_no"))
+    gone = cut(gone.union(_later(_verified(rest, table, percent), sets)).distinct()).withColumn("gone", F.lit(True))
+    # what is left to do is told by the sets with repeats and the sets that go
+    told = reps.select("id", "c", F.struct("doc_id", "line_no", "th").alias("first")).join(gone, "id", "left")
+    told = told.filter((F.col("c") > 1) | F.col("gone")).select("id", "first", "gone")
+    return (table.select("doc_id", "th", "line_no", "id").join(told, "id")
+            .filter((F.col("first") != F.struct("doc_id", "line_no", "th")) | F.col("gone")).select("doc_id", "th", "line_no"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
