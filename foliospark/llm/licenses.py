@@ -9,6 +9,7 @@ span. A base phrase is a notice with no edits: its one seed is the phrase itself
 
 from __future__ import annotations
 
+import bisect
 import functools
 from typing import NamedTuple
 
@@ -56,6 +57,28 @@ def cut_pieces(words: str, parts: int) -> list[tuple[int, str]]:
     return [(a, words[a:b]) for a, b in zip(ends, ends[1:])]
 
 
+def matches(pattern: regex.Pattern, line: str, spans: set[tuple[int, int]]) -> set[tuple[int, int, int]]:
+    """Start, end and edits of the best match of each window. A window is the notice and its edits on both
+    sides, too short for two matches apart from each other."""
+    found = set()
+    for lo, hi in spans:
+        m = pattern.search(line, lo, hi)
+        if m and m.group().strip():
+            left = len(m.group()) - len(m.group().lstrip())
+            found.add((m.start() + left, m.start() + len(m.group().rstrip()), sum(m.fuzzy_counts)))
+    return found
+
+
+def apart(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of matches that overlap, the one with the fewest edits, then the first; in order of place."""
+    taken: list[tuple[int, int, int]] = []
+    for a, b, errors in sorted(found, key=lambda m: (m[2], m[0], -m[1])):
+        k = bisect.bisect(taken, (a,))
+        if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+            taken.insert(k, (a, b, errors))
+    return taken
+
+
 class Scanner:
     def __init__(self, base: tuple[Notice, ...] = BASE, fuzzy: tuple[Notice, ...] = FUZZY):
         self.notices = [*base, *fuzzy]
@@ -72,19 +95,16 @@ class Scanner:
         self.exact = [regex.compile(rf"(?<= ){regex.escape(n.words, literal_spaces=True)}(?= )") for n in base]
         self.near = [regex.compile(rf"(?b)(?<= )(?:{regex.escape(n.words, literal_spaces=True)}){{e<={n.edits}}}(?= )") for n in fuzzy]
 
-    def windows(self, line: str) -> dict[int, list[list[int]]]:
-        """By notice: the parts of the line that can hold it; overlapping ones are joined."""
-        found: dict[int, list[list[int]]] = {}
+    def windows(self, line: str) -> dict[int, set[tuple[int, int]]]:
+        """By notice: the part of the line around each seed that can hold it. Windows are searched one by
+        one: in a joined window the best match would hide others beside it."""
+        found: dict[int, set[tuple[int, int]]] = {}
         for end, (size, where) in self.seeds.iter(line):
             for k, offset in where:
                 n = self.notices[k]
                 at = end + 1 - size - offset
                 lo, hi = max(0, at - n.edits - 1), min(len(line), at + len(n.words) + n.edits + 1)
-                spans = found.setdefault(k, [])
-                if spans and lo <= spans[-1][1] and lo >= spans[-1][0]:
-                    spans[-1][1] = max(hi, spans[-1][1])
-                else:
-                    spans.append([lo, hi])
+                found.setdefault(k, set()).add((lo, hi))
         return found
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int, int, int, bool]]]:
@@ -92,20 +112,11 @@ class Scanner:
         line, n_words = word_line(text or "")
         hits = set()
         for k, spans in self.windows(line).items():
-            n, pattern = self.notices[k], (self.exact + self.near)[k]
-            at, words_before = 0, 0
-            for lo, hi in sorted(spans):
-                for m in pattern.finditer(line, lo, hi):
-                    errors = sum(m.fuzzy_counts)
-                    a, b = m.span()
-                    if not m.group().strip():
-                        continue
-                    a += len(m.group()) - len(m.group().lstrip())
-                    if a < at:
-                        at, words_before = 0, 0
-                    words_before += line.count(" ", at, a)
-                    at = a
-                    hits.add((words_before - 1, n.label, len(m.group().split()), errors, k < self.n_base))
+            pattern, at, words_before = (self.exact + self.near)[k], 0, 0
+            for a, b, errors in apart(matches(pattern, line, spans)):
+                words_before += line.count(" ", at, a)
+                at = a
+                hits.add((words_before - 1, self.notices[k].label, line.count(" ", a, b) + 1, errors, k < self.n_base))
         return n_words, [(label, first, size, e, base) for first, label, size, e, base in sorted(hits)]
 
 

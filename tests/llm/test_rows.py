@@ -72,6 +72,48 @@ def test_license_base_places(spark, odd, sample, none):
     assert licenses.license_report(none).count() == 0
 
 
+def edit_spans(line, words, edits):
+    """Start, end and edit distance of all runs of whole words within ``edits`` of ``words``."""
+    starts = [i + 1 for i, c in enumerate(line[:-1]) if c == " "]
+    ends = [i for i, c in enumerate(line) if c == " "][1:]
+    for a in starts:
+        row = list(range(len(words) + 1))
+        for j, c in enumerate(line[a:a + len(words) + edits + 1], 1):
+            if a + j - 1 in ends and row[-1] <= edits:
+                yield a, a + j - 1, row[-1]
+            new = [j]
+            for i, w in enumerate(words, 1):
+                new.append(min(new[-1] + 1, row[i] + 1, row[i - 1] + (w != c)))
+            row = new
+
+
+def test_license_hits_against_edit_distances():
+    scan = licenses.Scanner()
+    rng = random.Random(21)
+    lines = ["general public licence general public license", "mit licence mit license mit licence",
+             "apache licence apache license apachelicense"]
+    pool = ["general", "public", "licence", "license", "licens", "mit", "mitt", "apache", "apachee", "mozilla", "pubic", "a",
+            "licensed", "under", "cc", "by", "creative", "commons", "comons", "attribution"]
+    lines += [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for _ in range(150)]
+    for text in lines:
+        line, n_words = licenses.word_line(text)
+        hits = scan.scan(text)[1]
+        place = [i + 1 for i, c in enumerate(line[:-1]) if c == " "]
+        for n in {m.label: m for m in licenses.FUZZY}.values():
+            if sum(m.label == n.label for m in licenses.FUZZY) > 1:
+                continue
+            want = list(edit_spans(line, n.words, n.edits))
+            got = []
+            for label, first, size, e, base in hits:
+                if label == n.label and not base:
+                    a = place[first]
+                    got.append((a, a + len(" ".join(line[a:].split()[:size])), e))
+            assert set(got) <= set(want), (text, n.label)  # spans and edits are right
+            for a, b, e in want:  # and none is lost but beside an overlapping one with as few edits
+                assert any(c < b and a < d and f <= e for c, d, f in got), (text, n.label, a, b)
+    assert [h[1] for h in scan.scan("general public licence general public license")[1] if h[0] == "gpl-like"] == [0, 3]
+
+
 def test_license_edits_are_found_and_verified():
     scan = licenses.Scanner()
     line = "this is Released under the MIT Licence. and x"
