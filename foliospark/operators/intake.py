@@ -9,15 +9,18 @@ from foliospark.functions.columns import trimmed
 from foliospark.schemas import models
 
 
-def resolve_models(uploads: DataFrame) -> DataFrame:
+def resolve_models(uploads: DataFrame, settings: DataFrame | None = None) -> DataFrame:
     """Join the model settings: the id is matched ignoring case but not outer blanks, while the
-    queue name is trimmed and lowered. The model table is a fixed local relation."""
-    settings = models(uploads.sparkSession).select(
-        F.col("model_id").alias("_key"), "model_name", "concurrency")
+    queue name is trimmed and lowered. The list of supported models is a fixed local relation; the
+    ``settings`` of a deployment (model_id, model_name, concurrency) may lack some of them."""
+    supported = models(uploads.sparkSession)
+    given = (supported if settings is None else settings).select(
+        F.lower("model_id").alias("_key"), "model_name", "concurrency")
+    known = supported.select(F.lower("model_id").alias("_key"), F.lit(True).alias("_known"))
     return (uploads.withColumn("_key", F.lower("model_id"))
-            .join(settings, "_key", "left").drop("_key")
+            .join(known.join(given, "_key", "left"), "_key", "left").drop("_key")
             .withColumn("queue", F.lower(trimmed(F.col("model_id"))))
-            .withColumn("supported", F.col("model_name").isNotNull()))
+            .withColumn("supported", F.col("_known").isNotNull()).drop("_known"))
 
 
 def reject_reason() -> Column:
@@ -33,8 +36,8 @@ def reject_reason() -> Column:
             .when(F.coalesce("total_pages", F.lit(0)) <= 0, "NO_PAGES"))
 
 
-def validate_uploads(uploads: DataFrame) -> DataFrame:
-    return resolve_models(uploads).withColumn("reject_reason", reject_reason())
+def validate_uploads(uploads: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    return resolve_models(uploads, settings).withColumn("reject_reason", reject_reason())
 
 
 def task_id(host: Column, *content: Column) -> Column:

@@ -217,3 +217,15 @@ def test_a_hot_key_in_one_hour_is_split(spark):
     assert counted.filter("n <> id + 1").isEmpty()
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(k#" in plan and "_range#" in plan.split("hashpartitioning(k#")[1].split(")")[0]
+
+
+def test_a_supported_model_without_settings_is_told_apart(spark):
+    listed = models(spark)
+    names = sorted(r.model_id for r in listed.collect())
+    settings = listed.filter(F.col("model_id") != names[0])
+    asked = spark.createDataFrame([(n, 1) for n in [*names, "none of them"]], "model_id string, length long")
+    checked = intake.validate_uploads(asked.select(
+        "*", F.lit(True).alias("file_exists"), F.lit(1).alias("stored_length"), F.lit(True).alias("readable"),
+        F.lit(1).alias("total_pages")), settings)
+    got = {r.model_id: r.reject_reason for r in checked.collect()}
+    assert got == {names[0]: "NO_MODEL_CONFIG", "none of them": "UNSUPPORTED_MODEL", **dict.fromkeys(names[1:])}
